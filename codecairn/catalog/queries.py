@@ -138,7 +138,7 @@ def heading_path(spark, sf_dir):
 def paragraph_pack(spark, sf_dir):
     text = F.replace("text", F.lit("\n"), F.lit("\n\n"))
     return (
-        t.read(spark, sf_dir, "documents")
+        t.read_spread(spark, sf_dir, "documents", "doc_id", "text")
         .select("doc_id", F.posexplode(pack_paragraphs(text, chunks.CHUNK_TARGET)).alias("pack", "content"))
         .select("doc_id", "pack", "content")
     )

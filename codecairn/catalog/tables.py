@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecairn.functions.text import content_hash
+from codecairn.session import spread
 
 # One small Python file per part; positions: key, size, name, lower-case type.
 PART_FILE = '''import os.path
@@ -40,6 +41,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_spread(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    return spread(read(spark, sf_dir, table).select(*columns))
+
+
 def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(path, content)``: a Python file per part, padded by its size."""
     kind = F.lower("p_type")
@@ -54,7 +59,8 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.replace("p_brand", F.lit("#"), F.lit("_")),
         F.concat(F.lit("part_"), F.col("p_partkey"), F.lit(".py")),
     )
-    return read(spark, sf_dir, "part").select(path.alias("path"), F.encode(source, "UTF-8").alias("content"))
+    parts = read_spread(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return parts.select(path.alias("path"), F.encode(source, "UTF-8").alias("content"))
 
 
 def document_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +70,7 @@ def document_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\n---\n\n# "), F.col("source"), F.lit("\n\n"),
         F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit("\n"),
     )
-    return read(spark, sf_dir, "documents").select(
+    return read_spread(spark, sf_dir, "documents", "doc_id", "source", "lang", "text").select(
         F.lit("article").alias("doc_type"), F.col("doc_id").cast("string").alias("path"), text.alias("text")
     )
 
@@ -77,7 +83,7 @@ def turn_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("turn"), F.lit("\n\n"), F.col("text"), F.lit("\n\n## empty\n\n# end\nLast line of "),
         F.col("role"), F.lit(".\n"),
     )
-    return read(spark, sf_dir, "conversations").select(
+    return read_spread(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").select(
         F.lit("description").alias("doc_type"),
         F.concat_ws("/", "conv_id", "turn").alias("path"),
         F.col("role"),
@@ -149,7 +155,7 @@ ANSWER_HEAD = r"\n([A-Za-z]+)"
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as generated answers: each line's first word heads a section."""
-    return read(spark, sf_dir, "documents").select(
+    return read_spread(spark, sf_dir, "documents", "doc_id", "text").select(
         F.col("doc_id").cast("string").alias("path"),
         F.regexp_replace("text", ANSWER_HEAD, "\n### `$1`\n").alias("response"),
     )
@@ -177,7 +183,7 @@ def answer_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flow_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as flow lists: odd lines traced, even lines named."""
     paired = F.regexp_replace("text", r"\n([^\n]*)\n", "\nTRACE: $1\nFLOW: ")
-    return read(spark, sf_dir, "documents").select(
+    return read_spread(spark, sf_dir, "documents", "doc_id", "text").select(
         F.col("doc_id").cast("string").alias("path"),
         F.concat(F.lit("1. FLOW: "), paired, F.lit("\nTRACE: end")).alias("response"),
     )

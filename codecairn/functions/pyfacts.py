@@ -72,6 +72,7 @@ _ARROW = pa.struct(
 
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _NESTED = (*_DEFS, ast.ClassDef)
+_LEAVES = (ast.Name, ast.Constant, ast.expr_context, ast.operator, ast.unaryop, ast.boolop, ast.cmpop)
 _LINE = re.compile(rb"\r\n|\r|\n")
 
 
@@ -257,8 +258,11 @@ class _Reader:
                     yield name
                 children = [*node.args, *node.keywords]
             else:
-                children = [c for c in ast.iter_child_nodes(node)]
-            stack.extend(sorted(children, key=_position, reverse=True))
+                children = ast.iter_child_nodes(node)
+            inner = [c for c in children if not isinstance(c, _LEAVES)]
+            if len(inner) > 1:
+                inner.sort(key=_position, reverse=True)
+            stack.extend(inner)
 
     def dotted(self, node: ast.expr, start: int) -> str | None:
         parts: list[str] = []

@@ -67,3 +67,14 @@ def materialize(df: DataFrame) -> DataFrame:
 def shuffle_width(spark: SparkSession) -> int:
     """Number of range blocks to cut an ordered fold into."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small scan at least one partition per core before costly row work.
+
+    A table in a single row group is one task however long its rows take.  A
+    scan that already has enough partitions is returned as it is, so nothing
+    large is shuffled.
+    """
+    width = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= width else df.repartition(width)
