@@ -478,7 +478,8 @@ SELECT path, count(*) AS n_elements,
   replace(module, '%t', ty) AS module, names, alias
 FROM parts, (VALUES (0, 'import os.path', 'os.path', '', NULL), (1, 'import numpy as np', 'numpy', '', 'np'),
   (2, 'from .%t import load, save as store', '.%t', 'load,save', NULL)) v(import_ord, raw, module, names, alias)""",
-        "call_resolution": "SELECT path, fn_ord, caller, call_ord, name, resolved FROM call_rows",
+        "call_resolution": """SELECT path, fn_ord, caller, call_ord, name, resolved,
+  coalesce(resolved IN ('local', 'self'), FALSE) AND name NOT LIKE '%.items.sum' AS wired FROM call_rows""",
         "caller_inversion": "SELECT path, callee, caller, fn_ord, call_ord FROM edges",
         "edge_count": "SELECT count(*) AS edges FROM edges",
         "function_stats": "SELECT path, fn_ord, qualified_name, calls_count, callers_count FROM fn_stats",

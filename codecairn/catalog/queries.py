@@ -51,15 +51,17 @@ def _document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def flagship_search(spark, sf_dir):
     """Documents to chunks to vectors to the best chunks for a text query."""
-    pieces = _document_chunks(spark, sf_dir)
-    vectors = pieces.select(
-        "doc_type", "path", "chunk_ord", embed_column(F.col("embed_text"), EMBEDDING).alias("embedding")
+    vectors = _document_chunks(spark, sf_dir).withColumn(
+        "embedding", embed_column(F.col("embed_text"), EMBEDDING)
     )
-    key = ["doc_type", "path", "chunk_ord"]
-    hits = search.top_k(vectors, embed_query(QUERY_TEXT, EMBEDDING), TOP_K, key)
-    return search.attach_chunks(hits, pieces, key).select(
-        F.col("path").alias("document"), "doc_type", "title", "heading", "chunk_ord", "content", "score"
+    hits = search.top_k(
+        vectors,
+        embed_query(QUERY_TEXT, EMBEDDING),
+        TOP_K,
+        ["doc_type", "path", "chunk_ord"],
+        keep=["title", "heading", "content"],
     )
+    return hits.withColumnRenamed("path", "document")
 
 
 @query
@@ -129,7 +131,8 @@ def chunk_turns(spark, sf_dir):
 def heading_path(spark, sf_dir):
     return (
         chunks.with_sections(t.turn_markdown(spark, sf_dir))
-        .select("path", F.posexplode("sections").alias("section_ord", "s"))
+        .select("path", F.posexplode_outer("sections").alias("section_ord", "s"))
+        .where(F.col("s").isNotNull())
         .select("path", "section_ord", "s.heading", "s.level", "s.pos", "s.section_end")
     )
 
@@ -425,43 +428,38 @@ def py_imports(spark, sf_dir):
     return raw.join(facts, ["path", "import_ord"])
 
 
+def _file_graphs(spark, sf_dir):
+    return graph.file_graphs(_parsed(spark, sf_dir))
+
+
 @query
 def call_resolution(spark, sf_dir):
-    return graph.calls(graph.with_calls(_parsed(spark, sf_dir)))
+    return graph.calls(_file_graphs(spark, sf_dir))
 
 
 @query
 def caller_inversion(spark, sf_dir):
-    rows = graph.calls(graph.with_calls(_parsed(spark, sf_dir)))
-    return graph.caller_edges(rows)
+    return graph.caller_edges(graph.calls(_file_graphs(spark, sf_dir)))
 
 
 @query
 def edge_count(spark, sf_dir):
-    return graph.edge_count(graph.calls(graph.with_calls(_parsed(spark, sf_dir))))
-
-
-def _function_stats(spark, sf_dir):
-    fns = graph.with_calls(_parsed(spark, sf_dir))
-    return graph.function_stats(graph.functions(fns), graph.calls(fns))
+    return graph.edge_count(graph.calls(_file_graphs(spark, sf_dir)))
 
 
 @query
 def function_stats(spark, sf_dir):
-    return _function_stats(spark, sf_dir)
+    return graph.function_stats(_file_graphs(spark, sf_dir))
 
 
 @query
 def file_graph_stats(spark, sf_dir):
-    return graph.file_stats(_function_stats(spark, sf_dir))
+    return graph.file_stats(graph.function_stats(_file_graphs(spark, sf_dir)))
 
 
 @query
 def file_callers(spark, sf_dir):
-    fns = graph.with_calls(_parsed(spark, sf_dir))
-    return graph.file_callers(graph.functions(fns), graph.caller_edges(graph.calls(fns))).select(
-        "path", "callee", "caller"
-    )
+    return graph.file_callers(_file_graphs(spark, sf_dir))
 
 
 @query

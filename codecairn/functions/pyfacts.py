@@ -77,13 +77,17 @@ _LINE = re.compile(rb"\r\n|\r|\n")
 
 
 def parse_column(content: Column) -> Column:
-    """Facts of binary file content, as a struct column."""
+    """Facts of binary file content, as a struct column.
+
+    Marked non-deterministic so that the optimizer never evaluates it twice,
+    for instance to filter on the size of one of its arrays.
+    """
 
     @F.arrow_udf(FACTS)
     def facts(contents: pa.Array) -> pa.Array:
         return pa.array([file_facts(c) for c in contents.to_pylist()], type=_ARROW)
 
-    return facts(content)
+    return facts.asNondeterministic()(content)
 
 
 def file_facts(content: bytes | None) -> dict:

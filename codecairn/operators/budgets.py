@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codecairn.functions.text import path_key
@@ -87,7 +87,7 @@ def _walk(sizes: np.ndarray, budget: int, skip: int | None) -> list[int]:
 
 
 def neighbor_sets(files: DataFrame, budget: int = NEIGHBOR_CHARS) -> DataFrame:
-    """``(dir, for_path, neighbor, neighbor_chars, pos)`` for non-empty siblings.
+    """``(dir, for_path, n_neighbors, neighbor_chars, neighbors)`` of non-empty siblings.
 
     ``for_path`` is null for the set shared by every file of the directory,
     or names the one file whose own walk differs.  Empty siblings always fit
@@ -105,81 +105,65 @@ def neighbor_sets(files: DataFrame, budget: int = NEIGHBOR_CHARS) -> DataFrame:
 
     def finish(group: pd.DataFrame) -> pd.DataFrame:
         order = sorted(range(len(group)), key=lambda i: group["path"].iloc[i].split("/"))
-        group = group.iloc[order]
-        sizes = group["n_chars"].to_numpy()
-        paths = group["path"].to_numpy()
+        sizes = group["n_chars"].to_numpy()[order]
+        paths = group["path"].to_numpy()[order]
         shared = _walk(sizes, budget, None)
         rows = []
         for owner in [None, *shared]:
             kept = shared if owner is None else _walk(sizes, budget, owner)
-            for pos, i in enumerate(kept):
-                rows.append(
-                    (
-                        group["dir"].iloc[0],
-                        None if owner is None else paths[owner],
-                        paths[i],
-                        int(sizes[i]),
-                        pos,
-                    )
+            rows.append(
+                (
+                    group["dir"].iloc[0],
+                    None if owner is None else paths[owner],
+                    len(kept),
+                    int(sizes[kept].sum()),
+                    [paths[i] for i in kept],
                 )
-        return pd.DataFrame(rows, columns=["dir", "for_path", "neighbor", "neighbor_chars", "pos"])
+            )
+        return pd.DataFrame(rows, columns=_SET_COLUMNS)
 
-    schema = "dir string, for_path string, neighbor string, neighbor_chars long, pos int"
-    return local.groupBy("dir").applyInPandas(finish, schema)
+    return local.groupBy("dir").applyInPandas(
+        finish,
+        "dir string, for_path string, n_neighbors long, neighbor_chars long, neighbors array<string>",
+    )
+
+
+_SET_COLUMNS = ["dir", "for_path", "n_neighbors", "neighbor_chars", "neighbors"]
 
 
 def empty_files(files: DataFrame) -> DataFrame:
     return files.where(F.col("n_chars") == 0).groupBy("dir").agg(F.count("*").alias("n_empty"))
 
 
-def neighbor_summary(files: DataFrame, budget: int = NEIGHBOR_CHARS) -> DataFrame:
-    """Per file: number, characters and list of its (non-empty) neighbours.
-
-    The list is at most one budget of characters of files; files share their
-    directory's list unless they are kept in it.
-    """
-    members = neighbor_sets(files, budget)
-    sets = members.groupBy("dir", "for_path").agg(
-        F.count("*").alias("n_neighbors"),
-        F.sum("neighbor_chars").alias("neighbor_chars"),
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "neighbor"))), lambda x: x.neighbor
-        ).alias("neighbors"),
-    )
-    shared = sets.where(F.col("for_path").isNull()).drop("for_path")
-    # a file kept in the shared set owns a walk, possibly an empty one
-    owners = members.where(F.col("for_path").isNull()).select(
-        "dir", F.col("neighbor").alias("path"), F.lit(True).alias("owner")
+def join_neighbor_sets(files: DataFrame, sets: DataFrame, value: Column) -> DataFrame:
+    """Add ``value`` of each file's own set, or of its directory's shared set, as ``neighbor_set``."""
+    own = sets.where(F.col("for_path").isNotNull()).select(
+        "dir", F.col("for_path").alias("path"), value.alias("_own")
     )
-    own = owners.join(
-        sets.where(F.col("for_path").isNotNull()).select(
-            "dir",
-            F.col("for_path").alias("path"),
-            F.col("n_neighbors").alias("own_n"),
-            F.col("neighbor_chars").alias("own_chars"),
-            F.col("neighbors").alias("own_list"),
-        ),
-        ["dir", "path"],
-        "left",
-    )
-    joined = (
-        files.select("dir", "path", "n_chars")
-        .join(own, ["dir", "path"], "left")
+    shared = sets.where(F.col("for_path").isNull()).select("dir", value.alias("_shared"))
+    return (
+        files.join(own, ["dir", "path"], "left")
         .join(shared, "dir", "left")
-        .join(empty_files(files), "dir", "left")
+        .withColumn("neighbor_set", F.coalesce("_own", "_shared"))
+        .drop("_own", "_shared")
     )
-    empty_siblings = F.coalesce("n_empty", F.lit(0)) - F.when(F.col("n_chars") == 0, 1).otherwise(0)
 
-    def pick(mine: str, theirs: str, none):
-        return F.coalesce(F.when(F.col("owner"), F.col(mine)).otherwise(F.col(theirs)), none)
 
+def neighbor_summary(files: DataFrame, budget: int = NEIGHBOR_CHARS) -> DataFrame:
+    """Per file: number, characters and list of its (non-empty) neighbours."""
+    slim = files.select("dir", "path", "n_chars")
+    sets = neighbor_sets(slim, budget)
+    joined = join_neighbor_sets(
+        slim, sets, F.struct("n_neighbors", "neighbor_chars", "neighbors")
+    ).join(empty_files(slim), "dir", "left")
+    empty = F.coalesce("n_empty", F.lit(0)) - F.when(F.col("n_chars") == 0, 1).otherwise(0)
     return joined.select(
         "dir",
         "path",
-        (pick("own_n", "n_neighbors", F.lit(0)) + empty_siblings).cast("long").alias("n_neighbors"),
-        pick("own_chars", "neighbor_chars", F.lit(0)).cast("long").alias("neighbor_chars"),
-        pick("own_list", "neighbors", F.array().cast("array<string>")).alias("neighbors"),
-        empty_siblings.cast("long").alias("empty_neighbors"),
+        (F.coalesce("neighbor_set.n_neighbors", F.lit(0)) + empty).cast("long").alias("n_neighbors"),
+        F.coalesce("neighbor_set.neighbor_chars", F.lit(0)).cast("long").alias("neighbor_chars"),
+        F.coalesce("neighbor_set.neighbors", F.array().cast("array<string>")).alias("neighbors"),
+        empty.cast("long").alias("empty_neighbors"),
     )
 
 

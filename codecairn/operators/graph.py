@@ -25,8 +25,6 @@ BUILTINS = (
 FUNCTION_KINDS = ("function", "method")
 DEFINITION_KINDS = ("function", "method", "class")
 
-_CALL = "struct<name:string,resolved:string>"
-
 
 def parse_files(files: DataFrame) -> DataFrame:
     """Add ``facts`` to ``(path, content, …)``.
@@ -109,42 +107,33 @@ def qualified(scope: Column, name: Column) -> Column:
     return F.concat_ws(".", scope, name)
 
 
-def with_calls(parsed: DataFrame) -> DataFrame:
-    """One row per function with its distinct resolved calls, builtins dropped.
+def file_graphs(parsed: DataFrame) -> DataFrame:
+    """``(path, functions)``: the functions of a file with their resolved calls.
 
-    A call is resolved, first match wins: ``self.x`` to the enclosing class; a
-    dotted name to the import of its first part or to nothing; a bare name to
-    a builtin (dropped), a definition of the file, an import, or nothing.
+    Calls are distinct, in order, builtins dropped.  A call is resolved, first
+    match wins: ``self.x`` to the enclosing class; a dotted name to the import
+    of its first part or to nothing; a bare name to a builtin (dropped), a
+    definition of the file, an import, or nothing.
     """
     scoped = parsed.select(
         "path",
         F.col("facts.elements").alias("_elements"),
-        import_names(F.col("facts.graph_imports")).alias("_bound"),
+        # the last binding of a name wins, so look from the end
+        F.reverse(import_names(F.col("facts.graph_imports"))).alias("_bound"),
         F.transform(
             F.filter("facts.elements", lambda e: e.kind.isin(*DEFINITION_KINDS)),
             lambda e: e["name"],
         ).alias("_defined"),
-    ).withColumn("_bound", F.reverse("_bound"))
-
-    functions = scoped.select(
-        "path",
-        "_bound",
-        "_defined",
-        F.posexplode(F.filter("_elements", lambda e: e.kind.isin(*FUNCTION_KINDS))).alias(
-            "fn_ord", "e"
-        ),
     )
 
     def module_of(name: Column) -> Column:
-        hit = F.filter("_bound", lambda b: b["name"] == name)
-        return F.get(hit, F.lit(0)).module
+        return F.get(F.filter("_bound", lambda b: b["name"] == name), F.lit(0)).module
 
-    def resolve(raw: Column) -> Column:
+    def resolve(raw: Column, class_name: Column) -> Column:
         own = F.startswith(raw, F.lit("self."))
         method = F.substring(raw, F.lit(6), F.length(raw))
         return F.struct(
-            F.when(own & F.col("e.class_name").isNotNull(),
-                   F.concat_ws(".", F.col("e.class_name"), method))
+            F.when(own & class_name.isNotNull(), F.concat_ws(".", class_name, method))
             .otherwise(raw)
             .alias("name"),
             F.when(own, F.lit("self"))
@@ -154,37 +143,54 @@ def with_calls(parsed: DataFrame) -> DataFrame:
             .alias("resolved"),
         )
 
-    kept = F.filter(F.array_distinct("e.raw_calls"), lambda raw: ~raw.isin(*BUILTINS))
-    return functions.select(
-        "path",
-        "fn_ord",
-        F.col("e.name").alias("name"),
-        F.col("e.class_name").alias("scope"),
-        qualified(F.col("e.class_name"), F.col("e.name")).alias("qualified_name"),
-        F.transform(kept, resolve).alias("calls"),
-    )
+    def function(e: Column, i: Column) -> Column:
+        kept = F.filter(F.array_distinct(e.raw_calls), lambda raw: ~raw.isin(*BUILTINS))
+        return F.struct(
+            i.alias("fn_ord"),
+            e["name"].alias("name"),
+            e.class_name.alias("scope"),
+            qualified(e.class_name, e["name"]).alias("qualified_name"),
+            F.transform(kept, lambda raw: resolve(raw, e.class_name)).alias("calls"),
+        )
 
+    own = F.filter("_elements", lambda e: e.kind.isin(*FUNCTION_KINDS))
+    return scoped.select("path", F.transform(own, function).alias("functions"))
 
-def functions(with_call_rows: DataFrame) -> DataFrame:
-    return with_call_rows.select("path", "fn_ord", "name", "scope", "qualified_name")
 
+def functions(graphs: DataFrame) -> DataFrame:
+    return graphs.select("path", F.inline("functions")).drop("calls")
 
-def calls(with_call_rows: DataFrame) -> DataFrame:
-    return with_call_rows.select(
-        "path",
-        "fn_ord",
-        "qualified_name",
-        F.posexplode("calls").alias("call_ord", "c"),
-    ).select(
-        "path",
-        "fn_ord",
-        F.col("qualified_name").alias("caller"),
-        "call_ord",
-        F.col("c.name").alias("name"),
-        F.col("c.resolved").alias("resolved"),
+
+def calls(graphs: DataFrame) -> DataFrame:
+    """One row per call; ``wired`` tells whether it names a function of its file."""
+    names = F.transform("functions", lambda f: f.qualified_name)
+    return (
+        graphs.select("path", names.alias("_names"), F.inline("functions"))
+        .select(
+            "path",
+            "_names",
+            "fn_ord",
+            F.col("qualified_name").alias("caller"),
+            F.posexplode("calls").alias("call_ord", "c"),
+        )
+        .select(
+            "path",
+            "fn_ord",
+            "caller",
+            "call_ord",
+            F.col("c.name").alias("name"),
+            F.col("c.resolved").alias("resolved"),
+            (_same_file(F.col("c.resolved")) & F.array_contains("_names", F.col("c.name"))).alias(
+                "wired"
+            ),
+        )
     )
 
 
+def _same_file(resolved: Column) -> Column:
+    return F.coalesce(resolved.isin("local", "self"), F.lit(False))
+
+
 def caller_edges(call_rows: DataFrame) -> DataFrame:
     """Inverted edges of same-file calls, dangling callees included.
 
@@ -199,12 +205,38 @@ def edge_count(call_rows: DataFrame) -> DataFrame:
     return caller_edges(call_rows).agg(F.count("*").alias("edges"))
 
 
-def function_stats(fns: DataFrame, call_rows: DataFrame) -> DataFrame:
-    """Per function: number of calls and of callers.
+def function_stats(graphs: DataFrame) -> DataFrame:
+    """Per function: number of calls and of callers, same-named functions sharing theirs.
+
+    Edges stay within a file, so the counts come from the file's own row.
+    """
+    targets = F.flatten(
+        F.transform(
+            "functions",
+            lambda f: F.transform(
+                F.filter(f.calls, lambda c: _same_file(c.resolved)), lambda c: c["name"]
+            ),
+        )
+    )
+    counted = F.transform(
+        "functions",
+        lambda f: F.struct(
+            f.fn_ord.alias("fn_ord"),
+            f.qualified_name.alias("qualified_name"),
+            F.size(f.calls).cast("long").alias("calls_count"),
+            F.size(F.filter("_targets", lambda t: t == f.qualified_name))
+            .cast("long")
+            .alias("callers_count"),
+        ),
+    )
+    return graphs.withColumn("_targets", targets).select("path", F.inline(counted))
+
+
+def function_stats_from_tables(fns: DataFrame, call_rows: DataFrame) -> DataFrame:
+    """The same counts from stored ``functions`` and ``calls`` tables.
 
     Both sides are counted per key before they meet, so the joins see one row
-    per function or callee however often it is called.  Same-named functions
-    of a file share their callers.
+    per function or callee however often it is called.
     """
     made = call_rows.groupBy("path", "fn_ord").agg(F.count("*").alias("calls_count"))
     received = (
@@ -252,7 +284,8 @@ def callees_of(call_rows: DataFrame, path: str, name: str) -> DataFrame:
     return mine.join(F.broadcast(first), "fn_ord").orderBy("call_ord").select("name", "resolved")
 
 
-def file_callers(fns: DataFrame, edges: DataFrame) -> DataFrame:
-    """Functions of each file that have callers, one row per (function, caller)."""
-    names = fns.select("path", F.col("qualified_name").alias("callee")).distinct()
-    return edges.join(names, ["path", "callee"], "left_semi")
+def file_callers(graphs: DataFrame) -> DataFrame:
+    """Callers of the functions a file defines, one row per (function, caller)."""
+    return calls(graphs).where("wired").select(
+        "path", F.col("name").alias("callee"), "caller"
+    )

@@ -22,15 +22,18 @@ def top_k(
     k: int,
     key: Sequence[str],
     vector: str = "embedding",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """The ``k`` best rows by rounded score, ties by ``key``.
 
-    Only the key and the vector are read; each task keeps a heap of ``k``
-    rows, so what is merged at the end is ``k`` rows per task.
+    Only the key, the vector and ``keep`` are read; each task keeps a heap of
+    ``k`` rows, so what is merged at the end is ``k`` rows per task.  Keep
+    other columns only where they are computed along with the vector; over a
+    stored index fetch them for the hits alone (:func:`attach_chunks`).
     """
     score = F.round(cosine_to(F.col(vector), query), SCORE_DECIMALS)
     return (
-        vectors.select(*key, score.alias("score"))
+        vectors.select(*key, *keep, score.alias("score"))
         .orderBy(F.desc("score"), *key)
         .limit(k)
     )

@@ -60,7 +60,7 @@ class HashingEmbedder:
     def embed(self, texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimensions), dtype=np.float64)
         for row, text in enumerate(texts):
-            hits = [self._bucket(t) for t in self._TOKEN.findall(_ascii_lower(text))]
+            hits = [self._bucket(t) for t in self._TOKEN.findall(text.lower())]
             if hits:
                 out[row] = np.bincount(hits, minlength=self.dimensions)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
@@ -68,10 +68,6 @@ class HashingEmbedder:
         return (out / norms).astype(np.float32)
 
 
-def _ascii_lower(text: str) -> str:
-    return text.lower()
-
-
 class ModelEmbedder:
     """A local sentence-embedding model; needs the optional package."""
 
@@ -164,7 +160,10 @@ def reset_providers() -> None:
 
 
 def embed_column(text: Column, config: EmbeddingConfig) -> Column:
-    """``array<float>`` embedding of document texts, one Arrow batch at a time."""
+    """``array<float>`` embedding of document texts, one Arrow batch at a time.
+
+    Marked non-deterministic so that a plan never embeds a text twice.
+    """
 
     @F.arrow_udf("array<float>")
     def embed(texts: pa.Array) -> pa.Array:
@@ -177,7 +176,7 @@ def embed_column(text: Column, config: EmbeddingConfig) -> Column:
             pa.array(offsets), pa.array(matrix.astype(np.float32).ravel())
         )
 
-    return embed(text)
+    return embed.asNondeterministic()(text)
 
 
 def embed_query(text: str, config: EmbeddingConfig) -> list[float]:
