@@ -86,22 +86,36 @@ def _walk(sizes: np.ndarray, budget: int, skip: int | None) -> list[int]:
     return kept
 
 
-def neighbor_sets(files: DataFrame, budget: int = NEIGHBOR_CHARS) -> DataFrame:
+def _keep_candidates(files: DataFrame, budget: int) -> DataFrame:
+    return (
+        files.withColumn("_key", path_key(F.col("path")))
+        .sortWithinPartitions("dir", "_key")
+        .drop("_key")
+        .mapInPandas(_candidates(budget), files.schema)
+    )
+
+
+def neighbor_sets(
+    files: DataFrame, budget: int = NEIGHBOR_CHARS, salts: int | None = None
+) -> DataFrame:
     """``(dir, for_path, n_neighbors, neighbor_chars, neighbors)`` of non-empty siblings.
 
     ``for_path`` is null for the set shared by every file of the directory,
     or names the one file whose own walk differs.  Empty siblings always fit
     and are counted by :func:`empty_files` instead of being listed.
+
+    Every task reduces its own files first, without a shuffle.  Where many
+    tasks may share a directory, what they kept is reduced again in ``salts``
+    parts per directory before the parts meet.
     """
     slim = files.where((F.col("n_chars") > 0) & (F.col("n_chars") <= budget)).select(
         "dir", "path", F.col("n_chars").cast("long").alias("n_chars")
     )
-    local = (
-        slim.withColumn("_key", path_key(F.col("path")))
-        .sortWithinPartitions("dir", "_key")
-        .drop("_key")
-        .mapInPandas(_candidates(budget), slim.schema)
-    )
+    local = _keep_candidates(slim, budget)
+    salts = salts or shuffle_width(files.sparkSession) // 16
+    if salts > 1:
+        salt = F.pmod(F.xxhash64("path"), F.lit(salts))
+        local = _keep_candidates(local.repartition("dir", salt), budget)
 
     def finish(group: pd.DataFrame) -> pd.DataFrame:
         order = sorted(range(len(group)), key=lambda i: group["path"].iloc[i].split("/"))

@@ -35,7 +35,7 @@ def parse_files(files: DataFrame) -> DataFrame:
 
 
 def _slice_text(content: Column, start: Column, length: Column) -> Column:
-    return F.decode(F.substring(content, start + 1, length), "UTF-8")
+    return F.substring(content, start + 1, length).cast("string")
 
 
 def parse_errors(parsed: DataFrame) -> DataFrame:
@@ -273,14 +273,11 @@ def callers_of(edges: DataFrame, path: str, name: str) -> DataFrame:
     )
 
 
-def callees_of(call_rows: DataFrame, path: str, name: str) -> DataFrame:
-    """Calls of the first function of that name in the file.
-
-    Ordinals are looked at within one file and one name only, so the first is
-    found by the smallest ordinal of the already filtered rows.
-    """
+def callees_of(fns: DataFrame, call_rows: DataFrame, path: str, name: str) -> DataFrame:
+    """Calls of the first function of that name in the file."""
+    named = fns.where((F.col("path") == path) & (F.col("qualified_name") == name))
+    first = named.agg(F.min("fn_ord").alias("fn_ord"))  # one row, so it is broadcast
     mine = call_rows.where((F.col("path") == path) & (F.col("caller") == name))
-    first = mine.agg(F.min("fn_ord").alias("fn_ord"))
     return mine.join(F.broadcast(first), "fn_ord").orderBy("call_ord").select("name", "resolved")
 
 

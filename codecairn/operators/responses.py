@@ -242,7 +242,7 @@ def file_skeletons(parsed: DataFrame) -> DataFrame:
     source = F.col("content")
     imports = F.transform(
         "facts.imports",
-        lambda i: F.decode(F.substring(source, i.start + 1, i.length), "UTF-8"),
+        lambda i: F.substring(source, i.start + 1, i.length).cast("string"),
     )
     lines = F.transform(
         "facts.elements", lambda e: skeleton_line(e.depth, e["name"], e.signature, e.docstring)

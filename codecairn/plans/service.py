@@ -103,7 +103,7 @@ class Service:
             # both spellings name the same symbol: the graph writes A.b, descriptions A > b
             name = ".".join(symbol.split(" > ")[-2:])
             callers = graph.callers_of(graph.caller_edges(calls), file_path, name).collect()
-            callees = graph.callees_of(calls, file_path, name).collect()
+            callees = graph.callees_of(functions, calls, file_path, name).collect()
             if callers:
                 out["callers"] = [r.asDict() for r in callers]
             if callees:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import fnmatch
-from collections.abc import Sequence
+import math
+import os
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 import yaml
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +23,7 @@ from codecairn.functions.text import (
     path_key,
     suffix,
 )
+from codecairn.session import materialize, shuffle_width
 
 # Language per registered file extension.
 LANGUAGES = {".py": "python"}
@@ -54,55 +59,117 @@ def language(path: Column) -> Column:
     return F.element_at(F.create_map(*pairs), suffix(path))
 
 
-def file_columns(files: DataFrame) -> DataFrame:
-    """``(path, content)`` to the source file table.
+def text_of(content: Column) -> Column:
+    """Text of file bytes, newlines normalized; bytes that are not UTF-8 are replaced."""
+    return normalize_newlines(F.make_valid_utf8(content.cast("string")))
 
-    The hash is over the bytes; ``source`` has its newlines normalized.
-    """
-    source = normalize_newlines(F.decode(F.col("content"), "UTF-8"))
-    return (
-        files.withColumn("source", source)
-        .select(
-            "path",
-            parent_dir(F.col("path")).alias("dir"),
-            language(F.col("path")).alias("language"),
-            "content",
-            "source",
-            F.length("source").alias("n_chars"),
-            content_hash(F.col("content")).alias("source_hash"),
-        )
+
+def file_columns(files: DataFrame) -> DataFrame:
+    """``(path, content)`` to the source file table; the hash is over the bytes."""
+    return files.withColumn("source", text_of(F.col("content"))).select(
+        "path",
+        parent_dir(F.col("path")).alias("dir"),
+        language(F.col("path")).alias("language"),
+        "content",
+        "source",
+        F.length("source").alias("n_chars"),
+        content_hash(F.col("content")).alias("source_hash"),
     )
 
 
-def _relative(column: Column, root: Path) -> Column:
-    """Path below ``root`` of a file URI."""
-    decoded = F.call_function("url_decode", F.replace(column, F.lit("+"), F.lit("%2B")))
-    cut = F.regexp_replace(decoded, "^file:/+", "/")
-    return F.substring(cut, F.lit(len(str(root)) + 2), F.length(cut))
+# -- listing and reading -------------------------------------------------------
+#
+# Spark's own file readers leave out empty files and every name that starts
+# with "_", so "__init__.py" would be lost.  Folders are therefore listed by a
+# job per depth, all folders of a depth in parallel, and files are read by
+# tasks of even size.  Any file system that Arrow knows can be read.
+
+_ENTRY = "file string, path string, folder boolean, size long"
+
+
+_ENTRY_ARROW = pa.schema(
+    [("file", pa.string()), ("path", pa.string()), ("folder", pa.bool_()), ("size", pa.int64())]
+)
+
+
+def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            system, place = pafs.FileSystem.from_uri(row["file"])
+            local = isinstance(system, pafs.LocalFileSystem)
+            scheme = row["file"].removesuffix(place)
+            rows = []
+            for info in system.get_file_info(pafs.FileSelector(place)):
+                folder = info.type == pafs.FileType.Directory
+                if info.base_name.startswith(".") or (folder and local and os.path.islink(info.path)):
+                    continue
+                path = f"{row['path']}/{info.base_name}" if row["path"] else info.base_name
+                rows.append(
+                    {"file": scheme + info.path, "path": path, "folder": folder, "size": info.size or 0}
+                )
+            yield pa.RecordBatch.from_pylist(rows, _ENTRY_ARROW)
+
+
+def list_tree(spark: SparkSession, folder: str, prefix: str = "") -> DataFrame:
+    """``(file, path, size)`` of every file below a folder, hidden names left out."""
+    width = shuffle_width(spark)
+    level = spark.createDataFrame([(folder, prefix)], "file string, path string")
+    found = []
+    while True:
+        listed = materialize(level.mapInArrow(_list_folders, _ENTRY))
+        found.append(listed.where("not folder").select("file", "path", "size"))
+        level = listed.where("folder").select("file", "path")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        level = level.repartition(width, "file")
+
+
+# Bytes one reading task takes on, and holds before it hands them over.
+TASK_BYTES = 128 << 20
+BATCH_BYTES = 16 << 20
+
+
+def _read_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+    rows, held = [], 0
+    for batch in batches:
+        for row in batch.select(["file", "path"]).to_pylist():
+            system, place = pafs.FileSystem.from_uri(row["file"])
+            with system.open_input_stream(place) as stream:
+                rows.append({"path": row["path"], "content": stream.read()})
+            held += len(rows[-1]["content"])
+            if held >= BATCH_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+                rows, held = [], 0
+    yield pa.RecordBatch.from_pylist(rows, schema)
+
+
+def read_contents(listed: DataFrame) -> DataFrame:
+    """``(path, content)`` of listed files."""
+    spark = listed.sparkSession
+    total = listed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(total / TASK_BYTES))
+    return listed.repartition(tasks).mapInArrow(_read_contents, "path string, content binary")
 
 
 def scan_files(
     spark: SparkSession, target: Path, repo_root: Path, exclude: Sequence[str] = ()
 ) -> DataFrame:
-    """Source files below a folder, or one file.
+    """Source files below a folder, or one file, with paths relative to the root.
 
     A single file is taken as it is, whatever its name or folder.  For a
-    folder the path predicates come before the content is used, and the
-    extension is also given to the reader so other files are never listed.
+    folder the path predicates come before any content is read.
     """
-    reader = spark.read.format("binaryFile")
-    path = _relative(F.col("path"), repo_root.resolve())
+    target, root = target.resolve(), repo_root.resolve()
+    relative = target.relative_to(root).as_posix()
     if target.is_file():
-        files = reader.load(str(target.resolve()))
-        return file_columns(files.select(path.alias("path"), "content").where(supported(path)))
-    globs = "{" + ",".join(f"*{ext}" for ext in LANGUAGES) + "}"
-    files = (
-        reader.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", globs)
-        .load(str(target.resolve()))
-    )
-    kept = files.withColumn("path", path).where(keep_path(F.col("path"), exclude))
-    return file_columns(kept.select("path", "content"))
+        listed = spark.createDataFrame(
+            [(str(target), relative, target.stat().st_size)], "file string, path string, size long"
+        ).where(supported(F.col("path")))
+    else:
+        prefix = "" if relative == "." else relative
+        listed = list_tree(spark, str(target), prefix).where(keep_path(F.col("path"), exclude))
+    return file_columns(read_contents(listed))
 
 
 def scan_roots(
@@ -119,18 +186,16 @@ def filter_files(files: DataFrame, needle: str, repo_root: Path) -> DataFrame:
     return files.where(F.contains(absolute, F.lit(needle)))
 
 
+def _read_texts(spark: SparkSession, folder: Path, ending: str) -> DataFrame:
+    listed = list_tree(spark, str(folder.resolve()))
+    read = read_contents(listed.where(F.endswith("path", F.lit(ending))))
+    return read.select("path", text_of(F.col("content")).alias("text"))
+
+
 def read_markdown(spark: SparkSession, folder: Path, doc_type: str) -> DataFrame:
     """``(doc_type, path, text)`` of every markdown file below a folder."""
-    text = (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.md")
-        .text(str(folder.resolve()))
-    )
-    return text.select(
-        F.lit(doc_type).alias("doc_type"),
-        _relative(F.col("_metadata.file_path"), folder.resolve()).alias("path"),
-        normalize_newlines(F.col("value")).alias("text"),
+    return _read_texts(spark, folder, ".md").select(
+        F.lit(doc_type).alias("doc_type"), "path", "text"
     )
 
 
@@ -142,17 +207,10 @@ _GRAPH = (
 
 def read_graph_yaml(spark: SparkSession, folder: Path) -> DataFrame:
     """Per-file graph YAML; files that do not parse or lack ``path`` are skipped."""
-    text = (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.yaml")
-        .text(str(folder.resolve()))
-    )
-
     def parse(batches):
         for batch in batches:
             rows = []
-            for value in batch["value"]:
+            for value in batch["text"]:
                 try:
                     data = yaml.safe_load(value)
                 except yaml.YAMLError:
@@ -173,7 +231,7 @@ def read_graph_yaml(spark: SparkSession, folder: Path) -> DataFrame:
                 rows.append((data["path"], data.get("source_hash", ""), fns))
             yield pd.DataFrame(rows, columns=["path", "source_hash", "functions"])
 
-    return text.mapInPandas(parse, _GRAPH)
+    return _read_texts(spark, folder, ".yaml").mapInPandas(parse, _GRAPH)
 
 
 def in_path_order(df: DataFrame, *more: str) -> DataFrame:

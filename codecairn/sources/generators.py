@@ -36,7 +36,7 @@ class TemplateGenerator:
 
     def __call__(self, prompt: str, max_tokens: int) -> str:
         digest = hashlib.sha256(prompt.encode()).hexdigest()[:8]
-        if "FLOW: <name>" in prompt:
+        if prompt.rstrip().endswith("TRACE: <description>"):
             return "\n".join(
                 f"FLOW: {name}\nTRACE: Follow the {name.lower()} path."
                 for name in ("Start Up", "Main Work", "Wind Down")
