@@ -46,16 +46,21 @@ def test_path_order_and_parts(spark):
 def tree(tmp_path):
     for name, text in {
         "pkg/a.py": "A = 1\r\n", "pkg/sp ace+é%41.py": "B = 2\n", "pkg/tests/t.py": "T = 1\n",
-        ".hid/h.py": "H = 1\n", "pkg/n.txt": "no", "top.py": "",
+        ".hid/h.py": "H = 1\n", "pkg/n.txt": "no", "top.py": "", "pkg/__init__.py": "", "_x/_y.py": "Y = 1\n", "bad.py": "",
     }.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(text.encode())
+    (tmp_path / "bad.py").write_bytes(b"x = '\xff'\n")
+    (tmp_path / "loop").symlink_to(tmp_path, target_is_directory=True)
     return tmp_path
 
 
 def test_scan(spark, tree):
     rows = {r.path: r for r in scan_files(spark, tree, tree, cfg.DEFAULT_EXCLUDE).collect()}
-    assert set(rows) == {"pkg/a.py", "pkg/sp ace+é%41.py", "top.py"}
+    assert set(rows) == {
+        "pkg/a.py", "pkg/sp ace+é%41.py", "top.py", "pkg/__init__.py", "_x/_y.py", "bad.py"
+    }
+    assert rows["bad.py"].source == "x = '\ufffd'\n"
     a = rows["pkg/a.py"]
     assert (a.dir, a.language, a.source, a.n_chars) == ("pkg", "python", "A = 1\n", 6)
     assert rows["top.py"].dir == "."
