@@ -474,10 +474,12 @@ SELECT path, count(*) AS n_elements,
     code = {
         "py_elements": """SELECT path, elem_ord, parent_ord, depth, kind, name, scope_path, signature,
   decorators, docstring, line_start, line_end FROM elements""",
-        "py_imports": """SELECT path, import_ord, replace(raw, '%t', ty) AS raw,
-  replace(module, '%t', ty) AS module, names, alias
-FROM parts, (VALUES (0, 'import os.path', 'os.path', '', NULL), (1, 'import numpy as np', 'numpy', '', 'np'),
-  (2, 'from .%t import load, save as store', '.%t', 'load,save', NULL)) v(import_ord, raw, module, names, alias)""",
+        "py_raw_imports": """SELECT path, import_ord, replace(raw, '%t', ty) AS raw
+FROM parts, (VALUES (0, 'import os.path'), (1, 'import numpy as np'),
+  (2, 'from .%t import load, save as store')) v(import_ord, raw)""",
+        "py_imports": """SELECT path, import_ord, replace(module, '%t', ty) AS module, names, alias
+FROM parts, (VALUES (0, 'os.path', '', NULL), (1, 'numpy', '', 'np'),
+  (2, '.%t', 'load,save', NULL)) v(import_ord, module, names, alias)""",
         "call_resolution": """SELECT path, fn_ord, caller, call_ord, name, resolved,
   coalesce(resolved IN ('local', 'self'), FALSE) AND name NOT LIKE '%.items.sum' AS wired FROM call_rows""",
         "caller_inversion": "SELECT path, callee, caller, fn_ord, call_ord FROM edges",

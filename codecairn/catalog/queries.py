@@ -418,14 +418,16 @@ def py_elements(spark, sf_dir):
     )
 
 
+@query
+def py_raw_imports(spark, sf_dir):
+    return graph.raw_imports(_parsed(spark, sf_dir)).select("path", "import_ord", "raw")
+
+
 @query
 def py_imports(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir)
-    raw = graph.raw_imports(parsed).select("path", "import_ord", "raw")
-    facts = graph.graph_imports(parsed).select(
+    return graph.graph_imports(_parsed(spark, sf_dir)).select(
         "path", "import_ord", "module", F.array_join("names", ",").alias("names"), "alias"
     )
-    return raw.join(facts, ["path", "import_ord"])
 
 
 def _file_graphs(spark, sf_dir):

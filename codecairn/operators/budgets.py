@@ -102,7 +102,7 @@ def neighbor_sets(
 
     ``for_path`` is null for the set shared by every file of the directory,
     or names the one file whose own walk differs.  Empty siblings always fit
-    and are counted by :func:`empty_files` instead of being listed.
+    and are counted instead of being listed.
 
     Every task reduces its own files first, without a shuffle.  Where many
     tasks may share a directory, what they kept is reduced again in ``salts``
@@ -145,39 +145,44 @@ def neighbor_sets(
 _SET_COLUMNS = ["dir", "for_path", "n_neighbors", "neighbor_chars", "neighbors"]
 
 
-def empty_files(files: DataFrame) -> DataFrame:
-    return files.where(F.col("n_chars") == 0).groupBy("dir").agg(F.count("*").alias("n_empty"))
-
+def join_neighbor_sets(
+    files: DataFrame, sets: DataFrame, value: Column, empty_files: DataFrame
+) -> DataFrame:
+    """Add ``value`` of each file's own set, or of its directory's shared set, as
+    ``neighbor_set``, and the number of its empty siblings as ``empty_neighbors``.
 
-def join_neighbor_sets(files: DataFrame, sets: DataFrame, value: Column) -> DataFrame:
-    """Add ``value`` of each file's own set, or of its directory's shared set, as ``neighbor_set``."""
+    Everything a directory shares is put into one row before it meets the
+    files, so there is a single join on the directory; as its result is not
+    needed in that layout, a hot directory is split at run time.
+    """
     own = sets.where(F.col("for_path").isNotNull()).select(
         "dir", F.col("for_path").alias("path"), value.alias("_own")
     )
     shared = sets.where(F.col("for_path").isNull()).select("dir", value.alias("_shared"))
+    empty = empty_files.groupBy("dir").agg(F.count("*").alias("_empty"))
+    itself = F.when(F.col("n_chars") == 0, 1).otherwise(0)
     return (
         files.join(own, ["dir", "path"], "left")
-        .join(shared, "dir", "left")
+        .join(shared.join(empty, "dir", "full_outer"), "dir", "left")
         .withColumn("neighbor_set", F.coalesce("_own", "_shared"))
-        .drop("_own", "_shared")
+        .withColumn("empty_neighbors", F.coalesce("_empty", F.lit(0)) - itself)
+        .drop("_own", "_shared", "_empty")
     )
 
 
 def neighbor_summary(files: DataFrame, budget: int = NEIGHBOR_CHARS) -> DataFrame:
     """Per file: number, characters and list of its (non-empty) neighbours."""
     slim = files.select("dir", "path", "n_chars")
-    sets = neighbor_sets(slim, budget)
-    joined = join_neighbor_sets(
-        slim, sets, F.struct("n_neighbors", "neighbor_chars", "neighbors")
-    ).join(empty_files(slim), "dir", "left")
-    empty = F.coalesce("n_empty", F.lit(0)) - F.when(F.col("n_chars") == 0, 1).otherwise(0)
-    return joined.select(
+    columns = F.struct("n_neighbors", "neighbor_chars", "neighbors")
+    found = F.col("neighbor_set")
+    empty = slim.where(F.col("n_chars") == 0)
+    return join_neighbor_sets(slim, neighbor_sets(slim, budget), columns, empty).select(
         "dir",
         "path",
-        (F.coalesce("neighbor_set.n_neighbors", F.lit(0)) + empty).cast("long").alias("n_neighbors"),
-        F.coalesce("neighbor_set.neighbor_chars", F.lit(0)).cast("long").alias("neighbor_chars"),
-        F.coalesce("neighbor_set.neighbors", F.array().cast("array<string>")).alias("neighbors"),
-        empty.cast("long").alias("empty_neighbors"),
+        (F.coalesce(found.n_neighbors, F.lit(0)) + F.col("empty_neighbors")).alias("n_neighbors"),
+        F.coalesce(found.neighbor_chars, F.lit(0)).cast("long").alias("neighbor_chars"),
+        F.coalesce(found.neighbors, F.array().cast("array<string>")).alias("neighbors"),
+        "empty_neighbors",
     )
 
 

@@ -107,8 +107,8 @@ def qualified(scope: Column, name: Column) -> Column:
     return F.concat_ws(".", scope, name)
 
 
-def file_graphs(parsed: DataFrame) -> DataFrame:
-    """``(path, functions)``: the functions of a file with their resolved calls.
+def file_graphs(parsed: DataFrame, *keep: str) -> DataFrame:
+    """``(path, keep…, functions)``: the functions of a file with their resolved calls.
 
     Calls are distinct, in order, builtins dropped.  A call is resolved, first
     match wins: ``self.x`` to the enclosing class; a dotted name to the import
@@ -117,6 +117,7 @@ def file_graphs(parsed: DataFrame) -> DataFrame:
     """
     scoped = parsed.select(
         "path",
+        *keep,
         F.col("facts.elements").alias("_elements"),
         # the last binding of a name wins, so look from the end
         F.reverse(import_names(F.col("facts.graph_imports"))).alias("_bound"),
@@ -154,7 +155,7 @@ def file_graphs(parsed: DataFrame) -> DataFrame:
         )
 
     own = F.filter("_elements", lambda e: e.kind.isin(*FUNCTION_KINDS))
-    return scoped.select("path", F.transform(own, function).alias("functions"))
+    return scoped.select("path", *keep, F.transform(own, function).alias("functions"))
 
 
 def functions(graphs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codecairn.functions.text import path_key
-from codecairn.operators.budgets import empty_files, join_neighbor_sets, neighbor_sets
+from codecairn.operators.budgets import join_neighbor_sets, neighbor_sets
 from codecairn.operators.graph import _same_file
 from codecairn.operators.responses import element_bullet, max_tokens, skeleton_block
 
@@ -152,24 +152,21 @@ def neighbor_texts(files: DataFrame, work: DataFrame) -> DataFrame:
 
 
 def describe_prompts(
-    work: DataFrame, graphs: DataFrame, files: DataFrame, architecture: str | None, project: str
+    work: DataFrame, files: DataFrame, architecture: str | None, project: str
 ) -> DataFrame:
     """``(path, prompt, max_tokens)`` for the files to describe.
 
-    ``work`` holds parsed files, ``graphs`` their functions, ``files`` every
-    file of the project (for the neighbours).
+    ``work`` holds parsed files with their ``functions``, ``files`` every file
+    of the project (for the neighbours).
     """
-    joined = (
-        join_neighbor_sets(work, neighbor_texts(files, work), F.col("neighbor_text"))
-        .join(graphs, "path", "left")
-        .join(empty_files(files), "dir", "left")
-    )
+    empty = files.where(F.col("n_chars") == 0).select("dir", "path", "n_chars")
+    joined = join_neighbor_sets(work, neighbor_texts(files, work), F.col("neighbor_text"), empty)
     none = F.array().cast("array<string>")
     bullets = F.transform(
         "facts.elements", lambda e: element_bullet(e.depth, e.scope_path, e.kind, e.signature)
     )
     callers = F.coalesce(caller_lines(F.col("functions"), F.col("path")), none)
-    empty = F.coalesce("n_empty", F.lit(0)) - F.when(F.col("n_chars") == 0, 1).otherwise(0)
+    empty = F.col("empty_neighbors")
     neighbors = F.nullif(F.coalesce("neighbor_set", F.lit("")), F.lit(""))
     prompt = F.concat_ws(
         "",

@@ -87,9 +87,10 @@ class Store:
         """
         request = F.concat_ws("\x1f", F.lit(model), F.col("max_tokens").cast("string"), "prompt")
         asked = materialize(prompts.withColumn("prompt_hash", F.sha2(request, 256)))
-        wanted = asked.dropDuplicates(["prompt_hash"])
+        wanted = asked
         if not force:
-            wanted = wanted.join(self.read("responses"), "prompt_hash", "left_anti")
+            known = self.read("responses").select("prompt_hash")
+            wanted = asked.join(known, "prompt_hash", "left_anti")
         generate(wanted, model).withColumn("run", F.lit(self.run)).write.mode("append").parquet(
             self.config.table("responses")
         )

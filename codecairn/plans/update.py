@@ -247,33 +247,34 @@ class Build:
 
     # -- describe -----------------------------------------------------------
 
-    def describe_prompts(self, file_filter: str | None = None) -> DataFrame:
-        """The prompts a describe step would send (its dry run)."""
+    def _to_describe(self, file_filter: str | None) -> DataFrame:
         facts = self.store.read("source_facts")
         wanted = filter_files(facts, file_filter, self.config.repo_root) if file_filter else facts
-        work = staleness.stale_descriptions(
+        return staleness.stale_descriptions(
             wanted, self.store.read("file_descriptions"), self.force
         )
+
+    def describe_prompts(self, file_filter: str | None = None) -> DataFrame:
+        """The prompts a describe step would send (its dry run)."""
+        work = self._to_describe(file_filter)
         return prompts.describe_prompts(
-            work,
-            graph.file_graphs(work),
-            facts.select("path", "dir", "source", "n_chars"),
+            graph.file_graphs(work, "dir", "language", "source", "n_chars", "facts"),
+            self.store.read("source_facts").select("path", "dir", "source", "n_chars"),
             self._article(ARCHITECTURE),
             self.config.project_name,
         )
 
     def describe(self, file_filter: str | None = None) -> None:
         facts = self.store.read("source_facts")
-        total = facts.count()
-        asked = materialize(self.describe_prompts(file_filter))
-        count = asked.count()
+        total, count = facts.count(), self._to_describe(file_filter).count()
         self.report["describe"] = {"generated": count, "cached": total - count}
         if not count:
             return
-        files = facts.join(asked.select("path"), "path", "left_semi")
+        answers = materialize(
+            self.store.answer(self.describe_prompts(file_filter), ["path"], self.model, self.force)
+        )
+        files = facts.join(answers.select("path"), "path", "left_semi")
         elements = graph.elements(files).drop("body")
-        answers = self.store.answer(asked, ["path"], self.model, self.force)
-        answers = materialize(answers)
         summary = answers.select("path", responses.response_summary(F.col("response")).alias("summary"))
         symbols = responses.response_symbols(answers).withColumn("round", F.lit(0))
         for turn in range(1, FOLLOW_UPS + 1):
