@@ -50,6 +50,8 @@ def _parser() -> argparse.ArgumentParser:
         if name == "update":
             sub.add_argument("--skip-step", action="append", default=[], choices=STEPS)
     command("index", "build the docs and code indexes", path=False)
+    sub = command("export", "write articles, descriptions and graph as files", path=False)
+    sub.add_argument("folder")
     sub = commands.add_parser("search", help="search the indexes")
     sub.add_argument("query")
     sub.add_argument("--repo-root", default=None)
@@ -78,7 +80,9 @@ def main(argv: list[str] | None = None) -> int:
         spark, config, force=getattr(args, "force", False), model=getattr(args, "model", None)
     )
     targets = [target] if getattr(args, "path", None) else None
-    if args.command == "update":
+    if args.command == "export":
+        report = {"export": build.export(str(Path(args.folder).resolve()))}
+    elif args.command == "update":
         report = build.update(targets, args.skip_step, args.skip_flows)
     else:
         if args.command != "index":

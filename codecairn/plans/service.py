@@ -148,11 +148,11 @@ class Service:
         return described.orderBy(path_key(F.col("path")))
 
     def list_files(self) -> dict:
-        """The file list as plain data, streamed from the ordered table."""
+        """The file list as plain data; ``files`` yields entries as they are read."""
         if not self._opened().exists("file_descriptions"):
             return {"error": "no descriptions found; run the describe step first"}
         rows = self.files().toLocalIterator()
-        return {"files": [{k: v for k, v in r.asDict().items() if v is not None} for r in rows]}
+        return {"files": ({k: v for k, v in r.asDict().items() if v is not None} for r in rows)}
 
 
 def _shape(row) -> dict:

@@ -22,6 +22,7 @@ from codecairn.operators import budgets, chunks, graph, prompts, responses, stal
 from codecairn.plans.store import Store
 from codecairn.session import attach, materialize
 from codecairn.sources.embedders import embed_column
+from codecairn.sources.export import graph_yaml, write_texts
 from codecairn.sources.files import filter_files, scan_roots
 
 STEPS = ("extract", "graph", "synthesize", "describe", "index")
@@ -370,6 +371,43 @@ class Build:
             "code", chunks.code_documents(pieces), pieces, self.config.code_embedding
         )
 
+    # -- files --------------------------------------------------------------
+
+    def export(self, folder: str) -> dict:
+        """Write articles, descriptions and the graph as files below a folder.
+
+        Source lists go into the frontmatter of module summaries only: the
+        other articles cover the whole project, whose list is a table.
+        """
+        sources = self.store.read("article_sources").where(
+            F.startswith("name", F.lit("module-summaries/"))
+        )
+        prompts.require_within(sources, ["name"], "path")
+        listed = sources.groupBy("name").agg(
+            F.array_sort(F.collect_list(F.struct("path", "hash"))).alias("sources")
+        )
+        none = F.array().cast(listed.schema["sources"].dataType)
+        article = responses.article_markdown(
+            F.col("title"), F.col("content"), F.col("type"), F.coalesce("sources", none),
+            F.col("model"), F.col("commit"), F.col("commit_dirty"),
+        )
+        articles = self.store.read("articles").join(listed, "name", "left").select(
+            F.concat(F.lit("articles/"), F.col("name"), F.lit(".md")).alias("path"), article.alias("text")
+        )
+        described = self.store.read("file_descriptions").select(
+            F.concat(F.lit("descriptions/"), F.col("path"), F.lit(".md")).alias("path"),
+            F.col("markdown").alias("text"),
+        )
+        facts = self.store.read("source_facts").withColumn("imports", F.col("facts.graph_imports"))
+        graphs = graph_yaml(graph.file_graphs(facts, "source_hash", "imports")).withColumn(
+            "path", F.concat(F.lit("graph/"), F.col("path"))
+        )
+        return {
+            "articles": write_texts(articles, folder),
+            "descriptions": write_texts(described, folder),
+            "graphs": write_texts(graphs, folder),
+        }
+
     # -- all ----------------------------------------------------------------
 
     def update(

@@ -11,6 +11,7 @@ from codecairn.operators import budgets
 from codecairn.plans.service import Service, search_index
 from codecairn.plans.store import Store
 from codecairn.plans.update import Build
+from codecairn.sources.files import read_graph_yaml, read_markdown
 
 BIG = "\n".join(f"def f{i}():\n    return g{i}()\n" for i in range(200))
 
@@ -100,7 +101,7 @@ def test_service(spark, built):
     assert service.get_symbol_context("none.py")["description"].startswith("No description")
     assert "not found" in service.get_symbol_context("pkg/shop.py", "zzz")["description"]
     assert service.get_architecture()["content"].startswith("# Architecture Overview\n\nGenerated text")
-    files = service.list_files()["files"]
+    files = list(service.list_files()["files"])
     assert [f["path"] for f in files] == ["big.py", "broken.py", "pkg/__init__.py", "pkg/shop.py", "pkg/util.py"]
     assert files[3] == {"path": "pkg/shop.py", "functions": 5, "total_callers": 1, "total_calls": 8}
     assert Service(spark, ["/nowhere/*"]).open_project(str(config.repo_root))["error"]
@@ -121,6 +122,21 @@ def test_search(spark, built):
     assert [-b[0] for b in best] == [r.score for r in both]
 
 
+def test_export(spark, built, tmp_path):
+    config, build = built
+    assert build.export(str(tmp_path)) == {"articles": 4, "descriptions": 5, "graphs": 5}
+    text = (tmp_path / "descriptions/pkg/shop.py.md").read_text()
+    assert text.startswith("---\nsource: pkg/shop.py\nsource_hash: ")
+    docs = read_markdown(spark, tmp_path / "articles", "article")
+    assert sorted(r.path for r in docs.collect())[0] == "architecture-overview.md"
+    graphs = {r.path: r for r in read_graph_yaml(spark, tmp_path / "graph").collect()}
+    stored = build.store.read("functions").where("path = 'pkg/shop.py'").orderBy("fn_ord").collect()
+    assert [f.name for f in graphs["pkg/shop.py"].functions] == [r.name for r in stored]
+    assert [c.asDict() for c in graphs["pkg/shop.py"].functions[3].calls] == [
+        {"name": "top", "resolved": "local"}, {"name": "check", "resolved": None}
+    ]
+
+
 def test_changes_are_picked_up(spark, tmp_path):
     config = make(tmp_path)
     Build(spark, config).update(skip_steps=["index"])
