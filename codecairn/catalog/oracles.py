@@ -284,7 +284,8 @@ FROM cut WHERE r <= {TOP_K}"""
   lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS norm FROM embeddings"""
 
     sql["chunk_markdown"] = f"""WITH RECURSIVE {_CHUNKS}
-SELECT path, chunk_ord, title, heading, content, char_start, char_end, embed_text FROM chunks"""
+SELECT path, chunk_ord, title, heading, content, CAST(char_start AS INT) AS char_start,
+  CAST(char_end AS INT) AS char_end, embed_text FROM chunks"""
 
     # every turn has the same headings, so its sections are known by position
     turn_parts = f"""{_TURN_MD},
@@ -314,7 +315,8 @@ heads AS (
   UNION ALL SELECT path, 4, 'conversation ' || conv_id || ' > empty', 2, o5, o6, '' FROM placed
   UNION ALL SELECT path, 5, 'end', 1, o6, o7, 'Last line of ' || role || '.' FROM placed)"""
     sql["heading_path"] = f"""WITH {turn_parts}
-SELECT path, section_ord, heading, level, pos, section_end FROM heads"""
+SELECT path, section_ord, heading, level, CAST(pos AS INT) AS pos,
+  CAST(section_end AS INT) AS section_end FROM heads"""
     sql["chunk_turns"] = f"""WITH RECURSIVE {turn_parts},
 {_packs('heads', 'path', 'content', 'length(content) > 3000')},
 big AS (
@@ -332,7 +334,7 @@ rows AS (
          pos + strpos(substr(body, pos + 1), substr(content, 1, 50)) - 1,
          pos + strpos(substr(body, pos + 1), substr(content, 1, 50)) - 1 + length(content) FROM big)
 SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY section_ord, pack) - 1 AS INT) AS chunk_ord,
-       heading, content, char_start, char_end FROM rows"""
+       heading, content, CAST(char_start AS INT) AS char_start, CAST(char_end AS INT) AS char_end FROM rows"""
 
     sql["paragraph_pack"] = f"""WITH RECURSIVE src AS (
   SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents),
@@ -363,7 +365,7 @@ UNION ALL SELECT doc_id, 'langs/' || lang, substr(sha256(lang), 1, 12) FROM arti
 WHERE quality IS NOT NULL"""
     sql["content_hash"] = "SELECT doc_id, substr(sha256(text), 1, 12) AS content_hash FROM documents"
     sql["section_extract"] = f"""WITH {turn_parts}
-SELECT path, {_strip('p3 || p4')} AS by_role, {_strip('p4')} AS by_turn, NULL::VARCHAR AS by_nothing
+SELECT path, {_strip('p3 || p4')} AS by_role, {_strip('p4')} AS by_turn, TRUE AS by_nothing_is_null
 FROM pieces"""
 
     sql["path_columns"] = f"""WITH {_PAGES}
@@ -422,9 +424,10 @@ FROM current c LEFT JOIN described d ON c.path = d.path AND c.source_hash = d.so
     sql["response_split"] = f"""WITH {_ANSWERS}
 SELECT path, description AS summary FROM sections WHERE g = 0"""
     sql["response_match"] = f"""WITH {_ANSWERS}
-SELECT path, sym_ord, scope_path, kind, signature, description, line_start, line_end FROM matched"""
+SELECT path, CAST(sym_ord AS INT) AS sym_ord, scope_path, kind, signature, description,
+  CAST(line_start AS INT) AS line_start, CAST(line_end AS INT) AS line_end FROM matched"""
     sql["missing_elements"] = f"""WITH {_ANSWERS}
-SELECT e.path, e.scope_path, e.elem_ord FROM emap e
+SELECT e.path, e.scope_path, CAST(e.elem_ord AS INT) AS elem_ord FROM emap e
 WHERE NOT EXISTS (SELECT 1 FROM symbols s WHERE s.path = e.path AND s.scope_path = e.scope_path)"""
     sql["description_render"] = f"""WITH {_ANSWERS},
 raw AS (
@@ -472,7 +475,7 @@ SELECT path, count(*) AS n_elements,
   CAST(least(greatest(count(*) * 100, 4096), 16384) AS BIGINT) AS max_tokens FROM elems GROUP BY path"""
 
     code = {
-        "py_elements": """SELECT path, elem_ord, parent_ord, depth, kind, name, scope_path, signature,
+        "py_elements": """SELECT path, elem_ord, coalesce(parent_ord, -1) AS parent_ord, depth, kind, name, scope_path, signature,
   decorators, docstring, line_start, line_end FROM elements""",
         "py_raw_imports": """SELECT path, import_ord, replace(raw, '%t', ty) AS raw
 FROM parts, (VALUES (0, 'import os.path'), (1, 'import numpy as np'),

@@ -231,7 +231,7 @@ def section_extract(spark, sf_dir):
         "path",
         tx.extract_section(F.col("text"), F.col("role")).alias("by_role"),
         tx.extract_section(F.col("text"), F.concat(F.lit("urn "), F.col("turn"))).alias("by_turn"),
-        tx.extract_section(F.col("text"), F.lit("nowhere")).alias("by_nothing"),
+        tx.extract_section(F.col("text"), F.lit("nowhere")).isNull().alias("by_nothing_is_null"),
     )
 
 
@@ -413,7 +413,7 @@ def _parsed(spark, sf_dir):
 @query
 def py_elements(spark, sf_dir):
     return graph.elements(_parsed(spark, sf_dir)).select(
-        "path", "elem_ord", "parent_ord", "depth", "kind", "name", "scope_path", "signature",
+        "path", "elem_ord", F.coalesce("parent_ord", F.lit(-1)).alias("parent_ord"), "depth", "kind", "name", "scope_path", "signature",
         F.array_join("decorators", "\n").alias("decorators"), "docstring", "line_start", "line_end",
     )
 
