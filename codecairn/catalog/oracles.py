@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from codecairn.catalog.queries import EMBEDDING, QUERY_TEXT, QUERY_VECTOR, TOP_K
+from codecairn.catalog.queries import (
+    ARCHITECTURE_TEXT,
+    EMBEDDING,
+    PROJECT,
+    QUERY_TEXT,
+    QUERY_VECTOR,
+    TOP_K,
+)
+from codecairn.operators.prompts import ANSWER_FORMAT, ELEMENTS_TASK
 
 # White space trimmed in the SQL texts (the given tables hold no other).
 _WS = "' ' || chr(9) || chr(10) || chr(13)"
@@ -162,6 +170,51 @@ fn_stats AS (
       AS callers_count
   FROM fns f)"""
 
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+# Source of every part file, the greedy walk over its folder, its prompt.
+_PROMPTS = f"""sources AS (
+  SELECT b.path, regexp_replace(b.path, '/[^/]*$', '') AS dir, k,
+    'import os.path' || chr(10) || 'import numpy as np' || chr(10) || 'from .' || ty
+      || ' import load, save as store' || chr(10) || chr(10) || b0 || chr(10) || 'rate = 0.5' || chr(10)
+      || repeat('# ' || nm || chr(10), s) || e1.body || chr(10) || chr(10) || e2.body || chr(10) || chr(10)
+      || '@register("' || nm || '")' || chr(10) || e3.body || chr(10) AS src
+  FROM bodies b
+  JOIN elements e1 ON e1.path = b.path AND e1.elem_ord = 1
+  JOIN elements e2 ON e2.path = b.path AND e2.elem_ord = 2
+  JOIN elements e3 ON e3.path = b.path AND e3.elem_ord = 3),
+item AS (
+  SELECT *, length(src) AS n, row_number() OVER (PARTITION BY dir ORDER BY path) AS i FROM sources),
+walk AS (
+  SELECT dir, path, 0::BIGINT AS i, 0::BIGINT AS used, FALSE AS kept, '' AS other FROM item
+  UNION ALL
+  SELECT w.dir, w.path, x.i, w.used + CASE WHEN x.path <> w.path AND w.used + x.n <= 50000 THEN x.n ELSE 0 END,
+         x.path <> w.path AND w.used + x.n <= 50000, x.path
+  FROM walk w JOIN item x ON x.dir = w.dir AND x.i = w.i + 1),
+near AS (
+  SELECT w.path, string_agg('### ' || x.path || chr(10) || '```' || chr(10) || x.src || chr(10) || '```'
+           || chr(10), '' ORDER BY w.i) AS text
+  FROM walk w JOIN item x ON x.path = w.other WHERE w.kept GROUP BY w.path),
+bullets AS (
+  SELECT path, string_agg(repeat('  ', depth) || '- **' || scope_path || '** (' || kind || ') — `'
+           || signature || '`', chr(10) ORDER BY elem_ord) AS text
+  FROM elements GROUP BY path),
+made AS (
+  SELECT s.path, 'This is the file `' || s.path || '` of `{PROJECT}`.' || chr(10)
+    || chr(10) || '## Architecture' || chr(10) || chr(10) || {_quote(ARCHITECTURE_TEXT)} || chr(10)
+    || coalesce(chr(10) || '## Files next to it' || chr(10) || chr(10) || n.text, '')
+    || chr(10) || '### ' || s.path || chr(10) || '```python' || chr(10) || src || chr(10) || '```' || chr(10)
+    || chr(10) || '## Known callers' || chr(10) || chr(10)
+    || '- `price_' || k || '` is called by: `Part' || k || '.total` (' || s.path || '), `Part' || k
+    || '.add` (' || s.path || ')' || chr(10)
+    || '- `helper_' || k || '` is called by: `Part' || k || '.add` (' || s.path || ')' || chr(10)
+    || '- `Part' || k || '.add` is called by: `Part' || k || '.total` (' || s.path || ')' || chr(10)
+    || {_quote(ELEMENTS_TASK)} || b.text || chr(10)
+    || {_quote(ANSWER_FORMAT.format(lead="Begin with a paragraph on the duty of the file." + chr(10)))} AS prompt
+  FROM sources s JOIN bullets b ON b.path = s.path LEFT JOIN near n ON n.path = s.path)"""
+
 # -- answers --------------------------------------------------------------------------
 
 _ANSWERS = """answer AS (
@@ -507,6 +560,19 @@ FROM parts JOIN (
         "element_list": """SELECT path, elem_ord, repeat('  ', depth) || '- **' || scope_path || '** (' || kind
   || ')' || coalesce(' — `' || signature || '`', '') AS bullet FROM elements""",
     }
+    code["symbol_context"] = """SELECT f.path, f.fn_ord, f.qualified_name,
+  coalesce((SELECT string_agg(caller, ',' ORDER BY fn_ord, call_ord) FROM edges e
+    WHERE e.path = f.path AND e.callee = f.qualified_name), '') AS callers,
+  (SELECT string_agg(name || '=' || coalesce(resolved, '?'), ',' ORDER BY call_ord) FROM call_rows c
+    WHERE c.path = f.path AND c.fn_ord = f.fn_ord) AS calls
+FROM fns f"""
+    code["file_list"] = f"""SELECT path, count(*) AS functions, CAST(sum(callers_count) AS BIGINT) AS total_callers,
+  CAST(sum(calls_count) AS BIGINT) AS total_calls FROM fn_stats GROUP BY path
+UNION ALL SELECT path, 0, 0, 0 FROM (WITH {_PAGES} SELECT path FROM page_path)"""
+    sql["describe_prompts"] = f"""WITH RECURSIVE {_PARTS},
+{_PROMPTS}
+SELECT path, length(prompt) AS n_chars, substr(sha256(prompt), 1, 12) AS prompt_hash,
+  CAST(4096 AS INT) AS max_tokens FROM made"""
     for name, body in code.items():
         sql[name] = f"WITH {_PARTS}\n{body}"
     return sql

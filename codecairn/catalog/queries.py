@@ -12,10 +12,10 @@ from codecairn.config import DEFAULT_EXCLUDE, EmbeddingConfig
 from codecairn.functions import text as tx
 from codecairn.functions.packing import pack_paragraphs
 from codecairn.functions.vectors import l2_norm
-from codecairn.operators import budgets, chunks, graph, responses, search, staleness
-from codecairn.session import attach
+from codecairn.operators import budgets, chunks, graph, prompts, responses, search, staleness
+from codecairn.session import attach, materialize
 from codecairn.sources.embedders import embed_column, embed_query
-from codecairn.sources.files import excluded, hidden, keep_path, supported
+from codecairn.sources.files import excluded, file_columns, hidden, keep_path, supported
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -488,3 +488,55 @@ def element_list(spark, sf_dir):
     e = graph.elements(_parsed(spark, sf_dir))
     bullet = responses.element_bullet(F.col("depth"), F.col("scope_path"), F.col("kind"), F.col("signature"))
     return e.select("path", "elem_ord", bullet.alias("bullet"))
+
+
+@query
+def symbol_context(spark, sf_dir):
+    contexts = graph.symbol_contexts(_file_graphs(spark, sf_dir))
+    named = F.transform(
+        "calls", lambda c: F.concat(c["name"], F.lit("="), F.coalesce(c.resolved, F.lit("?")))
+    )
+    return contexts.select(
+        "path", "fn_ord", "qualified_name",
+        F.array_join("callers", ",").alias("callers"), F.array_join(named, ",").alias("calls"),
+    )
+
+
+@query
+def file_list(spark, sf_dir):
+    """Part files and pages as described files, with call-graph totals where known.
+
+    The graph tables are stored first, as a build does, and then joined.
+    """
+    graphs = materialize(_file_graphs(spark, sf_dir))
+    stats = graph.file_stats(
+        graph.function_stats_from_tables(graph.functions(graphs), graph.calls(graphs))
+    )
+    described = graphs.select("path").unionByName(t.page_paths(spark, sf_dir).select("path"))
+    return described.join(stats, "path", "left").select(
+        "path",
+        F.coalesce("functions", F.lit(0)).alias("functions"),
+        F.coalesce("total_callers", F.lit(0)).alias("total_callers"),
+        F.coalesce("total_calls", F.lit(0)).alias("total_calls"),
+    )
+
+
+# Parameters of the prompt query.
+ARCHITECTURE_TEXT = "Parts import their kind and price themselves."
+PROJECT = "parts"
+
+
+@query
+def describe_prompts(spark, sf_dir):
+    """Prompt of every part file: neighbours within budget, source, callers, elements."""
+    files = file_columns(t.part_files(spark, sf_dir))
+    work = graph.file_graphs(
+        graph.parse_files(files), "dir", "language", "source", "n_chars", "facts"
+    )
+    made = prompts.describe_prompts(work, files, ARCHITECTURE_TEXT, PROJECT)
+    return made.select(
+        "path",
+        F.length("prompt").alias("n_chars"),
+        tx.content_hash(F.col("prompt")).alias("prompt_hash"),
+        "max_tokens",
+    )

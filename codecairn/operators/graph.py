@@ -266,6 +266,35 @@ def file_stats(fn_stats: DataFrame) -> DataFrame:
     )
 
 
+def symbol_contexts(graphs: DataFrame) -> DataFrame:
+    """Callers and calls of every function, from its file's own row.
+
+    The callers of same-named functions are shared; calls keep their order.
+    """
+
+    def callers(name: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                "functions",
+                lambda g: F.transform(
+                    F.filter(g.calls, lambda c: _same_file(c.resolved) & (c["name"] == name)),
+                    lambda c: g.qualified_name,
+                ),
+            )
+        )
+
+    found = F.transform(
+        "functions",
+        lambda f: F.struct(
+            f.fn_ord.alias("fn_ord"),
+            f.qualified_name.alias("qualified_name"),
+            callers(f.qualified_name).alias("callers"),
+            f.calls.alias("calls"),
+        ),
+    )
+    return graphs.select("path", F.inline(found))
+
+
 def callers_of(edges: DataFrame, path: str, name: str) -> DataFrame:
     return (
         edges.where((F.col("path") == path) & (F.col("callee") == name))
