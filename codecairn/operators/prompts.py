@@ -128,17 +128,18 @@ def caller_lines(functions: Column, path: Column) -> Column:
 def neighbor_texts(files: DataFrame, work: DataFrame) -> DataFrame:
     """``(dir, for_path, neighbor_text)`` for the directories that have work.
 
-    One text holds at most one neighbour budget of source.
+    One text holds at most one neighbour budget of source.  Only paths and
+    lengths are compared by directory; source is fetched by path.
     """
-    near = files.join(work.select("dir").distinct(), "dir", "left_semi")
-    sets = neighbor_sets(near.select("dir", "path", "n_chars"))
+    slim = files.select("dir", "path", "n_chars")
+    sets = neighbor_sets(slim.join(work.select("dir").distinct(), "dir", "left_semi"))
     wanted = work.select(F.col("path").alias("for_path"), F.lit(True).alias("_wanted"))
     members = (
         sets.join(wanted, "for_path", "left")
         .where(F.col("for_path").isNull() | F.col("_wanted"))
         .select("dir", "for_path", F.posexplode_outer("neighbors").alias("pos", "path"))
     )
-    blocks = near.select("path", file_block(F.col("path"), F.lit(""), F.col("source")).alias("block"))
+    blocks = files.select("path", file_block(F.col("path"), F.lit(""), F.col("source")).alias("block"))
     return (
         members.join(blocks, "path", "left")
         .groupBy("dir", "for_path")

@@ -67,13 +67,15 @@ class Store:
         writer = df.write.mode("overwrite")
         (writer.partitionBy(by) if by else writer).parquet(self.config.table(name))
 
-    def merge(self, name: str, fresh: DataFrame, key: str) -> None:
+    def merge(self, name: str, fresh: DataFrame, key: str, *more: str) -> None:
         """Replace the rows of the keys in ``fresh`` and keep the others.
 
-        The result is checkpointed first, because it reads the table it replaces.
+        The result is checkpointed first, because it reads the table it
+        replaces.  Rows are laid out by ``key`` and ``more``; name more columns
+        where one key may have very many rows.
         """
         kept = self.read(name).join(fresh.select(key).distinct(), key, "left_anti")
-        self.write(name, materialize(kept.unionByName(fresh)), rank=(key,))
+        self.write(name, materialize(kept.unionByName(fresh)), rank=(key, *more))
 
     # -- generated text ---------------------------------------------------------
 

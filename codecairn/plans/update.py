@@ -114,7 +114,7 @@ class Build:
         # sources last: an article without them is stale, so a lost run repeats it
         self.store.merge("articles", rows, "name")
         self.store.merge(
-            "article_sources", sources.join(fresh.select("name"), "name", "left_semi"), "name"
+            "article_sources", sources.join(fresh.select("name"), "name", "left_semi"), "name", "path"
         )
 
     def _article(self, name: str) -> str | None:
@@ -313,7 +313,7 @@ class Build:
         )
         # symbols first: the file row marks the work as done
         columns = [c.split()[0] for c in _SYMBOL_COLUMNS.split(", ")]
-        self.store.merge("symbol_descriptions", matched.select(*columns), "path")
+        self.store.merge("symbol_descriptions", matched.select(*columns), "path", "sym_ord")
         self.store.merge("file_descriptions", materialize(described), "path")
 
     # -- index --------------------------------------------------------------
