@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codecairn.llm import exact_dedup, quality_rules
+from codecairn.llm import exact_dedup, quality_rules, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op9_simhash": simhash.op9_simhash,
     }
 
 
