@@ -20,7 +20,7 @@ import numpy as np
 #: A filling: ((length, copies), ...), longest first.
 Pattern = tuple[tuple[int, int], ...]
 
-NODE_LIMIT = 3_000
+NODE_LIMIT = 2_500
 #: Fillings kept for one branch.
 WIDTH = 6
 #: Documents added to the largest one when fillings are enumerated; the last takes several copies if it can.
@@ -111,7 +111,7 @@ def fillings(counts: dict[int, int], room: int, most_waste: int) -> list[tuple[i
     index = {n: k for k, n in enumerate(lengths)}
     sums = _reachable(lengths, counts, room)
     found: list[tuple[int, Pattern]] = []
-    budget = [300]  # nodes of one enumeration
+    budget = [2500]  # nodes of one enumeration
     for total in range(room, max(0, room - most_waste) - 1, -1):
         if not sums >> total & 1:
             continue
