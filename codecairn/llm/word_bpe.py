@@ -12,7 +12,8 @@ Encoding
 3. Each batch gets its word ids and puts its documents together by position.
 
 A frequent word is one entry per batch, not one row per occurrence, so no key
-grows hot.  Everything that crosses a shuffle is compressed columns.
+grows hot.  Everything that crosses a shuffle is compressed columns, and the
+batches are kept bucketed, so only the answers move to join them.
 
 Decoding looks ids up in the token-byte table, one row per token of the
 vocabulary file and thus of bounded size.
@@ -38,15 +39,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import public_tokenizers
-from codecairn.llm.common import shared_table, ship, space_led_words, table, vocabulary, whole_text
+from codecairn.llm.common import shared_path, ship, space_led_words, table, vocabulary, whole_text
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: A batch is closed when it holds so many characters, or so many documents.
-BATCH_CHARS, BATCH_DOCS = 24_000_000, 50_000
+BATCH_CHARS, BATCH_DOCS = 14_000_000, 50_000
+#: The most frequent words of a batch get the smallest numbers, which compress best.
+FREQUENT = 1 << 16
+#: Documents taken out of an Arrow batch at once.
+SLICE = 1000
 #: Documents handed on at once when texts are put together.
 OUT_DOCS, OUT_BYTES = 500, 16_000_000
 
-_SENT = "batch long, doc_ids array<long>, n_words binary, places binary, buckets array<struct<bucket:int,words:binary>>"
+_SENT = (
+    "batch long, doc_ids array<long>, n_words binary, frequent binary, places binary, "
+    "buckets array<struct<bucket:int,words:binary>>"
+)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -76,15 +84,25 @@ def _unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte: all low bytes, then the next ones; high ones are nearly constant."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(raw: bytes, offset: int = 0, n: int = -1) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, -1 if n < 0 else 4 * n, offset)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
 def _pack_words(words: list[str]) -> bytes:
-    lengths = np.array([len(w) for w in words], dtype="<u4")
-    return _pack(len(words).to_bytes(4, "little") + lengths.tobytes() + "".join(words).encode("utf-8"))
+    lengths = np.array([len(w) for w in words])
+    return _pack(len(words).to_bytes(4, "little") + _planes(lengths) + "".join(words).encode("utf-8"))
 
 
 def _unpack_words(data: bytes) -> list[str]:
     raw = _unpack(data)
     n = int.from_bytes(raw[:4], "little")
-    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4)).tolist()
+    ends = np.cumsum(_from_planes(raw, 4, n)).tolist()
     text = raw[4 + 4 * n :].decode("utf-8")
     return [text[a:b] for a, b in zip([0, *ends], ends)]
 
@@ -111,20 +129,24 @@ def _send(buckets: int):
                     order[known[word]] = at
                     at += 1
                 sent.append({"bucket": bucket, "words": _pack_words(words)})
-            flat = order[np.concatenate(places)] if places else order
-            # one plane per byte: the high ones are nearly constant
-            planes = np.ascontiguousarray(flat.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-            values = (serial, ids, _pack(np.array(sizes, dtype="<u4").tobytes()), _pack(planes), sent)
+            flat = np.concatenate(places)
+            often = np.argsort(-np.bincount(flat, minlength=len(known)), kind="stable")[:FREQUENT]
+            number = order + len(often)
+            number[often] = np.arange(len(often))
+            values = (
+                serial, ids, _pack(_planes(np.array(sizes))), _pack(_planes(order[often])),
+                _pack(_planes(number[flat])), sent,
+            )
             kinds = (
-                pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(),
+                pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(),
                 pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())])),
             )
             return pa.RecordBatch.from_arrays(
                 [pa.array([v], type=t) for v, t in zip(values, kinds)],
-                names=["batch", "doc_ids", "n_words", "places", "buckets"],
+                names=["batch", "doc_ids", "n_words", "frequent", "places", "buckets"],
             )
 
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 words = space_led_words(text)
                 for word in set(words).difference(known):
@@ -159,9 +181,8 @@ def _encode_words(path: str, pattern: str):
                     if word not in known:
                         known[word] = np.array(encode(word), dtype="<u4").tobytes()
                 found = [known[w] for w in words]
-                sizes = np.array([len(f) // 4 for f in found], dtype="<u4")
-                planes = np.ascontiguousarray(np.frombuffer(b"".join(found), np.uint8).reshape(-1, 4).T).tobytes()
-                out.append((row["batch"], row["bucket"], len(words), _pack(sizes.tobytes() + planes)))
+                sizes, ids = np.array([len(f) // 4 for f in found]), np.frombuffer(b"".join(found), "<u4")
+                out.append((row["batch"], row["bucket"], len(words), _pack(_planes(sizes) + _planes(ids))))
             columns = list(zip(*out)) or [()] * 4
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds)], names=["batch", "bucket", "n", "ids"])
@@ -169,45 +190,62 @@ def _encode_words(path: str, pattern: str):
     return run
 
 
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _id_names(ids: np.ndarray) -> str:
+    """Decimal ids joined by one space."""
+    return " ".join(map(str, ids.tolist()))
+
+
+def _assemble(with_digest: bool):
     """Batch rows with their answers: the ids of each document."""
-    for batch in batches:
-        for at in range(batch.num_rows):
-            row = batch.slice(at, 1).to_pylist()[0]
+
+    def documents(rows: list[tuple]) -> pa.RecordBatch:
+        names = ["doc_id", "n_tokens", "ids", *["ids_sha256"] * with_digest]
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in (b.slice(at, 1) for b in batches for at in range(b.num_rows)):
+            row = one.to_pylist()[0]
             sizes, ids = [np.zeros(0, "<u4")], [np.zeros(0, "<u4")]
             for answer in sorted(row["answers"] or [], key=lambda a: a["bucket"]):
                 raw = _unpack(answer["ids"])
-                sizes.append(np.frombuffer(raw, "<u4", answer["n"]))
-                planes = np.frombuffer(raw, np.uint8, offset=4 * answer["n"]).reshape(4, -1)
-                ids.append(np.ascontiguousarray(planes.T).view("<u4").ravel())
+                sizes.append(_from_planes(raw, 0, answer["n"]))
+                ids.append(_from_planes(raw, 4 * answer["n"]))
             size, all_ids = np.concatenate(sizes).astype(np.int64), np.concatenate(ids)
             first = np.cumsum(size) - size
-            places = np.ascontiguousarray(np.frombuffer(_unpack(row["places"]), np.uint8).reshape(4, -1).T).view("<u4").ravel()
-            if len(places) and int(places.max()) >= len(size):
+            words = np.concatenate([_from_planes(_unpack(row["frequent"])), np.arange(len(size), dtype="<u4")])
+            numbers = _from_planes(_unpack(row["places"]))
+            if len(numbers) and int(numbers.max()) >= len(words):
                 raise ValueError("a batch lacks the ids of some of its words")
-            n_words = np.frombuffer(_unpack(row["n_words"]), "<u4").tolist()
             done, held, out = 0, 0, []
-            for doc_id, n in zip(row["doc_ids"], n_words):
-                word = places[done : done + n]
+            for doc_id, n in zip(row["doc_ids"], _from_planes(_unpack(row["n_words"])).tolist()):
+                word = words[numbers[done : done + n]]
                 done += n
                 long = size[word]
                 ends = np.cumsum(long)
                 total = int(ends[-1]) if n else 0
                 # positions of every id: the word's first one, then running on
                 index = np.repeat(first[word] - (ends - long), long) + np.arange(total)
-                code = all_ids[index].tobytes()
-                out.append((doc_id, total, code))
-                held += len(code)
+                code = all_ids[index]
+                digest = (hashlib.sha256(_id_names(code).encode()).hexdigest(),) * with_digest
+                out.append((doc_id, total, code.tobytes(), *digest))
+                held += 4 * total
                 if len(out) >= OUT_DOCS or held >= OUT_BYTES:
-                    yield _documents(out)
+                    yield documents(out)
                     out, held = [], 0
             if out:
-                yield _documents(out)
+                yield documents(out)
+
+    return run
 
 
-def _documents(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "n_tokens", "ids"])
+def _bucketed(sent: DataFrame, buckets: int) -> DataFrame:
+    """Batches as a table bucketed by batch in the shared folder: joining on batch moves nothing of it."""
+    spark = sent.sparkSession
+    path = shared_path(spark, "bpe_batches")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    sent.write.bucketBy(buckets, "batch").option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
 
 
 def encode(
@@ -216,14 +254,18 @@ def encode(
     text_col: str = "text",
     vocabulary_path: str | None = None,
     pattern: str = public_tokenizers.PATTERN,
+    with_digest: bool = False,
 ) -> DataFrame:
-    """``(doc_id, n_tokens, ids)``; ids as little-endian unsigned 32-bit integers."""
+    """``(doc_id, n_tokens, ids)``; ids as little-endian unsigned 32-bit integers.
+
+    ``with_digest`` adds ``ids_sha256`` of the decimal ids joined by one space.
+    """
     spark = docs.sparkSession
     ship(spark)
     path = vocabulary_path or vocabulary(VOCABULARY)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    sent = shared_table(texts.mapInArrow(_send(4 * width), _SENT), "bpe-batches")
+    sent = _bucketed(texts.mapInArrow(_send(width), _SENT), width)
     answers = (
         sent.select("batch", F.explode("buckets").alias("b"))
         .select("batch", F.col("b.bucket").alias("bucket"), F.col("b.words").alias("words"))
@@ -233,10 +275,11 @@ def encode(
     )
     # one answer per bucket and batch, so the list is as bounded as the batch
     gathered = answers.groupBy("batch").agg(F.collect_list(F.struct("bucket", "n", "ids")).alias("answers"))
+    digest = ", ids_sha256 string" if with_digest else ""
     return (
-        sent.select("batch", "doc_ids", "n_words", "places")
+        sent.select("batch", "doc_ids", "n_words", "frequent", "places")
         .join(gathered, "batch", "left")
-        .mapInArrow(_assemble, "doc_id long, n_tokens long, ids binary")
+        .mapInArrow(_assemble(with_digest), "doc_id long, n_tokens long, ids binary" + digest)
     )
 
 
@@ -256,30 +299,15 @@ def decode(coded: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look_up = token_bytes(path).__getitem__
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             texts = [b"".join(map(look_up, np.frombuffer(b.as_buffer(), "<u4").tolist())) for b in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, type=pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from functools import lru_cache
-
-    name = lru_cache(None)(str)  # ids come from a vocabulary
-    for batch in batches:
-        hashes = [
-            hashlib.sha256(" ".join(map(name, np.frombuffer(b.as_buffer(), "<u4").tolist())).encode()).hexdigest()
-            for b in batch.column("ids")
-        ]
-        decoded = [hashlib.sha256(b.as_buffer()).hexdigest() for b in batch.column("decoded")]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_tokens"), pa.array(hashes), pa.array(decoded)],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
-
-
 def op3_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decode(encode(table(spark, sf_dir, "documents"))).mapInArrow(
-        _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    coded = encode(table(spark, sf_dir, "documents"), with_digest=True)
+    return decode(coded).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
     )
