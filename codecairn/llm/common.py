@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,7 +79,16 @@ def space_led_words(text: str) -> list[str]:
 
 
 def bare_words(text: str) -> list[str]:
-    """Cut at spaces and line feeds, for vocabularies that drop white space."""
+    """Cut at spaces and line feeds, for vocabularies that fold case and drop white space.
+
+    Texts of Latin-1 characters are folded first: for them folding is the same
+    before and after cutting, and more words are equal.
+    """
+    try:
+        text.encode("latin-1")
+        text = text.lower()
+    except UnicodeEncodeError:
+        pass
     return text.replace("\n", " ").split(" ")
 
 
@@ -100,6 +109,12 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
+#: Texts whose new words are encoded together.
+GROUP = 50
+#: Marks that are a pre-token of their own when they end a word after a letter.
+_MARKS = frozenset(".,!?;:")
+
+
 class WordEncoder:
     """Ids of whole texts, each distinct word encoded once while it stays cached.
 
@@ -108,32 +123,37 @@ class WordEncoder:
     of a worker and changes no result.
     """
 
-    def __init__(self, path: str, space_led: bool, width: int = 4, limit: int = 400_000):
+    def __init__(self, path: str, space_led: bool, width: int = 4, limit: int = 600_000):
         self.path, self.width, self.limit = path, width, limit
         self.words = space_led_words if space_led else bare_words
         self.cache: dict[str, bytes] = {}
-
-    def _learn(self, words: Iterable[str]) -> None:
-        new = list(words)
-        if len(self.cache) + len(new) > self.limit:
-            self.cache.clear()
+        size = tokenizer(path).get_vocab_size(with_added_tokens=True)
+        self.names = [i.to_bytes(width, "little") for i in range(size)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Encode new words; one that ends in a mark is its stem's ids and the mark's."""
+        cache, name = self.cache, self.names.__getitem__
+        marked = [w for w in words if w and w[-1] in _MARKS and w[-2:-1].isalpha()]
+        stems = {w[:-1] for w in marked} | {w[-1] for w in marked}
+        new = list((words.difference(marked) | stems).difference(cache))
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             encoded = tokenizer(self.path).encode_batch_fast(part, add_special_tokens=False)
             for word, code in zip(part, encoded):
-                self.cache[word] = b"".join(i.to_bytes(self.width, "little") for i in code.ids)
+                cache[word] = b"".join(map(name, code.ids))
+        for w in marked:
+            cache[w] = cache[w[:-1]] + cache[w[-1]]
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            words = self.words(text)
-            try:
-                yield b"".join(map(self.cache.__getitem__, words))
-            except KeyError:
-                seen = set(words)
-                missing = seen.difference(self.cache)
-                if len(self.cache) + len(missing) > self.limit:
-                    missing = seen
-                self._learn(missing)
+        for at in range(0, len(texts), GROUP):
+            cut = [self.words(text) for text in texts[at : at + GROUP]]
+            distinct = set().union(*cut)
+            missing = distinct.difference(self.cache)
+            if len(self.cache) + 2 * len(missing) > self.limit:
+                self.cache.clear()
+                missing = distinct
+            self._learn(missing)
+            for words in cut:
                 yield b"".join(map(self.cache.__getitem__, words))
 
 

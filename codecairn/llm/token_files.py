@@ -16,7 +16,7 @@ decompressing that alone.  Spark's own commit protocol writes the files, so a
 lost executor leaves no half block.
 
 The dictionary is trained on at most ``SAMPLE_DOCS`` documents of at most
-``SAMPLE_CHARS`` characters, those with the smallest text hash; this bound
+``SAMPLE_CHARS`` characters, those whose texts have the smallest hashes; this bound
 affects compression only.  Every document is written.
 
 Defined results: a null or empty text is the end id alone; null ids come first;
@@ -63,14 +63,12 @@ def _encoded(path: str, end_id: int, id_bytes: int, texts: list[str]) -> Iterato
 
 def train_dictionary(texts: DataFrame, path: str, end_id: int, id_bytes: int) -> bytes:
     """Dictionary bytes; empty when there is too little to learn from."""
-    sample = (
-        texts.where(F.length("text") <= SAMPLE_CHARS)
-        .orderBy(F.xxhash64("text"), "doc_id")
-        .limit(SAMPLE_DOCS)
-        .select("text")
-        .toPandas()["text"]
-        .tolist()
-    )
+    short = texts.where(F.length("text") <= SAMPLE_CHARS).select(F.xxhash64("text").alias("h"), "text")
+    lowest = short.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h").alias("h")).first().h
+    if lowest is None:
+        return b""
+    rows = short.where(F.col("h") <= lowest).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()
+    sample = [r.text for r in rows]
     samples = list(_encoded(path, end_id, id_bytes, sample))
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
