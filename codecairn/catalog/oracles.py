@@ -20,6 +20,10 @@ def _strip(x: str) -> str:
     return f"trim({x}, {_WS})"
 
 
+def _blanks_before(x: str) -> str:
+    return f"length({x}) - length(ltrim({x}, {_WS}))"
+
+
 # -- shared inputs --------------------------------------------------------------
 
 _DOC_MD = """doc_md AS (
@@ -46,26 +50,39 @@ doc_body AS (
   FROM doc_md),
 doc_section AS (
   SELECT *, length(heading) + 2 AS line_end,
-         {_strip("substr(body, length(heading) + 4)")} AS content
+         {_strip("substr(body, length(heading) + 4)")} AS content,
+         length(heading) + 3 + {_blanks_before("substr(body, length(heading) + 4)")} AS text_start
   FROM doc_body)"""
 
 
 def _packs(source: str, key: str, text: str, where: str = "TRUE") -> str:
-    """Recursive greedy packing of the paragraphs of ``text`` per ``key``."""
-    return f"""paras AS (
-  SELECT {key}, list_filter(list_transform(regexp_split_to_array({text}, '\\n\\n+'),
-           lambda p: {_strip('p')}), lambda p: p <> '') AS ps
+    """Recursive greedy packing of the paragraphs of ``text`` per ``key``, with their offsets."""
+    return f"""pieces_of AS (
+  SELECT {key}, regexp_split_to_array({text}, '\\n\\n+') AS raw,
+         regexp_extract_all({text}, '\\n\\n+') AS breaks
   FROM {source} WHERE {where}),
+piece AS (
+  SELECT {key}, u.i, raw[u.i] AS p, length(raw[u.i]) + coalesce(length(breaks[u.i]), 0) AS width
+  FROM pieces_of, LATERAL (SELECT unnest(range(1, len(raw) + 1)) AS i) AS u),
+laid AS (
+  SELECT {key}, i, {_strip('p')} AS para,
+         coalesce(sum(width) OVER (PARTITION BY {key} ORDER BY i
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + {_blanks_before('p')} AS lo
+  FROM piece),
+paras AS (
+  SELECT {key}, list(para ORDER BY i) AS ps, list(lo ORDER BY i) AS los
+  FROM laid WHERE para <> '' GROUP BY {key}),
 walk AS (
-  SELECT {key}, ps, 1 AS i, 0 AS pack, length(ps[1]) AS used FROM paras WHERE len(ps) > 0
+  SELECT {key}, ps, los, 1 AS i, 0 AS pack, length(ps[1]) AS used FROM paras
   UNION ALL
-  SELECT {key}, ps, i + 1,
+  SELECT {key}, ps, los, i + 1,
          CASE WHEN used + length(ps[i + 1]) > 1500 THEN pack + 1 ELSE pack END,
          CASE WHEN used + length(ps[i + 1]) > 1500 THEN length(ps[i + 1])
               ELSE used + length(ps[i + 1]) END
   FROM walk WHERE i < len(ps)),
 packs AS (
-  SELECT {key}, pack, string_agg(ps[i], chr(10) || chr(10) ORDER BY i) AS content
+  SELECT {key}, pack, string_agg(ps[i], chr(10) || chr(10) ORDER BY i) AS content,
+         min(los[i]) AS lo, max(los[i] + length(ps[i])) AS hi
   FROM walk GROUP BY {key}, pack)"""
 
 
@@ -79,8 +96,7 @@ chunk AS (
   UNION ALL
   SELECT s.doc_type, s.path, p.pack, s.title,
          CASE WHEN c.n > 1 THEN s.heading || ' (part ' || (p.pack + 1) || ')' ELSE s.heading END,
-         p.content, strpos(s.body, substr(p.content, 1, 50)) - 1,
-         strpos(s.body, substr(p.content, 1, 50)) - 1 + length(p.content)
+         p.content, s.text_start + p.lo, s.text_start + p.hi
   FROM doc_section s JOIN packs p USING (path) JOIN pack_counts c USING (path)),
 chunks AS (
   SELECT *, title || chr(10) || heading || chr(10) || content AS embed_text FROM chunk)"""
@@ -103,7 +119,7 @@ weights AS (
 _VECTOR = "[" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in QUERY_VECTOR) + "]"
 _SCORED = (
     f"SELECT vec_id, label, round(list_cosine_similarity("
-    f"list_transform(embedding, lambda x: CAST(x AS DOUBLE)), {_VECTOR}), 4) AS score FROM embeddings"
+    f"list_transform(embedding, lambda x: CAST(x AS DOUBLE)), {_VECTOR}), 12) AS score FROM embeddings"
 )
 
 # -- templated source files ---------------------------------------------------------
@@ -206,12 +222,12 @@ made AS (
     || chr(10) || '## Architecture' || chr(10) || chr(10) || {_quote(ARCHITECTURE_TEXT)} || chr(10)
     || coalesce(chr(10) || '## Files next to it' || chr(10) || chr(10) || n.text, '')
     || chr(10) || '### ' || s.path || chr(10) || '```python' || chr(10) || src || chr(10) || '```' || chr(10)
+    || {_quote(ELEMENTS_TASK)} || b.text || chr(10)
     || chr(10) || '## Known callers' || chr(10) || chr(10)
     || '- `price_' || k || '` is called by: `Part' || k || '.total` (' || s.path || '), `Part' || k
     || '.add` (' || s.path || ')' || chr(10)
     || '- `helper_' || k || '` is called by: `Part' || k || '.add` (' || s.path || ')' || chr(10)
     || '- `Part' || k || '.add` is called by: `Part' || k || '.total` (' || s.path || ')' || chr(10)
-    || {_quote(ELEMENTS_TASK)} || b.text || chr(10)
     || {_quote(ANSWER_FORMAT.format(lead="Begin with a paragraph on the duty of the file." + chr(10)))} AS prompt
   FROM sources s JOIN bullets b ON b.path = s.path LEFT JOIN near n ON n.path = s.path)"""
 
@@ -300,8 +316,8 @@ def oracles() -> dict[str, str]:
     sql: dict[str, str] = {}
 
     sql["flagship_search"] = f"""WITH RECURSIVE {_CHUNKS},
-{_weights("chunks", "path, chunk_ord", "'" + EMBEDDING.doc_prefix + "' || embed_text")},
-q AS (SELECT '{EMBEDDING.query_prefix}{QUERY_TEXT}' AS text),
+{_weights("chunks", "path, chunk_ord", "'" + EMBEDDING.before_document + "' || embed_text")},
+q AS (SELECT '{EMBEDDING.before_query}{QUERY_TEXT}' AS text),
 q_count AS (
   SELECT CAST('0x' || substr(sha256(token), 1, 6) AS BIGINT) % {EMBEDDING.dimensions} AS dim, count(*) AS n
   FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM q) GROUP BY 1),
@@ -314,24 +330,27 @@ norms AS (
   FROM weights GROUP BY path, chunk_ord),
 scores AS (
   SELECT c.*, round(coalesce(dot / norm /
-           (SELECT sqrt(sum(CAST(w AS DOUBLE) * CAST(w AS DOUBLE))) FROM q_weight), 0), 4) AS score
+           (SELECT sqrt(sum(CAST(w AS DOUBLE) * CAST(w AS DOUBLE))) FROM q_weight), 0), 12) AS score
   FROM chunks c LEFT JOIN dots USING (path, chunk_ord) LEFT JOIN norms USING (path, chunk_ord))
-SELECT path AS document, doc_type, title, heading, chunk_ord, content, score FROM scores
-ORDER BY score DESC, doc_type, path, chunk_ord LIMIT {TOP_K}"""
+SELECT path AS document, doc_type, title, heading, chunk_ord, content, round(scores.score, 4) AS score FROM scores
+ORDER BY scores.score DESC, doc_type, path, chunk_ord LIMIT {TOP_K}"""
 
     sql["chunk_embeddings"] = f"""WITH RECURSIVE {_CHUNKS},
-{_weights("chunks", "path, chunk_ord", "'" + EMBEDDING.doc_prefix + "' || embed_text")}
+{_weights("chunks", "path, chunk_ord", "'" + EMBEDDING.before_document + "' || embed_text")}
 SELECT path, chunk_ord, CAST(dim AS INT) AS dim, round(CAST(w AS DOUBLE), 4) AS weight FROM weights"""
 
-    sql["vector_topk"] = f"SELECT vec_id, score FROM ({_SCORED}) ORDER BY score DESC, vec_id LIMIT {TOP_K}"
+    sql["vector_topk"] = (
+        f"SELECT vec_id, round(s.score, 4) AS score FROM ({_SCORED}) AS s ORDER BY s.score DESC, vec_id LIMIT {TOP_K}"
+    )
     ranked = f"""WITH scored AS ({_SCORED}),
 sided AS (SELECT vec_id, score, CASE WHEN label < 5 THEN 0 ELSE 1 END AS side FROM scored),
 cut AS (
   SELECT *, row_number() OVER (PARTITION BY side ORDER BY score DESC, vec_id) AS r FROM sided)"""
     sql["vector_topk_merged"] = f"""{ranked}
-SELECT vec_id, score, side FROM cut WHERE r <= {TOP_K} ORDER BY score DESC, side, vec_id LIMIT {TOP_K}"""
+SELECT vec_id, round(cut.score, 4) AS score, side FROM cut WHERE r <= {TOP_K}
+ORDER BY cut.score DESC, side, vec_id LIMIT {TOP_K}"""
     sql["source_selector"] = f"""{ranked}
-SELECT vec_id, score, CASE side WHEN 0 THEN 'docs' ELSE 'code' END AS source, side
+SELECT vec_id, round(score, 4) AS score, CASE side WHEN 0 THEN 'docs' ELSE 'code' END AS source, side
 FROM cut WHERE r <= {TOP_K}"""
     sql["vector_norms"] = """SELECT vec_id, round(sqrt(list_sum(list_transform(embedding,
   lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS norm FROM embeddings"""
@@ -374,8 +393,11 @@ SELECT path, section_ord, heading, level, CAST(pos AS INT) AS pos,
 {_packs('heads', 'path', 'content', 'length(content) > 3000')},
 big AS (
   SELECT h.path, h.section_ord, p.pack, count(*) OVER (PARTITION BY h.path) AS n, h.heading, h.pos,
-         p.content, t.text AS body
-  FROM heads h JOIN packs p USING (path) JOIN turn_md t USING (path) WHERE length(h.content) > 3000),
+         p.content, p.lo, p.hi,
+         h.pos + length('### turn ' || t.turn || chr(10) || chr(10)) + {_blanks_before('t.said')} AS text_start
+  FROM heads h JOIN packs p USING (path)
+  JOIN (SELECT conv_id || '/' || turn AS path, turn, text AS said FROM conversations) t USING (path)
+  WHERE length(h.content) > 3000),
 rows AS (
   SELECT path, -1 AS section_ord, 0 AS pack, '' AS heading, 'Opening of ' || conv_id || '.' AS content,
          0 AS char_start, o1 AS char_end FROM placed
@@ -384,15 +406,14 @@ rows AS (
     FROM heads JOIN turn_md t USING (path) WHERE content <> '' AND length(content) <= 3000
   UNION ALL SELECT path, section_ord, pack,
          CASE WHEN n > 1 THEN heading || ' (part ' || (pack + 1) || ')' ELSE heading END, content,
-         pos + strpos(substr(body, pos + 1), substr(content, 1, 50)) - 1,
-         pos + strpos(substr(body, pos + 1), substr(content, 1, 50)) - 1 + length(content) FROM big)
+         text_start + lo, text_start + hi FROM big)
 SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY section_ord, pack) - 1 AS INT) AS chunk_ord,
        heading, content, CAST(char_start AS INT) AS char_start, CAST(char_end AS INT) AS char_end FROM rows"""
 
     sql["paragraph_pack"] = f"""WITH RECURSIVE src AS (
   SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents),
 {_packs('src', 'doc_id', 'text')}
-SELECT doc_id, pack, content FROM packs"""
+SELECT doc_id, pack, content, CAST(lo AS INT) AS start, CAST(hi AS INT) AS "end" FROM packs"""
 
     sql["kb_documents"] = f"""WITH {_DOC_MD}, {_TURN_MD}
 SELECT doc_type, path, source AS title, substr(sha256(text), 1, 12) AS content_hash FROM doc_md

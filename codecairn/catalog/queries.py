@@ -61,13 +61,13 @@ def flagship_search(spark, sf_dir):
         ["doc_type", "path", "chunk_ord"],
         keep=["title", "heading", "content"],
     )
-    return hits.withColumnRenamed("path", "document")
+    return search.shown(hits).withColumnRenamed("path", "document")
 
 
 @query
 def vector_topk(spark, sf_dir):
     vectors = t.read(spark, sf_dir, "embeddings")
-    return search.top_k(vectors, QUERY_VECTOR, TOP_K, ["vec_id"])
+    return search.shown(search.top_k(vectors, QUERY_VECTOR, TOP_K, ["vec_id"]))
 
 
 def _sides(spark, sf_dir):
@@ -78,7 +78,7 @@ def _sides(spark, sf_dir):
 @query
 def vector_topk_merged(spark, sf_dir):
     docs, code = _sides(spark, sf_dir)
-    return search.search_vectors(docs, code, QUERY_VECTOR, QUERY_VECTOR, TOP_K, ["vec_id"])
+    return search.shown(search.search_vectors(docs, code, QUERY_VECTOR, QUERY_VECTOR, TOP_K, ["vec_id"]))
 
 
 @query
@@ -90,7 +90,7 @@ def source_selector(spark, sf_dir):
         ).withColumn("source", F.lit(source))
         for source in ("docs", "code")
     ]
-    return found[0].unionByName(found[1])
+    return search.shown(found[0].unionByName(found[1]))
 
 
 @query
@@ -142,8 +142,8 @@ def paragraph_pack(spark, sf_dir):
     text = F.replace("text", F.lit("\n"), F.lit("\n\n"))
     return (
         t.read_spread(spark, sf_dir, "documents", "doc_id", "text")
-        .select("doc_id", F.posexplode(pack_paragraphs(text, chunks.CHUNK_TARGET)).alias("pack", "content"))
-        .select("doc_id", "pack", "content")
+        .select("doc_id", F.posexplode(pack_paragraphs(text, chunks.CHUNK_TARGET)).alias("pack", "p"))
+        .select("doc_id", "pack", "p.content", "p.start", "p.end")
     )
 
 

@@ -97,7 +97,7 @@ def document_files(spark: SparkSession, sf_dir: str, directory: str = "source")
     return read(spark, sf_dir, "documents").select(
         F.col(directory).alias("dir"),
         F.concat_ws("/", F.col(directory), F.col("doc_id")).alias("path"),
-        F.length("text").cast("long").alias("n_chars"),
+        "n_chars",
     )
 
 
@@ -122,11 +122,19 @@ def document_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def described_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as described files; a low-quality one was described
     from another version of its text."""
-    labels = read(spark, sf_dir, "labels")
-    docs = read(spark, sf_dir, "documents")
-    version = F.when(F.col("quality") == 1, F.col("text")).otherwise(F.upper("text"))
-    return docs.join(labels, "doc_id").select(
-        F.col("doc_id").cast("string").alias("path"), content_hash(version).alias("source_hash")
+    version = F.when(F.col("quality") == 1, F.col("hash")).otherwise(F.col("old_hash"))
+    return _hashed_documents(spark, sf_dir).join(read(spark, sf_dir, "labels"), "doc_id").select(
+        F.col("doc_id").cast("string").alias("path"), version.alias("source_hash")
+    )
+
+
+def _hashed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the hashes of two versions of their text, computed in the scan:
+    joins carry hashes, not texts."""
+    return read(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang",
+        content_hash(F.col("text")).alias("hash"),
+        content_hash(F.upper("text")).alias("old_hash"),
     )
 
 
@@ -134,13 +142,13 @@ def article_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     """Stored and current ``(name, path, hash)`` of one article per source,
     language and quality; toxic documents have changed since, and documents of
     no label are new."""
-    labelled = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    labelled = _hashed_documents(spark, sf_dir).join(read(spark, sf_dir, "labels"), "doc_id", "left")
     name = F.concat_ws("-", "source", "lang", F.coalesce(F.col("quality").cast("string"), F.lit("new")))
     rows = labelled.select(
         name.alias("name"),
         F.col("doc_id").cast("string").alias("path"),
-        content_hash(F.col("text")).alias("hash"),
-        content_hash(F.upper("text")).alias("old_hash"),
+        "hash",
+        "old_hash",
         "toxic",
     )
     stored = rows.where(F.col("toxic").isNotNull()).select(

@@ -1,58 +1,79 @@
-"""Greedy packing of one text's paragraphs, inside a row."""
+"""Greedy packing of one text's paragraphs.
+
+An order-dependent fold with a result per pack: in the JVM it would copy the
+result array at every step, so it runs once over the text in an Arrow batch.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codecairn.functions.text import one_of, strip
+_BREAK = re.compile(r"\n\n+")
 
+#: A pack and where it lies in its text: first character of its first paragraph, end of its last.
+PACK = pa.struct([("content", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+PACK_TYPE = "struct<content:string,start:int,end:int>"
 
-def paragraphs(text: Column) -> Column:
-    """Stripped, non-blank paragraphs."""
-    return F.filter(
-        F.transform(F.split(text, "\n\n+"), lambda p: strip(p)), lambda p: p != ""
-    )
 
+def paragraphs(text: str) -> Iterator[tuple[str, int]]:
+    """Stripped, non-blank paragraphs and their offsets."""
+    start = 0
+    for end, following in [*(m.span() for m in _BREAK.finditer(text)), (len(text), 0)]:
+        raw = text[start:end]
+        if para := raw.strip():
+            yield para, start + len(raw) - len(raw.lstrip())
+        start = following
 
-def pack_starts(lengths: Column, target: int) -> Column:
-    """0-based index of the first paragraph of every pack but the first."""
-    start = F.struct(
-        F.lit(0).alias("i"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("starts")
-    )
 
-    def step(acc: Column, length: Column) -> Column:
-        full = (acc.i > 0) & (acc.used + length > target)
-        return F.struct(
-            (acc.i + 1).alias("i"),
-            F.when(full, length).otherwise(acc.used + length).alias("used"),
-            F.when(full, F.array_append(acc.starts, acc.i)).otherwise(acc.starts).alias("starts"),
-        )
+def packs_of(text: str, target: int) -> list[dict]:
+    """Packs in order; a paragraph longer than ``target`` stays whole.
 
-    return F.aggregate(lengths, start, step, lambda acc: acc.starts)
+    A pack closes when the next paragraph would take its paragraph characters
+    (separators not counted) over ``target``.
+    """
+    packs: list[dict] = []
+    held: list[str] = []
+    used = start = end = 0
+
+    def close() -> None:
+        if held:
+            packs.append({"content": "\n\n".join(held), "start": start, "end": end})
+
+    for para, at in paragraphs(text):
+        if held and used + len(para) > target:
+            close()
+            held, used = [], 0
+        if not held:
+            start = at
+        held.append(para)
+        used += len(para)
+        end = at + len(para)
+    close()
+    return packs
 
 
 def pack_paragraphs(text: Column, target: int) -> Column:
-    """Array of packs; a paragraph longer than ``target`` stays whole.
+    """Array of ``(content, start, end)`` per text; null for a null text."""
 
-    A pack closes when the next paragraph would take its paragraph characters
-    (separators not counted) over ``target``.
-    """
+    @F.arrow_udf(f"array<{PACK_TYPE}>")
+    def packs(texts: pa.Array) -> pa.Array:
+        made = [None if t is None else packs_of(t, target) for t in texts.to_pylist()]
+        return pa.array(made, pa.list_(PACK))
+
+    return packs(text)
 
-    def build(paras: Column) -> Column:
-        starts = pack_starts(F.transform(paras, lambda p: F.length(p)), target)
-        bounds = F.concat(F.array(F.lit(0)), starts, F.array(F.size(paras)))
 
-        def cut(b: Column) -> Column:
-            return F.transform(
-                F.slice(b, F.lit(1), F.size(b) - 1),
-                lambda lo, i: F.array_join(
-                    F.slice(paras, lo + 1, F.get(b, i + 1) - lo), "\n\n"
-                ),
-            )
+def pack_each(texts: Column, target: int) -> Column:
+    """The same for every text of an array; null elements have no packs."""
 
-        return F.when(F.size(paras) > 0, one_of(bounds, cut)).otherwise(
-            F.array().cast("array<string>")
-        )
+    @F.arrow_udf(f"array<array<{PACK_TYPE}>>")
+    def packs(rows: pa.Array) -> pa.Array:
+        made = [[[] if t is None else packs_of(t, target) for t in row or ()] for row in rows.to_pylist()]
+        return pa.array(made, pa.list_(pa.list_(PACK)))
 
-    return one_of(paragraphs(text), build)
+    return packs(texts)

@@ -74,6 +74,12 @@ _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _NESTED = (*_DEFS, ast.ClassDef)
 _LEAVES = (ast.Name, ast.Constant, ast.expr_context, ast.operator, ast.unaryop, ast.boolop, ast.cmpop)
 _LINE = re.compile(rb"\r\n|\r|\n")
+_TEXT_LINE = re.compile(_LINE.pattern.decode())
+
+
+def _text_line_starts(text: str) -> list[int]:
+    """Starts of lines as the tokenizer counts them: no other character ends one."""
+    return [0, *(m.end() for m in _TEXT_LINE.finditer(text))]
 
 
 def parse_column(content: Column) -> Column:
@@ -167,7 +173,7 @@ class _Reader:
             "scope_path": f"{parent['scope_path']} > {name}" if parent else name,
             "class_name": parent["name"] if parent else None,
             "signature": None,
-            "decorators": [self.decorator(d) for d in getattr(node, "decorator_list", [])],
+            "decorators": [self.decorator(d, self.start(node)) for d in getattr(node, "decorator_list", [])],
             "docstring": self.docstring(node) if kind != "constant" else None,
             "line_start": node.lineno,
             "line_end": node.end_lineno,
@@ -187,9 +193,23 @@ class _Reader:
             row = self.element(node, "constant", parent, out)
             row["signature"] = self.text(row["start"], row["start"] + row["length"])
 
-    def decorator(self, node: ast.expr) -> str:
-        at = self.content.rfind(b"@", 0, self.start(node))
-        return self.text(at, self.end(node))
+    def decorator(self, node: ast.expr, until: int) -> str:
+        """From the "@" to the end of its logical line, comments left out.
+
+        ``until`` is where the decorated definition starts.  Brackets around
+        the whole expression are no part of its node.
+        """
+        at, end = self.content.rfind(b"@", 0, self.start(node)), self.end(node)
+        if self.content[end:until].lstrip(b" \t\f")[:1] in (b"", b"\r", b"\n", b"#") and self.content[at + 1 : at + 2] != b"(":
+            return self.text(at, end)
+        lines = self.text(at, until)
+        starts, last = _text_line_starts(lines), 0
+        for token in tokenize.generate_tokens(io.StringIO(lines, newline="").readline):
+            if token.type == tokenize.NEWLINE:
+                break
+            if token.type not in (tokenize.COMMENT, tokenize.NL):
+                last = starts[token.end[0] - 1] + token.end[1]
+        return lines[:last]
 
     def docstring(self, node: ast.stmt) -> str | None:
         """Text of a leading string statement: quotes cut, no dedent, no escapes read."""
@@ -216,9 +236,7 @@ class _Reader:
         first = node.body[0]
         body = min([self.start(first), *(self.start(d) for d in getattr(first, "decorator_list", []))])
         lines = self.text(start, body)
-        starts = [0]
-        for line in lines.splitlines(keepends=True):
-            starts.append(starts[-1] + len(line))
+        starts = _text_line_starts(lines)
         depth, brackets, parens, arrow, last = 0, None, ["", ""], None, 0
         try:
             for token in tokenize.generate_tokens(io.StringIO(lines, newline="").readline):

@@ -107,12 +107,28 @@ def frontmatter_scalars(text: Column) -> Column:
 
 
 def frontmatter_sources(text: Column) -> Column:
-    """Array of (path, hash) listed under ``sources:``; a repeated path keeps its last hash."""
-    raw = F.coalesce(frontmatter_raw(text), F.lit(""))
-    block = F.regexp_extract(raw, r"(?m)^sources:[^\n]*((?:\n  [^\n]*:[^\n]*)*)", 1)
-    lines = F.filter(F.split(block, "\n"), lambda line: line != "")
+    """Array of (path, hash) listed under ``sources:``; a repeated path keeps its last hash.
+
+    Entries are the indented ``path: hash`` lines right below; work is in
+    proportion to the lines (times their logarithm, for repeated paths).
+    """
+    lines = F.split(F.coalesce(frontmatter_raw(text), F.lit("")), "\n")
+
+    def block(all_lines: Column) -> Column:
+        opens = F.array_position(F.transform(all_lines, lambda s: F.startswith(s, F.lit("sources:"))), True)
+        return F.when(
+            opens > 0, F.slice(all_lines, opens.cast("int") + 1, F.size(all_lines))
+        ).otherwise(F.array().cast("array<string>"))
+
+    def leading_entries(below: Column) -> Column:
+        is_entry = F.transform(
+            below, lambda s: F.startswith(s, F.lit("  ")) & F.contains(F.substring(s, 3, 1 << 30), F.lit(":"))
+        )
+        stop = F.array_position(is_entry, False).cast("int")
+        return F.when(stop > 0, F.slice(below, F.lit(1), stop - 1)).otherwise(below)
+
     entries = F.transform(
-        lines,
+        one_of(one_of(lines, block), leading_entries),
         lambda line: F.struct(
             strip(F.substring_index(strip(line), ":", 1)).alias("path"),
             strip(_after_colon(strip(line))).alias("hash"),
@@ -126,14 +142,22 @@ def _after_colon(line: Column) -> Column:
 
 
 def last_by_key(entries: Column, key: str) -> Column:
-    """Keep, of an array of structs, the last entry per ``key`` field."""
-    return F.filter(
-        entries,
-        lambda entry, i: ~F.exists(
-            F.slice(entries, i + 2, F.size(entries)),
-            lambda later: later.getField(key) == entry.getField(key),
-        ),
+    """Keep, of an array of structs, the last entry per ``key`` field, in the order of the array."""
+    keyed = F.array_sort(
+        F.transform(
+            entries, lambda e, i: F.struct(e.getField(key).alias("k"), i.alias("i"), e.alias("entry"))
+        )
+    )
+
+    def last_of_each(rows: Column) -> Column:
+        return F.filter(
+            rows, lambda r, j: F.coalesce(~F.get(rows, j + 1).k.eqNullSafe(r.k), F.lit(True)) | (j == F.size(rows) - 1)
+        )
+
+    back = F.array_sort(
+        F.transform(one_of(keyed, last_of_each), lambda r: F.struct(r.i.alias("i"), r.entry.alias("entry")))
     )
+    return F.transform(back, lambda r: r.entry)
 
 
 def drop_title_line(body: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from codecairn.functions.packing import pack_paragraphs
+from codecairn.functions.packing import pack_each
 from codecairn.functions.text import (
+    WHITESPACE,
     content_hash,
     frontmatter_body,
     frontmatter_field,
@@ -15,11 +18,9 @@ from codecairn.functions.text import (
     strip,
 )
 
-# Pack size, size above which a section is packed, and how many
-# leading characters of a pack are looked up to find its offset.
+# Pack size, size above which a section is packed.
 CHUNK_TARGET = 1500
 CHUNK_MAX = 3000
-OFFSET_PROBE = 50
 
 # Fixed value: a markdown heading, `.` and `$` stopping at \n only and \s
 # covering Unicode white space.
@@ -37,9 +38,9 @@ def with_sections(docs: DataFrame) -> DataFrame:
     """Add title, body and the heading sections of each document.
 
     ``lead`` is the text before the first heading.  ``sections`` holds, per
-    heading, its breadcrumb, start, content start and section end (0-based
-    offsets in ``body``) and stripped content.  Everything stays inside the
-    row: no text is shuffled.
+    heading, its breadcrumb, start, content start, section end and the start of
+    its stripped content (0-based offsets in ``body``), and that content.
+    Everything stays inside the row: no text is shuffled.
     """
     raw = frontmatter_raw(F.col("text"))
     split = (
@@ -64,60 +65,73 @@ def with_sections(docs: DataFrame) -> DataFrame:
                     strip(F.ltrim(z["head"], F.lit("#"))).alias("label"),
                     F.length(whole).alias("width"),
                     F.when(newline > 0, newline).otherwise(F.length(whole) + 1).alias("skip"),
-                    F.when(newline > 0, strip(F.substring(whole, newline + 1, F.length(whole))))
+                    F.when(newline > 0, F.substring(whole, newline + 1, F.length(whole)))
                     .otherwise("")
-                    .alias("content"),
+                    .alias("under"),
                 ),
             ),
         ),
     )
-    start = F.struct(
-        F.length("lead").alias("pos"),
-        F.array().cast("array<struct<level:int,label:string>>").alias("stack"),
-        F.array().cast("array<struct<heading:string,pos:int>>").alias("out"),
-    )
-
-    def step(acc: Column, fact: Column) -> Column:
-        stack = F.concat(
-            F.filter(acc.stack, lambda s: s.level < fact.level),
-            F.array(F.struct(fact.level.alias("level"), fact.label.alias("label"))),
-        )
-        return one_of(
-            stack,
-            lambda s: F.struct(
-                (acc.pos + fact.width).alias("pos"),
-                s.alias("stack"),
-                F.array_append(
-                    acc.out,
-                    F.struct(
-                        F.array_join(F.transform(s, lambda x: x.label), " > ").alias("heading"),
-                        acc.pos.alias("pos"),
-                    ),
-                ).alias("out"),
-            ),
-        )
-
     return (
         split.withColumn("_facts", facts)
-        .withColumn("_paths", F.aggregate("_facts", start, step, lambda acc: acc.out))
+        .withColumn(
+            "_paths",
+            breadcrumbs(F.transform("_facts", lambda f: f.level), F.transform("_facts", lambda f: f.label)),
+        )
+        .withColumn("_starts", section_starts(F.length("lead"), F.transform("_facts", lambda f: f.width)))
         .withColumn(
             "sections",
             F.transform(
-                F.arrays_zip(F.col("_facts").alias("f"), F.col("_paths").alias("p")),
+                F.arrays_zip(
+                    F.col("_facts").alias("f"), F.col("_paths").alias("p"), F.col("_starts").alias("s")
+                ),
                 lambda z: F.struct(
-                    z["p"].heading.alias("heading"),
+                    z["p"].alias("heading"),
                     z["f"].level.alias("level"),
-                    z["p"].pos.alias("pos"),
-                    (z["p"].pos + z["f"].skip).alias("content_start"),
-                    (z["p"].pos + z["f"].width).alias("section_end"),
-                    z["f"].content.alias("content"),
+                    z["s"].alias("pos"),
+                    (z["s"] + z["f"].skip).alias("content_start"),
+                    (z["s"] + z["f"].width).alias("section_end"),
+                    (
+                        z["s"] + z["f"].skip + F.length(z["f"].under)
+                        - F.length(F.ltrim(z["f"].under, F.lit(WHITESPACE)))
+                    ).alias("text_start"),
+                    strip(z["f"].under).alias("content"),
                 ),
             ),
         )
-        .drop("_raw", "_heads", "_rest", "_facts", "_paths")
+        .drop("_raw", "_heads", "_rest", "_facts", "_paths", "_starts")
     )
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def breadcrumbs(levels: pa.Array, labels: pa.Array) -> pa.Array:
+    """Labels of each heading's open ancestors and its own, joined."""
+    made = []
+    for row_levels, row_labels in zip(levels.to_pylist(), labels.to_pylist()):
+        stack: list[tuple[int, str]] = []
+        paths = []
+        for level, label in zip(row_levels or (), row_labels or ()):
+            while stack and stack[-1][0] >= level:
+                stack.pop()
+            stack.append((level, label))
+            paths.append(" > ".join(name for _, name in stack))
+        made.append(paths)
+    return pa.array(made, pa.list_(pa.string()))
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def section_starts(lead: pa.Array, widths: pa.Array) -> pa.Array:
+    """Running sums: where each section starts."""
+    made = []
+    for at, row in zip(lead.to_pylist(), widths.to_pylist()):
+        starts = []
+        for width in row or ():
+            starts.append(at)
+            at += width
+        made.append(starts)
+    return pa.array(made, pa.list_(pa.int32()))
+
+
 def _chunk(heading: Column, content: Column, start: Column, end: Column) -> Column:
     return F.struct(
         heading.alias("heading"),
@@ -127,50 +141,32 @@ def _chunk(heading: Column, content: Column, start: Column, end: Column) -> Colu
     )
 
 
-def _section_chunks(section: Column, body: Column) -> Column:
-    def packed(packs: Column) -> Column:
-        return F.transform(
-            packs,
-            lambda text, j: one_of(
-                _offset(body, text, section.pos),
-                lambda at: _chunk(
+def _section_chunks(section: Column, packs: Column) -> Column:
+    whole = _chunk(section.heading, section.content, section.content_start, section.section_end)
+    return (
+        F.when(section.content == "", F.array().cast(_CHUNKS))
+        .when(
+            F.length(section.content) > CHUNK_MAX,
+            F.transform(
+                packs,
+                lambda pack, j: _chunk(
                     F.when(
                         F.size(packs) > 1,
-                        F.concat(
-                            section.heading, F.lit(" (part "), (j + 1).cast("string"), F.lit(")")
-                        ),
+                        F.concat(section.heading, F.lit(" (part "), (j + 1).cast("string"), F.lit(")")),
                     ).otherwise(section.heading),
-                    text,
-                    at,
-                    at + F.length(text),
+                    pack.content,
+                    section.text_start + pack.start,
+                    section.text_start + pack.end,
                 ),
             ),
         )
-
-    return (
-        F.when(section.content == "", F.array().cast(_CHUNKS))
-        .when(
-            F.length(section.content) > CHUNK_MAX,
-            one_of(pack_paragraphs(section.content, CHUNK_TARGET), packed),
-        )
-        .otherwise(
-            F.array(
-                _chunk(section.heading, section.content, section.content_start, section.section_end)
-            )
-        )
+        .otherwise(F.array(whole))
     )
 
 
 _CHUNKS = "array<struct<heading:string,content:string,char_start:int,char_end:int>>"
 
 
-def _offset(body: Column, text: Column, pos: Column) -> Column:
-    """First place at or after ``pos`` where the pack's opening characters occur."""
-    probe = F.substring(text, 1, OFFSET_PROBE)
-    found = F.call_function("locate", probe, body, pos + 1)
-    return F.when(found > 0, found - 1).otherwise(pos)
-
-
 def chunk_markdown(docs: DataFrame) -> DataFrame:
     """``(doc_type, path, text)`` to chunks, one row per chunk in document order."""
     lead = strip(F.col("lead"))
@@ -186,11 +182,22 @@ def chunk_markdown(docs: DataFrame) -> DataFrame:
             F.when(
                 lead != "", F.array(_chunk(F.lit(""), lead, F.lit(0), F.length("lead")))
             ).otherwise(none),
-            F.flatten(F.transform("sections", lambda s: _section_chunks(s, F.col("body")))),
+            F.flatten(
+                F.transform(
+                    F.arrays_zip(F.col("sections").alias("s"), F.col("_packs").alias("packs")),
+                    lambda z: _section_chunks(z["s"], z["packs"]),
+                )
+            ),
         )
     )
     return (
         with_sections(docs)
+        .withColumn(
+            "_packs",
+            pack_each(
+                F.transform("sections", lambda s: F.when(F.length(s.content) > CHUNK_MAX, s.content)), CHUNK_TARGET
+            ),
+        )
         .select("doc_type", "path", "title", F.posexplode(pieces).alias("chunk_ord", "c"))
         .select(
             "doc_type",

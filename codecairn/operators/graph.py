@@ -10,16 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codecairn.functions.lookup import all_positions, last_positions, running_starts
 from codecairn.functions.pyfacts import parse_column
 
 # Names treated as builtins when called bare.
 BUILTINS = (
-    "abs all any ascii bin bool breakpoint bytearray bytes callable chr classmethod compile "
-    "complex delattr dict dir divmod enumerate eval exec filter float format frozenset getattr "
-    "globals hasattr hash help hex id input int isinstance issubclass iter len list locals map "
-    "max memoryview min next object oct open ord pow print property range repr reversed round "
-    "set setattr slice sorted staticmethod str sum super tuple type vars zip"
-).split()
+    "abs", "all", "any", "ascii", "bin", "bool", "breakpoint", "bytearray", "bytes", "callable", "chr",
+    "classmethod", "compile", "complex", "delattr", "dict", "dir", "divmod", "enumerate", "eval", "exec",
+    "filter", "float", "format", "frozenset", "getattr", "globals", "hasattr", "hash", "help", "hex", "id",
+    "input", "int", "isinstance", "issubclass", "iter", "len", "list", "locals", "map", "max", "memoryview",
+    "min", "next", "object", "oct", "open", "ord", "pow", "print", "property", "range", "repr", "reversed",
+    "round", "set", "setattr", "slice", "sorted", "staticmethod", "str", "sum", "super", "tuple", "type",
+    "vars", "zip",
+)
 
 # Kinds that define a callable or class name.
 FUNCTION_KINDS = ("function", "method")
@@ -119,43 +122,57 @@ def file_graphs(parsed: DataFrame, *keep: str) -> DataFrame:
         "path",
         *keep,
         F.col("facts.elements").alias("_elements"),
-        # the last binding of a name wins, so look from the end
-        F.reverse(import_names(F.col("facts.graph_imports"))).alias("_bound"),
+        import_names(F.col("facts.graph_imports")).alias("_bound"),
         F.transform(
             F.filter("facts.elements", lambda e: e.kind.isin(*DEFINITION_KINDS)),
             lambda e: e["name"],
         ).alias("_defined"),
     )
 
-    def module_of(name: Column) -> Column:
-        return F.get(F.filter("_bound", lambda b: b["name"] == name), F.lit(0)).module
+    own = F.filter("_elements", lambda e: e.kind.isin(*FUNCTION_KINDS))
+    called = scoped.withColumn("_own", own).withColumn(
+        "_kept",
+        F.transform(
+            "_own", lambda e: F.filter(F.array_distinct(e.raw_calls), lambda raw: ~raw.isin(*BUILTINS))
+        ),
+    )
+    # the calls of all functions end to end, each looked up once; the last binding of a name wins
+    flat = F.flatten("_kept")
+    first_part = F.transform(flat, lambda raw: F.substring_index(raw, ".", 1))
+    found = called.withColumns(
+        {
+            "_import_at": last_positions(first_part, F.transform("_bound", lambda b: b["name"])),
+            "_defined_at": last_positions(flat, F.col("_defined")),
+            "_start": running_starts(F.transform("_kept", lambda k: F.size(k))),
+        }
+    )
 
-    def resolve(raw: Column, class_name: Column) -> Column:
+    def resolve(raw: Column, class_name: Column, at: Column) -> Column:
         own = F.startswith(raw, F.lit("self."))
         method = F.substring(raw, F.lit(6), F.length(raw))
+        local = ~F.contains(raw, F.lit(".")) & F.get("_defined_at", at).isNotNull()
         return F.struct(
             F.when(own & class_name.isNotNull(), F.concat_ws(".", class_name, method))
             .otherwise(raw)
             .alias("name"),
             F.when(own, F.lit("self"))
-            .when(F.contains(raw, F.lit(".")), module_of(F.substring_index(raw, ".", 1)))
-            .when(F.array_contains(F.col("_defined"), raw), F.lit("local"))
-            .otherwise(module_of(raw))
+            .when(local, F.lit("local"))
+            .otherwise(F.get("_bound", F.get("_import_at", at)).module)
             .alias("resolved"),
         )
 
     def function(e: Column, i: Column) -> Column:
-        kept = F.filter(F.array_distinct(e.raw_calls), lambda raw: ~raw.isin(*BUILTINS))
         return F.struct(
             i.alias("fn_ord"),
             e["name"].alias("name"),
             e.class_name.alias("scope"),
             qualified(e.class_name, e["name"]).alias("qualified_name"),
-            F.transform(kept, lambda raw: resolve(raw, e.class_name)).alias("calls"),
+            F.transform(
+                F.get("_kept", i), lambda raw, j: resolve(raw, e.class_name, F.get("_start", i) + j)
+            ).alias("calls"),
         )
 
-    own = F.filter("_elements", lambda e: e.kind.isin(*FUNCTION_KINDS))
-    return scoped.select("path", *keep, F.transform(own, function).alias("functions"))
+    return found.select("path", *keep, F.transform("_own", function).alias("functions"))
 
 
 def functions(graphs: DataFrame) -> DataFrame:
@@ -211,26 +228,26 @@ def function_stats(graphs: DataFrame) -> DataFrame:
 
     Edges stay within a file, so the counts come from the file's own row.
     """
-    targets = F.flatten(
+    return symbol_contexts(graphs).select(
+        "path",
+        "fn_ord",
+        "qualified_name",
+        F.size("calls").cast("long").alias("calls_count"),
+        F.size("callers").cast("long").alias("callers_count"),
+    )
+
+
+def inner_edges(functions: Column) -> Column:
+    """``(callee, caller)`` of every call that stays in the file, in order."""
+    return F.flatten(
         F.transform(
-            "functions",
+            functions,
             lambda f: F.transform(
-                F.filter(f.calls, lambda c: _same_file(c.resolved)), lambda c: c["name"]
+                F.filter(f.calls, lambda c: _same_file(c.resolved)),
+                lambda c: F.struct(c["name"].alias("callee"), f.qualified_name.alias("caller")),
             ),
         )
     )
-    counted = F.transform(
-        "functions",
-        lambda f: F.struct(
-            f.fn_ord.alias("fn_ord"),
-            f.qualified_name.alias("qualified_name"),
-            F.size(f.calls).cast("long").alias("calls_count"),
-            F.size(F.filter("_targets", lambda t: t == f.qualified_name))
-            .cast("long")
-            .alias("callers_count"),
-        ),
-    )
-    return graphs.withColumn("_targets", targets).select("path", F.inline(counted))
 
 
 def function_stats_from_tables(fns: DataFrame, call_rows: DataFrame) -> DataFrame:
@@ -271,28 +288,20 @@ def symbol_contexts(graphs: DataFrame) -> DataFrame:
 
     The callers of same-named functions are shared; calls keep their order.
     """
-
-    def callers(name: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                "functions",
-                lambda g: F.transform(
-                    F.filter(g.calls, lambda c: _same_file(c.resolved) & (c["name"] == name)),
-                    lambda c: g.qualified_name,
-                ),
-            )
-        )
-
-    found = F.transform(
-        "functions",
-        lambda f: F.struct(
-            f.fn_ord.alias("fn_ord"),
-            f.qualified_name.alias("qualified_name"),
-            callers(f.qualified_name).alias("callers"),
-            f.calls.alias("calls"),
+    edges = inner_edges(F.col("functions"))
+    placed = graphs.withColumn("_edges", edges).withColumn(
+        "_at",
+        all_positions(
+            F.transform("functions", lambda f: f.qualified_name), F.transform("_edges", lambda e: e.callee)
         ),
     )
-    return graphs.select("path", F.inline(found))
+    return placed.select("path", "_edges", "_at", F.posexplode("functions").alias("_i", "f")).select(
+        "path",
+        "f.fn_ord",
+        "f.qualified_name",
+        F.transform(F.get("_at", F.col("_i")), lambda i: F.get("_edges", i).caller).alias("callers"),
+        "f.calls",
+    )
 
 
 def callers_of(edges: DataFrame, path: str, name: str) -> DataFrame:

@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codecairn.functions.lookup import all_positions
 from codecairn.functions.text import path_key
 from codecairn.operators.budgets import join_neighbor_sets, neighbor_sets
-from codecairn.operators.graph import _same_file
+from codecairn.operators.graph import inner_edges
 from codecairn.operators.responses import element_bullet, max_tokens, skeleton_block
 
 # Characters of one file, and of one diff, shown in a prompt.
@@ -101,28 +102,27 @@ def require_within(df: DataFrame, keys: list[str], text: str, ceiling: int = PRO
 
 # -- descriptions -------------------------------------------------------------
 
-def caller_lines(functions: Column, path: Column) -> Column:
-    """One line per function that has callers in its file, in order."""
-    names = F.array_distinct(F.transform(functions, lambda f: f.qualified_name))
-
-    def callers(name: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                functions,
-                lambda g: F.transform(
-                    F.filter(g.calls, lambda c: _same_file(c.resolved) & (c["name"] == name)),
-                    lambda c: F.concat(F.lit("`"), g.qualified_name, F.lit("` ("), path, F.lit(")")),
-                ),
-            )
-        )
-
-    listed = F.transform(names, lambda n: F.struct(n.alias("name"), callers(n).alias("callers")))
-    return F.transform(
-        F.filter(listed, lambda x: F.size(x.callers) > 0),
-        lambda x: F.concat(
-            F.lit("- `"), x["name"], F.lit("` is called by: "), F.array_join(x.callers, ", ")
+def with_caller_lines(files: DataFrame) -> DataFrame:
+    """Add ``caller_lines``: a line per function that has callers in its file, in order."""
+    placed = (
+        files.withColumn("_edges", inner_edges(F.col("functions")))
+        .withColumn("_names", F.array_distinct(F.transform("functions", lambda f: f.qualified_name)))
+        .withColumn("_at", all_positions(F.col("_names"), F.transform("_edges", lambda e: e.callee)))
+    )
+    listed = F.filter(
+        F.arrays_zip(F.col("_names").alias("name"), F.col("_at").alias("at")), lambda z: F.size(z["at"]) > 0
+    )
+    callers = lambda at: F.transform(
+        at,
+        lambda i: F.concat(F.lit("`"), F.get("_edges", i).caller, F.lit("` ("), F.col("path"), F.lit(")")),
+    )
+    lines = F.transform(
+        listed,
+        lambda z: F.concat(
+            F.lit("- `"), z["name"], F.lit("` is called by: "), F.array_join(callers(z["at"]), ", ")
         ),
     )
+    return placed.withColumn("caller_lines", lines).drop("_edges", "_names", "_at")
 
 
 def neighbor_texts(files: DataFrame, work: DataFrame) -> DataFrame:
@@ -161,12 +161,12 @@ def describe_prompts(
     of the project (for the neighbours).
     """
     empty = files.where(F.col("n_chars") == 0).select("dir", "path", "n_chars")
-    joined = join_neighbor_sets(work, neighbor_texts(files, work), F.col("neighbor_text"), empty)
+    joined = join_neighbor_sets(with_caller_lines(work), neighbor_texts(files, work), F.col("neighbor_text"), empty)
     none = F.array().cast("array<string>")
     bullets = F.transform(
         "facts.elements", lambda e: element_bullet(e.depth, e.scope_path, e.kind, e.signature)
     )
-    callers = F.coalesce(caller_lines(F.col("functions"), F.col("path")), none)
+    callers = F.coalesce("caller_lines", none)
     empty = F.col("empty_neighbors")
     neighbors = F.nullif(F.coalesce("neighbor_set", F.lit("")), F.lit(""))
     prompt = F.concat_ws(
@@ -183,11 +183,11 @@ def describe_prompts(
             ),
         ),
         F.lit("\n"), file_block(F.col("path"), F.col("language"), F.col("source")),
+        _text(ELEMENTS_TASK), F.array_join(bullets, "\n"), F.lit("\n"),
         F.when(
             F.size(callers) > 0,
             F.concat(F.lit("\n## Known callers\n\n"), F.array_join(callers, "\n"), F.lit("\n")),
         ),
-        _text(ELEMENTS_TASK), F.array_join(bullets, "\n"), F.lit("\n"),
         _text(ANSWER_FORMAT.format(lead="Begin with a paragraph on the duty of the file.\n")),
     )
     return joined.select(

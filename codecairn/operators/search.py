@@ -15,6 +15,9 @@ SELECTORS = {"all": ("docs", "code"), "docs": ("docs",), "code": ("code",)}
 # Fixed value: decimals of a shown score.
 SCORE_DECIMALS = 4
 
+#: Decimals that ranking sees: all that do not depend on the order of a sum.
+RANK_DECIMALS = 12
+
 
 def top_k(
     vectors: DataFrame,
@@ -24,16 +27,18 @@ def top_k(
     vector: str = "embedding",
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """The ``k`` best rows by rounded score, ties by ``key``.
+    """The ``k`` best rows by score, ties by ``key``; rows without a vector have no score.
 
     Only the key, the vector and ``keep`` are read; each task keeps a heap of
     ``k`` rows, so what is merged at the end is ``k`` rows per task.  Keep
     other columns only where they are computed along with the vector; over a
-    stored index fetch them for the hits alone (:func:`attach_chunks`).
+    stored index fetch them for the hits alone (:func:`key_filter`).  Scores
+    stay exact for merging; :func:`shown` rounds them for display.
     """
-    score = F.round(cosine_to(F.col(vector), query), SCORE_DECIMALS)
+    score = F.round(cosine_to(F.col(vector), query), RANK_DECIMALS)
     return (
-        vectors.select(*key, *keep, score.alias("score"))
+        vectors.where(F.col(vector).isNotNull())
+        .select(*key, *keep, score.alias("score"))
         .orderBy(F.desc("score"), *key)
         .limit(k)
     )
@@ -80,9 +85,9 @@ def search_vectors(
     return merge_top_k(left, right, k, key)
 
 
-def attach_chunks(hits: DataFrame, chunks: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Add chunk text to the hits: ``k`` rows, so they are the broadcast side."""
-    return F.broadcast(hits).join(chunks, list(key), "inner")
+def shown(hits: DataFrame) -> DataFrame:
+    """Hits with their scores rounded for display, after all ranking."""
+    return hits.withColumn("score", F.round("score", SCORE_DECIMALS))
 
 
 def key_filter(keys: Sequence[Sequence], columns: Sequence[str]) -> Column:

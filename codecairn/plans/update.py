@@ -32,7 +32,6 @@ STEPS = ("extract", "graph", "synthesize", "describe", "index")
 SUMMARY_TOKENS = 4096
 ARTICLE_TOKENS = 8192
 FLOW_TOKENS = 2048
-FOLLOW_UPS = 2
 
 ARCHITECTURE = "architecture-overview"
 
@@ -278,16 +277,20 @@ class Build:
         elements = graph.elements(files).drop("body")
         summary = answers.select("path", responses.response_summary(F.col("response")).alias("summary"))
         symbols = responses.response_symbols(answers).withColumn("round", F.lit(0))
-        for turn in range(1, FOLLOW_UPS + 1):
+        turn, left = 0, None
+        while True:  # until nothing is missing, or an answer brought nothing new
             missing = materialize(responses.missing_elements(elements, symbols))
-            if missing.isEmpty():
+            n = missing.count()
+            if n == 0 or n == left:
                 break
+            turn, left = turn + 1, n
             more = prompts.continuation_prompts(
                 missing, files.select("path", "language", "source"), self.config.project_name
             )
             followed = self.store.answer(more, ["path"], self.model, self.force)
             fresh = responses.response_symbols(followed).withColumn("round", F.lit(turn))
             symbols = materialize(symbols.unionByName(fresh))
+        self.store.write("missing_descriptions", missing)
         # rounds follow each other; a file's symbols are few, so its row can hold them
         ordered = symbols.groupBy("path").agg(
             F.array_sort(F.collect_list(F.struct("round", "sym_ord", "scope_path", "description"))).alias("s")

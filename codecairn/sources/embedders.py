@@ -24,13 +24,12 @@ from pyspark.sql import functions as F
 
 from codecairn.config import EmbeddingConfig
 
-# Fixed values of the HTTP provider: attempts, characters kept after a "too
-# long" answer, seconds before giving up on one request.
-HTTP_ATTEMPTS = 3
-HTTP_TRUNCATE = 8000
+# Fixed values of the HTTP provider: pauses before a request is tried again, in
+# seconds, and how long one request may take.
+HTTP_PAUSES = (1, 2)
 HTTP_TIMEOUT = 60.0
 
-# Fixed value: tokens a local model reads at most.
+# Fixed value: tokens a local model reads at once; longer texts are read in pieces.
 MODEL_MAX_TOKENS = 512
 
 
@@ -68,6 +67,22 @@ class HashingEmbedder:
         return (out / norms).astype(np.float32)
 
 
+def halves(text: str) -> tuple[str, str] | None:
+    """A text cut at the blank nearest its middle, else in the middle; None if it is too short."""
+    if len(text) < 2:
+        return None
+    middle = len(text) // 2
+    blanks = (text.rfind(" ", 1, middle + 1), text.find(" ", middle, len(text) - 1))
+    at = min((k for k in blanks if k > 0), key=lambda k: abs(k - middle), default=middle)
+    return text[:at], text[at:]
+
+
+def pooled(parts: Sequence[tuple[str, np.ndarray]]) -> np.ndarray:
+    """One vector for a text read in parts: their mean by length, at unit length."""
+    mean = sum(len(text) * vector for text, vector in parts)
+    return mean / (np.linalg.norm(mean) or 1.0)
+
+
 class ModelEmbedder:
     """A local sentence-embedding model; needs the optional package."""
 
@@ -80,16 +95,31 @@ class ModelEmbedder:
                 "use backend 'hashing' or 'remote' without it"
             ) from exc
         self._model = SentenceTransformer(config.model_name, trust_remote_code=True)
-        self._model.max_seq_length = min(self._model.max_seq_length, MODEL_MAX_TOKENS)
+        self._limit = min(self._model.max_seq_length or MODEL_MAX_TOKENS, MODEL_MAX_TOKENS)
+
+    def _pieces(self, text: str) -> list[str]:
+        """Parts that the model reads whole."""
+        if len(self._model.tokenizer.tokenize(text)) <= self._limit - 2 or (cut := halves(text)) is None:
+            return [text]
+        return [piece for half in cut for piece in self._pieces(half)]
 
     def embed(self, texts: Sequence[str]) -> np.ndarray:
-        return self._model.encode(
-            list(texts), normalize_embeddings=True, show_progress_bar=False, convert_to_numpy=True
-        )
+        pieces = [self._pieces(t) for t in texts]
+        flat = [p for of in pieces for p in of]
+        vectors = iter(self._model.encode(flat, normalize_embeddings=True, show_progress_bar=False))
+        return np.stack([pooled([(p, next(vectors)) for p in of]) if len(of) > 1 else next(vectors) for of in pieces])
+
+
+class TooLong(Exception):
+    """The endpoint does not read a request of this size."""
 
 
 class HttpEmbedder:
-    """An HTTP endpoint taking ``{"input": [...]}`` and answering indexed embeddings."""
+    """An HTTP endpoint taking ``{"input": [...]}`` and answering indexed embeddings.
+
+    A request that is too long is cut in two: by texts while it has several, then
+    the text itself, whose halves are pooled.  No text is shortened.
+    """
 
     def __init__(
         self, config: EmbeddingConfig, post: Callable[[list[str]], tuple[int, dict]] | None = None
@@ -112,26 +142,38 @@ class HttpEmbedder:
         except urllib.error.HTTPError as error:
             return error.code, {}
 
-    def _batch(self, texts: list[str]) -> list[list[float]]:
-        for attempt in range(HTTP_ATTEMPTS):
-            status, payload = self._post(texts)
-            if status == 422:
-                texts = [t[:HTTP_TRUNCATE] for t in texts]
-                status, payload = self._post(texts)
+    def _ask(self, texts: list[str]) -> dict[int, list[float]]:
+        """Answers by position; server errors are tried again after each pause."""
+        for pause in (*HTTP_PAUSES, None):
+            status, answer = self._post(texts)
             if status < 400:
-                ranked = sorted(payload["data"], key=lambda item: item["index"])
-                return [item["embedding"] for item in ranked]
-            if status < 500:
-                break
-            self._sleep(2**attempt)
-        raise RuntimeError(f"embedding endpoint answered HTTP {status}")
+                return {item["index"]: item["embedding"] for item in answer["data"]}
+            if status == 422:
+                raise TooLong
+            if status < 500 or pause is None:
+                raise RuntimeError(f"embedding endpoint answered HTTP {status}")
+            self._sleep(pause)
+        raise AssertionError
+
+    def _vectors(self, texts: list[str]) -> list[np.ndarray]:
+        try:
+            found = self._ask(texts)
+        except TooLong:
+            if len(texts) > 1:
+                middle = len(texts) // 2
+                return self._vectors(texts[:middle]) + self._vectors(texts[middle:])
+            cut = halves(texts[0])
+            if cut is None:
+                raise RuntimeError("embedding endpoint refuses a text of one character") from None
+            return [pooled([(half, self._vectors([half])[0]) for half in cut])]
+        return [np.asarray(found[k], dtype=np.float32) for k in range(len(texts))]
 
     def embed(self, texts: Sequence[str]) -> np.ndarray:
-        size = self._config.batch_size
-        batches = [list(texts[i : i + size]) for i in range(0, len(texts), size)]
-        with ThreadPoolExecutor(max_workers=self._config.max_concurrent) as pool:
-            vectors = [v for part in pool.map(self._batch, batches) for v in part]
-        return np.asarray(vectors, dtype=np.float32)
+        step = self._config.batch_size
+        requests = (list(texts[at : at + step]) for at in range(0, len(texts), step))
+        with ThreadPoolExecutor(self._config.max_concurrent) as pool:
+            answers = list(pool.map(self._vectors, requests))
+        return np.array([v for answer in answers for v in answer], dtype=np.float32)
 
 
 def http_headers() -> dict[str, str]:
@@ -167,7 +209,7 @@ def embed_column(text: Column, config: EmbeddingConfig) -> Column:
 
     @F.arrow_udf("array<float>")
     def embed(texts: pa.Array) -> pa.Array:
-        prefixed = [config.doc_prefix + (t or "") for t in texts.to_pylist()]
+        prefixed = [config.before_document + (t or "") for t in texts.to_pylist()]
         if not prefixed:
             return pa.array([], pa.list_(pa.float32()))
         matrix = provider(config).embed(prefixed)
@@ -181,4 +223,4 @@ def embed_column(text: Column, config: EmbeddingConfig) -> Column:
 
 def embed_query(text: str, config: EmbeddingConfig) -> list[float]:
     """Embedding of one query text, on the driver."""
-    return [float(x) for x in provider(config).embed([config.query_prefix + text])[0]]
+    return [float(x) for x in provider(config).embed([config.before_query + text])[0]]

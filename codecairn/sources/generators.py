@@ -43,9 +43,8 @@ class TemplateGenerator:
             )
         listed = prompt.rpartition("## Elements to describe\n")[2]
         elements = self._BULLET.findall(listed) if listed != prompt else []
-        # about a hundred tokens per element fit into an answer
         parts = [f"Generated text {digest}."]
-        for scope, kind in elements[: max_tokens // 100]:
+        for scope, kind in elements:  # every listed element is answered
             parts.append(f"### `{scope}`\n\nThe {kind} {scope}.")
         return "\n\n".join(parts) + "\n"
 

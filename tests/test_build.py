@@ -62,8 +62,9 @@ def test_prompts_hold_what_they_should(spark, built):
     prompts = {r.path: r for r in force.describe_prompts().collect()}
     shop = prompts["pkg/shop.py"]
     order = ["This is the file `pkg/shop.py` of `demo`", "## Architecture", "### pkg/util.py", "Empty files: 1",
-             "### pkg/shop.py\n```python\n", "## Known callers\n\n- `top` is called by: `Cart.add` (pkg/shop.py)",
-             "## Elements to describe", "    - **Cart > Row > key** (method) — `def key(self)`", "## Answer format"]
+             "### pkg/shop.py\n```python\n",
+             "## Elements to describe", "    - **Cart > Row > key** (method) — `def key(self)`",
+             "## Known callers\n\n- `top` is called by: `Cart.add` (pkg/shop.py)", "## Answer format"]
     places = [shop.prompt.find(part) for part in order]
     assert -1 not in places and places == sorted(places)
     assert shop.max_tokens == 4096 and prompts["big.py"].max_tokens == 16384

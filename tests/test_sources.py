@@ -137,15 +137,32 @@ def vectors(spark, rows):
 
 def test_cosine_top_k(spark):
     df = vectors(spark, [(1, [2.0, 0.0]), (2, [0.0, 3.0]), (3, [-1.0, 0.0]), (4, [1.0, 1.0]), (5, [0.0, 0.0])])
-    rows = search.top_k(df, [1.0, 0.0], 9, ["id"]).collect()
+    rows = search.shown(search.top_k(df, [1.0, 0.0], 9, ["id"])).collect()
     assert [tuple(r) for r in rows] == [(1, 1.0), (4, 0.7071), (2, 0.0), (5, 0.0), (3, -1.0)]
     assert search.top_k(df, [1.0, 0.0], 0, ["id"]).collect() == []
     assert {r.score for r in search.top_k(df, [0.0, 0.0], 9, ["id"]).collect()} == {0.0}
 
 
-def test_dimension_mismatch_is_an_error(spark):
-    with pytest.raises(Exception, match="dimensions"):
-        search.top_k(vectors(spark, [(1, [1.0, 0.0])]), [1.0], 1, ["id"]).collect()
+def test_ranking_sees_more_decimals_than_are_shown(spark):
+    close = vectors(spark, [(1, [0.600006, 0.799995]), (2, [0.600019, 0.799986]), (3, [0.0, 1.0])])
+    best = search.top_k(close, [1.0, 0.0], 1, ["id"])
+    assert [r.id for r in best.collect()] == [2]
+    assert search.shown(best).first().score == 0.6
+    halves = close.where("id = 1"), close.where("id = 2")
+    merged = search.search_vectors(*halves, [1.0, 0.0], [1.0, 0.0], 1, ["id"])
+    assert [r.id for r in merged.collect()] == [2]
+
+
+@pytest.mark.parametrize("bad", [[(1, [1.0, 0.0])], [(1, [1.0]), (2, [1.0, 2.0, 3.0])], [(1, [1.0, None, 1.0])]])
+def test_vectors_of_another_shape_are_an_error(spark, bad):
+    query = [1.0] if len(bad) == 1 and len(bad[0][1]) == 2 else [1.0, 0.0, 0.0]
+    with pytest.raises(Exception, match="dimensions|missing number"):
+        search.top_k(vectors(spark, bad), query, 1, ["id"]).collect()
+
+
+def test_null_vectors_are_skipped(spark):
+    rows = search.top_k(vectors(spark, [(1, None), (2, [1.0, 0.0]), (3, None)]), [1.0, 0.0], 5, ["id"]).collect()
+    assert [(r.id, r.score) for r in rows] == [(2, 1.0)]
 
 
 def test_merge_prefers_docs(spark):
@@ -171,7 +188,7 @@ def test_hashing_embedder(spark):
     config = cfg.EmbeddingConfig(dimensions=16)
     df = spark.createDataFrame([("Hello, hello WORLD",), ("",), (None,)], "t string")
     rows = df.select(embedders.embed_column(F.col("t"), config).alias("e")).collect()
-    expected = embedders.HashingEmbedder(config).embed(["search_document: Hello, hello WORLD"])[0]
+    expected = embedders.HashingEmbedder(config).embed(["Hello, hello WORLD"])[0]
     assert np.allclose(rows[0].e, expected) and abs(np.linalg.norm(rows[0].e) - 1) < 1e-6
     assert embedders.embed_query("x", config) != embedders.embed_query("y", config)
     with pytest.raises(ValueError):
@@ -201,14 +218,16 @@ def test_http_batches_keep_order():
     assert client.embed([]).size == 0
 
 
-def test_http_retries_and_truncation():
+def test_http_retries_and_long_texts():
     client, _, waits = http([500, 503])
     assert client.embed(["a"]).tolist() == [[1.0]] and waits == [1, 2]
     client, _, waits = http([500, 500, 500])
     with pytest.raises(RuntimeError):
         client.embed(["a"])
-    client, seen, _ = http([422])
-    assert client.embed(["x" * 9000]).tolist() == [[8000.0]] and len(seen) == 2
+    client, seen, _ = http([422, 422])  # two texts, then the first alone: its halves are pooled
+    assert client.embed(["x" * 6000 + " " + "y" * 3000, "b"]).tolist() == [[1.0], [1.0]]
+    assert [len(s) for s in seen] == [2, 1, 1, 1, 1] and seen[2][0] + seen[3][0] == seen[1][0]
+    assert seen[2] == ["x" * 6000]
     client, _, waits = http([404])
     with pytest.raises(RuntimeError):
         client.embed(["a"])
@@ -217,6 +236,13 @@ def test_http_retries_and_truncation():
         embedders.HttpEmbedder(cfg.EmbeddingConfig(backend="remote"))
 
 
+def test_prefixes_follow_the_backend():
+    hashing, remote = cfg.EmbeddingConfig(), cfg.EmbeddingConfig(backend="remote")
+    assert (hashing.before_document, hashing.before_query) == ("", "")
+    assert (remote.before_document, remote.before_query) == (cfg.DOCUMENT_PREFIX, cfg.QUERY_PREFIX)
+    assert cfg.EmbeddingConfig(doc_prefix="d ").before_document == "d "
+
+
 def test_http_headers(monkeypatch):
     monkeypatch.setenv("CODECAIRN_HTTP_HEADERS", "a: b, junk, c:d:e")
     assert embedders.http_headers() == {"a": "b", "c": "d:e"}
