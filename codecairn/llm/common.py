@@ -133,7 +133,8 @@ class WordEncoder:
     def _learn(self, words: set[str]) -> None:
         """Encode new words; one that ends in a mark is its stem's ids and the mark's."""
         cache, name = self.cache, self.names.__getitem__
-        marked = [w for w in words if w and w[-1] in _MARKS and w[-2:-1].isalpha()]
+        # folding may turn a letter into a letter and an accent, which joins the mark
+        marked = [w for w in words if w and w[-1] in _MARKS and w[-2:-1].lower().isalpha()]
         stems = {w[:-1] for w in marked} | {w[-1] for w in marked}
         new = list((words.difference(marked) | stems).difference(cache))
         for at in range(0, len(new), 4096):

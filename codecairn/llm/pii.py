@@ -132,11 +132,12 @@ _ENDS = re.compile(rf"\.(?:{'|'.join(ENDINGS)})\Z", re.I)
 _WORDED = re.compile(rf"(?<=[A-Za-z0-9]){_BARE_DOT}(?=[A-Za-z0-9])", re.I)
 _AFTER_AT = re.compile(r"(?:@|[\])}>])[ \t]?[A-Za-z0-9.-]{1,80}\Z")
 _NAME = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
+_GAP = rf"(?:[ \t,-]{{1,2}}|{_BARE_DOT})"
 _SPELLED = re.compile(
-    rf"\b(?:(?P<plus>{'|'.join(PLUS_WORDS)})[ \t,-]{{1,2}})?(?:{_NAME}|[0-9])(?:[ \t,-]{{1,2}}(?:{_NAME}|[0-9]))++\b", re.I
+    rf"\b(?:(?P<plus>{'|'.join(PLUS_WORDS)})[ \t,-]{{1,2}})?(?:{_NAME}|[0-9])(?:{_GAP}(?:{_NAME}|[0-9]))++\b", re.I
 )
 _DIGIT_NAME = re.compile(rf"{_NAME}|[0-9]", re.I)
-_HAS_NAME = re.compile(rf"\b(?:{_NAME})[ \t,-]{{1,2}}(?:{_NAME}|[0-9])\b|\b[0-9][ \t,-]{{1,2}}(?:{_NAME})\b", re.I)
+_HAS_NAME = re.compile(rf"\b(?:{_NAME}){_GAP}(?:{_NAME}|[0-9])\b|\b[0-9]{_GAP}(?:{_NAME})\b", re.I)
 
 
 def rewrite(text: str, edits: list[Edit]) -> str:
@@ -200,7 +201,8 @@ def spelled_edits(text: str) -> list[Edit]:
         for k, n in enumerate(names):
             end = names[k + 1].start() if k + 1 < len(names) else n.end()
             digit = n[0] if len(n[0]) == 1 else DIGIT_WORDS[n[0].lower()]
-            edits.append((n.start(), end, digit))
+            dot = "." if _DOTS.fullmatch(text, n.end(), end) else ""
+            edits.append((n.start(), end, digit + dot))
     return edits
 
 
