@@ -1,8 +1,8 @@
 """Prompts as projections over ordered aggregates.
 
-The wording is ours; the inputs, their order, the caps and the answer format
-follow the operator list.  Texts gathered into one prompt are limited by a
-budget, or their size is checked before they are gathered.
+The wording is ours; the inputs, their order and the answer format follow the
+operator list.  Texts gathered into one prompt are batches of a size limit; what
+does not fit into one is summarized in levels (``plans.digest``), never cut.
 """
 
 from __future__ import annotations
@@ -16,14 +16,6 @@ from codecairn.operators.budgets import join_neighbor_sets, neighbor_sets
 from codecairn.operators.graph import inner_edges
 from codecairn.operators.responses import element_bullet, max_tokens, skeleton_block
 
-# Characters of one file, and of one diff, shown in a prompt.
-FILE_CAP = 150_000
-DIFF_CAP = 30_000
-
-# Characters a gathered prompt part may have; beyond it no model could read
-# the prompt, so the step stops with an error instead of cutting anything.
-PROMPT_CEILING = 8_000_000
-
 ANSWER_FORMAT = """
 ## Answer format
 
@@ -68,36 +60,26 @@ def file_block(path: Column, language: Column, source: Column) -> Column:
     )
 
 
-def capped_block(path: Column, language: Column, source: Column) -> Column:
-    """File block; a file over the cap shows its first part and says so."""
-    size = F.length(source)
-    note = F.concat(
-        path,
-        F.lit(" (cut: "),
-        F.format_number(size, 0),
-        F.lit(f" characters, the first {FILE_CAP:,} shown)"),
-    )
-    return F.when(
-        size > FILE_CAP, file_block(note, language, F.substring(source, 1, FILE_CAP))
-    ).otherwise(file_block(path, language, source))
-
-
-def diff_block(diff: str) -> str:
-    shown = diff[:DIFF_CAP]
-    note = f"(cut: {len(diff):,} characters, the first {DIFF_CAP:,} shown)\n" if len(diff) > DIFF_CAP else ""
-    return f"```diff\n{shown}\n```\n{note}"
-
-
 def _project(name: str) -> str:
     return f"`{name}`" if name else "this project"
 
 
-def require_within(df: DataFrame, keys: list[str], text: str, ceiling: int = PROMPT_CEILING) -> None:
-    """Stop unless the texts gathered per key stay under the ceiling."""
-    sizes = df.groupBy(*keys).agg(F.sum(F.length(text)).alias("size"))
-    over = sizes.where(F.col("size") > ceiling).limit(1).collect()
-    if over:
-        raise ValueError(f"{over[0].asDict()} exceeds a prompt of {ceiling:,} characters")
+def file_pieces(files: DataFrame, limit: int) -> DataFrame:
+    """``(dir, path, piece, n_pieces, block)``: source blocks of at most ``limit`` source characters.
+
+    A longer file becomes several blocks, each saying which part it is.
+    """
+    starts = F.sequence(F.lit(0), F.greatest(F.length("source") - 1, F.lit(0)), F.lit(limit))
+    cut = files.select("dir", "path", "language", "source", F.size(starts).alias("n_pieces"), F.posexplode(starts).alias("piece", "at"))
+    label = F.when(F.col("n_pieces") == 1, F.col("path")).otherwise(
+        F.concat(
+            "path", F.lit(" (part "), (F.col("piece") + 1).cast("string"), F.lit(" of "), F.col("n_pieces").cast("string"), F.lit(")")
+        )
+    )
+    return cut.select(
+        "dir", "path", "piece", "n_pieces",
+        file_block(label, F.col("language"), F.substring(F.col("source"), F.col("at") + 1, F.lit(limit))).alias("block"),
+    )
 
 
 # -- descriptions -------------------------------------------------------------
@@ -216,96 +198,58 @@ def continuation_prompts(missing: DataFrame, files: DataFrame, project: str) ->
 
 # -- synthesis ------------------------------------------------------------------
 
-def _gather(df: DataFrame, keys: list[str], order: Column, text: Column) -> DataFrame:
-    """Texts of each key joined in order; callers bound the size."""
-    rows = F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t"))))
-    return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r.t), "\n").alias("gathered"))
+def digest_prompts(batches: DataFrame, subject: Column, project: str) -> DataFrame:
+    """``(key, batch, prompt)`` for one level of summaries: ``batches`` has ``key, batch, text``."""
+    return batches.select(
+        "key",
+        "batch",
+        F.concat(
+            F.lit("Part "), (F.col("batch") + 1).cast("string"), F.lit(" of "), subject,
+            _text(f" of {_project(project)} follows.\n\n"), F.col("text"),
+            _text("\nSummarize this part so that its summary can stand for it. Keep names of files, classes and functions.\n"),
+        ).alias("prompt"),
+    )
 
 
-def project_skeleton(skeletons: DataFrame, ceiling: int = PROMPT_CEILING) -> str:
-    """The skeletons of all files in path order, as one prompt part."""
-    blocks = skeletons.select(
-        "path", skeleton_block(F.col("path"), F.col("skeleton")).alias("block")
-    )
-    require_within(blocks, [], "block", ceiling)
-    rows = _gather(blocks, [], path_key(F.col("path")), F.col("block")).collect()
-    return rows[0].gathered if rows else ""
+def skeleton_parts(skeletons: DataFrame) -> DataFrame:
+    """``(path, text)``: the outline of each file."""
+    return skeletons.select("path", skeleton_block(F.col("path"), F.col("skeleton")).alias("text"))
 
 
-def architecture_prompt(files: DataFrame, skeletons: DataFrame, project: str) -> DataFrame:
-    """Single-pass overview of a project whose source is within its budget."""
-    text = F.concat(
-        skeleton_block(F.col("path"), F.col("skeleton")), F.lit("\n"),
-        file_block(F.col("path"), F.col("language"), F.col("source")),
-    )
-    parts = files.join(skeletons, "path").select("path", text.alias("block"))
-    require_within(parts, [], "block")
-    head = f"Below are the outline and source of every file of {_project(project)}.\n\n"
-    return _gather(parts, [], path_key(F.col("path")), F.col("block")).select(
-        F.concat(
-            _text(head), F.col("gathered"), F.lit("\n"), _text(OVERVIEW_TASK.format(extra=""))
-        ).alias("prompt")
+def architecture_prompt(outline: str, source: str, project: str) -> str:
+    """Overview of a project from its outline and source, or from digests of them."""
+    return (
+        f"Below are the outline and source of {_project(project)}.\n\n{outline}\n{source}\n"
+        + OVERVIEW_TASK.format(extra="")
     )
 
 
-def module_prompts(batched: DataFrame, files: DataFrame, skeleton: str, project: str) -> DataFrame:
-    """``(dir, batch, prompt)``: one module batch of source after the project outline.
+def module_prompts(sources: DataFrame, outline: str, project: str) -> DataFrame:
+    """``(dir, prompt)``: a module's source (or its digest) after the digest of the outline.
 
-    A batch holds at most its character limit, or one capped file; files
-    without content are left to the outline.
+    ``sources`` has ``dir, text``; ``outline`` is bounded by the digest limit,
+    whatever the size of the project.
     """
-    block = capped_block(F.col("path"), F.col("language"), F.col("source"))
-    members = batched.select("dir", "path", "batch").join(
-        files.select("path", "language", "source"), "path"
-    )
-    filled = _gather(
-        members.where(F.col("source") != "").select("dir", "batch", "path", block.alias("block")),
-        ["dir", "batch"], path_key(F.col("path")), F.col("block"),
-    )
-    gathered = batched.select("dir", "batch").distinct().join(filled, ["dir", "batch"], "left").withColumn(
-        "gathered", F.coalesce("gathered", F.lit(""))
-    )
-    head = f"You look at one module of {_project(project)}. The outline of all files:\n\n{skeleton}\n"
-    return gathered.select(
+    head = f"You look at one module of {_project(project)}. Its outline, or a digest of it:\n\n{outline}\n"
+    return sources.select(
         "dir",
-        "batch",
         F.concat(
-            _text(head), F.lit("\n## Source of `"), F.col("dir"), F.lit("`\n\n"), F.col("gathered"),
+            _text(head), F.lit("\n## Source of `"), F.col("dir"), F.lit("`\n\n"), F.col("text"),
             F.lit("\n"), F.format_string(MODULE_TASK, F.col("dir")),
         ).alias("prompt"),
     )
 
 
-def merge_prompts(partials: DataFrame, project: str) -> DataFrame:
-    """``(dir, prompt)`` merging the summaries of a module's batches."""
-    require_within(partials, ["dir"], "summary")
-    text = F.concat(
-        F.lit("## Batch "), (F.col("batch") + 1).cast("string"), F.lit("\n"), F.col("summary"), F.lit("\n")
-    )
-    return _gather(partials, ["dir"], F.col("batch"), text).select(
-        "dir",
-        F.concat(
-            F.lit("Partial summaries of the module `"), F.col("dir"),
-            _text(f"` of {_project(project)} follow. Merge them into one.\n\n"),
-            F.col("gathered"), F.lit("\n"), F.format_string(MODULE_TASK, F.col("dir")),
-        ).alias("prompt"),
-    )
-
-
-def module_summary_text(summaries: DataFrame) -> str:
-    """All module summaries in directory order, as one prompt part."""
-    blocks = summaries.select(
-        "dir", F.concat(F.lit("### "), F.col("dir"), F.lit("\n"), F.col("summary"), F.lit("\n")).alias("block")
-    )
-    require_within(blocks, [], "block")
-    rows = _gather(blocks, [], F.col("dir"), F.col("block")).collect()
-    return rows[0].gathered if rows else ""
+def summary_parts(summaries: DataFrame) -> DataFrame:
+    """``(path, text)``: the summary of each module."""
+    block = F.concat(F.lit("### "), F.col("dir"), F.lit("\n"), F.col("summary"), F.lit("\n"))
+    return summaries.select(F.col("dir").alias("path"), block.alias("text"))
 
 
-def summaries_overview_prompt(skeleton: str, summaries: str, project: str) -> str:
+def summaries_overview_prompt(outline: str, summaries: str, project: str) -> str:
     return (
-        f"The outline of {_project(project)} and a summary of each module follow.\n\n"
-        f"## Outline\n\n{skeleton}\n\n## Module summaries\n\n{summaries}\n\n"
+        f"The outline of {_project(project)} and its module summaries follow, or digests of them.\n\n"
+        f"## Outline\n\n{outline}\n\n## Module summaries\n\n{summaries}\n\n"
         + OVERVIEW_TASK.format(extra=", and how the modules depend on each other")
     )
 
@@ -331,8 +275,8 @@ def flow_prompts(
 ) -> DataFrame:
     """``(name, prompt)`` per flow.
 
-    ``context`` is the source of a single-pass project, or the outline and
-    module summaries of a larger one.
+    ``context`` is the source of a small project, or digests of the outline and
+    the module summaries of a larger one.
     """
     return flows.select(
         "name",
@@ -343,20 +287,10 @@ def flow_prompts(
     )
 
 
-def source_text(files: DataFrame) -> str:
-    """Source of every file of a single-pass project, in path order."""
-    blocks = files.select(
-        "path", file_block(F.col("path"), F.col("language"), F.col("source")).alias("block")
-    )
-    require_within(blocks, [], "block")
-    rows = _gather(blocks, [], path_key(F.col("path")), F.col("block")).collect()
-    return rows[0].gathered if rows else ""
-
-
 def significance_prompt(title: str, content: str, diff: str) -> str:
-    """Whether a change warrants writing an article again."""
+    """Whether a change warrants writing an article again; ``diff`` may be a digest of a long one."""
     return (
-        f"## Article: {title}\n\n{content}\n\n## Changes since it was written\n\n{diff_block(diff)}\n"
+        f"## Article: {title}\n\n{content}\n\n## Changes since it was written\n\n```diff\n{diff}\n```\n"
         "Do the changes alter what the article says about modules, interfaces, data flow or key "
         "algorithms? Ignore formatting, comments, tests and version numbers.\n"
         "Answer with one line:\nVERDICT: YES or NO\nthen, if you like, one sentence of reason.\n"

@@ -2,8 +2,7 @@
 
 Each stage reads stored tables and writes stored tables, so any stage can be
 run alone or left out.  Nothing about single files is decided on the driver;
-it only decides between the two ways of synthesis and holds project-level
-texts, whose size is checked.
+it only holds project-level digests, whose size is bounded (``plans.digest``).
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from codecairn.config import Config, EmbeddingConfig, has_uncommitted_changes, head_commit
 from codecairn.functions.text import flow_file_name, module_file_name
 from codecairn.operators import budgets, chunks, graph, prompts, responses, staleness
+from codecairn.plans import digest
 from codecairn.plans.store import Store
 from codecairn.session import attach, materialize
 from codecairn.sources.embedders import embed_column
@@ -124,6 +124,14 @@ class Build:
         frame = self.spark.createDataFrame([(0, prompt, tokens)], "k int, prompt string, max_tokens int")
         return self.store.answer(frame, ["k"], self.model, self.force).first().response
 
+    def _digest(self, parts: DataFrame, subject: str) -> str:
+        return digest.digest(self.store, parts, subject, self.config.project_name, self.model, self.force)
+
+    def _source(self, files: DataFrame) -> str:
+        """Source of every file in path order, or a digest of it."""
+        block = prompts.file_block(F.col("path"), F.col("language"), F.col("source"))
+        return self._digest(files.select("path", block.alias("text")), "the source")
+
     def _summaries(self, files: DataFrame, skeleton: str) -> int:
         """Write the stale module summaries; returns how many there were."""
         names = F.concat(F.lit("module-summaries/"), module_file_name(F.col("dir")))
@@ -138,21 +146,21 @@ class Build:
         if not count:
             return 0
         work = files.join(stale, "dir", "left_semi")
-        batched = materialize(budgets.module_batches(work))
-        asked = prompts.module_prompts(batched, work, skeleton, self.config.project_name)
-        partial = self.store.answer(
-            asked.withColumn("max_tokens", F.lit(SUMMARY_TOKENS)), ["dir", "batch"], self.model, self.force
-        ).withColumnRenamed("response", "summary")
-        split = batched.groupBy("dir").agg(F.max("batch").alias("last"))
-        partial = materialize(partial.join(split, "dir"))
-        merged = self.store.answer(
-            prompts.merge_prompts(partial.where("last > 0"), self.config.project_name).withColumn(
-                "max_tokens", F.lit(SUMMARY_TOKENS)
-            ),
-            ["dir"], self.model, self.force,
+        pieces = prompts.file_pieces(work, digest.DIGEST_CHARS)
+        parts = pieces.select(
+            F.col("dir").alias("key"),
+            F.concat("path", F.lit("/"), F.lpad(F.col("piece").cast("string"), 9, "0")).alias("path"),
+            F.col("block").alias("text"),
+        )
+        sources = digest.digests(
+            self.store, parts, F.concat(F.lit("the source of the module `"), F.col("key"), F.lit("`")),
+            self.config.project_name, self.model, self.force,
+        ).withColumnRenamed("key", "dir")
+        asked = prompts.module_prompts(sources, skeleton, self.config.project_name)
+        summaries = self.store.answer(
+            asked.withColumn("max_tokens", F.lit(SUMMARY_TOKENS)), ["dir"], self.model, self.force
         ).select("dir", F.col("response").alias("content"))
-        single = partial.where("last = 0").select("dir", F.col("summary").alias("content"))
-        fresh = single.unionByName(merged).join(stale, "dir").select(
+        fresh = summaries.join(stale, "dir").select(
             "name",
             F.concat(F.lit("Module: "), F.col("dir")).alias("title"),
             F.lit("module-summary").alias("type"),
@@ -170,7 +178,7 @@ class Build:
         generated, context = 0, None
 
         if batched:
-            skeleton = prompts.project_skeleton(skeletons)
+            skeleton = self._digest(prompts.skeleton_parts(skeletons), "the outline")
             generated += self._summaries(files, skeleton)
             summaries = (
                 self.store.read("articles")
@@ -181,7 +189,7 @@ class Build:
                 )
                 .join(files.select("dir").distinct(), "dir", "left_semi")
             )
-            summary_text = prompts.module_summary_text(summaries)
+            summary_text = self._digest(prompts.summary_parts(summaries), "the module summaries")
             context = f"## Outline\n\n{skeleton}\n\n## Module summaries\n\n{summary_text}\n"
 
         stale = self._project_articles_stale([ARCHITECTURE])
@@ -189,12 +197,10 @@ class Build:
         if new_overview:
             if batched:
                 text = prompts.summaries_overview_prompt(skeleton, summary_text, project)
-                content = self._ask(text, ARTICLE_TOKENS)
             else:
-                asked = prompts.architecture_prompt(files, skeletons, project).select(
-                    F.lit(0).alias("k"), "prompt", F.lit(ARTICLE_TOKENS).alias("max_tokens")
-                )
-                content = self.store.answer(asked, ["k"], self.model, self.force).first().response
+                outline = self._digest(prompts.skeleton_parts(skeletons), "the outline")
+                text = prompts.architecture_prompt(outline, self._source(files), project)
+            content = self._ask(text, ARTICLE_TOKENS)
             fresh = self.spark.createDataFrame(
                 [(ARCHITECTURE, "Architecture Overview", "architecture", content)],
                 "name string, title string, type string, content string",
@@ -231,7 +237,7 @@ class Build:
             return 0
         work = materialize(listed.where(F.col("name").isin(*stale)))
         if context is None:
-            context = f"## Source\n\n{prompts.source_text(files)}"
+            context = f"## Source\n\n{self._source(files)}"
         asked = prompts.flow_prompts(
             work.select(F.col("flow").alias("name"), "description"), context, overview, project
         ).select(F.col("name").alias("flow"), "prompt", F.lit(ARTICLE_TOKENS).alias("max_tokens"))
@@ -385,7 +391,6 @@ class Build:
         sources = self.store.read("article_sources").where(
             F.startswith("name", F.lit("module-summaries/"))
         )
-        prompts.require_within(sources, ["name"], "path")
         listed = sources.groupBy("name").agg(
             F.array_sort(F.collect_list(F.struct("path", "hash"))).alias("sources")
         )

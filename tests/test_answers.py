@@ -152,21 +152,38 @@ def test_description_staleness(spark):
     assert (counts.cached, counts.generated) == (1, 2)
 
 
-def test_prompt_caps(spark):
-    cap = prompts.FILE_CAP
-    df = spark.createDataFrame([("a.py", "x" * (cap + 1)), ("b.py", "y" * cap)], "path string, source string")
-    rows = df.orderBy("path").select(
-        prompts.capped_block(F.col("path"), F.lit("python"), F.col("source")).alias("t")
-    ).collect()
-    assert "x" * cap in rows[0].t and "x" * (cap + 1) not in rows[0].t and "150,001" in rows[0].t
-    assert "y" * cap in rows[1].t and "cut" not in rows[1].t
-    long = prompts.significance_prompt("T", "text", "d" * (prompts.DIFF_CAP + 1))
-    assert "30,001" in long and "d" * (prompts.DIFF_CAP + 1) not in long
-    assert "cut" not in prompts.significance_prompt("T", "text", "diff")
-
-
-def test_prompt_ceiling_stops_instead_of_cutting(spark):
-    df = spark.createDataFrame([("a", "x" * 60), ("a", "x" * 60), ("b", "x")], "dir string, t string")
-    prompts.require_within(df, ["dir"], "t", 120)
-    with pytest.raises(ValueError, match="119 characters"):
-        prompts.require_within(df, ["dir"], "t", 119)
+def test_long_files_come_in_pieces(spark):
+    df = spark.createDataFrame(
+        [("d", "a.py", "python", "x" * 25), ("d", "b.py", "python", "y" * 10), ("d", "c.py", "python", "")],
+        "dir string, path string, language string, source string",
+    )
+    rows = prompts.file_pieces(df, 10).orderBy("path", "piece").collect()
+    assert [(r.path, r.piece, r.n_pieces) for r in rows] == [("a.py", 0, 3), ("a.py", 1, 3), ("a.py", 2, 3), ("b.py", 0, 1), ("c.py", 0, 1)]
+    assert "a.py (part 3 of 3)" in rows[2].block and "x" * 5 in rows[2].block and "b.py\n" in rows[3].block
+    assert prompts.significance_prompt("T", "text", "d" * 40_000).count("d" * 40_000) == 1
+
+
+class Echo:
+    """A store whose provider answers with the start of what it was asked."""
+
+    def __init__(self):
+        self.asked = []
+
+    def answer(self, asked, keys, model, force=False):
+        self.asked.append(asked.collect())
+        return asked.select(*keys, F.substring(F.split("prompt", "follows.")[1], 3, 12).alias("response"))
+
+
+def test_digests_reduce_in_levels(spark):
+    from codecairn.plans.digest import digests
+
+    rows = [("big", f"f{k:03}", f"<{k:03}>" + "z" * 35) for k in range(40)] + [("small", "a", "alpha"), ("small", "b", "beta"), ("long", "x", "q" * 250)]
+    parts = spark.createDataFrame(rows, "key string, path string, text string")
+    store = Echo()
+    found = {r.key: r.text for r in digests(store, parts, F.lit("it"), "p", "m", False, limit=100).collect()}
+    assert found["small"] == "alpha\nbeta"  # small enough: as it stands
+    assert set(found) == {"big", "small", "long"} and all(len(t) <= 110 for t in found.values())
+    assert len(store.asked) > 1 and len(store.asked[0]) == 20 + 3
+    assert all(len(p.prompt) < 400 for level in store.asked for p in level)
+    everything = "".join(p.prompt for p in store.asked[0])
+    assert all(f"<{k:03}>" in everything for k in range(40)) and everything.count("q") >= 250

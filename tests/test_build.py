@@ -1,6 +1,5 @@
 """The whole build on a small project, offline, and what it serves."""
 
-from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +7,7 @@ from test_code import SHOP
 
 from codecairn.config import EmbeddingConfig, init_project
 from codecairn.operators import budgets
+from codecairn.plans import digest
 from codecairn.plans.service import Service, search_index
 from codecairn.plans.store import Store
 from codecairn.plans.update import Build
@@ -155,7 +155,7 @@ def test_changes_are_picked_up(spark, tmp_path):
 
 def test_large_projects_are_summarized_by_module(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(budgets, "SINGLE_PASS_CHARS", 1000)
-    monkeypatch.setattr(budgets, "module_batches", partial(budgets.module_batches, limit=900))
+    monkeypatch.setattr(digest, "DIGEST_CHARS", 900)
     config = make(tmp_path)
     build = Build(spark, config)
     build.update(skip_steps=["describe", "index"])
