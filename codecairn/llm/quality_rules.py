@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 from codecairn.llm.common import BLANK, table, whole_text
 
 BUCKETS = 1 << 16
-#: Added to every bucket of both multinomials.
-SMOOTHING = 1.0
+#: Added to every bucket of both multinomials, the corpus counts being scaled to the
+#: trusted total first: n-grams that are rare in the corpus stay neutral.
+SMOOTHING = 8.0
 #: Trusted documents read at most, those with the smallest hash of their id; a broadcast of so many ids.
 TRUSTED_ROWS = 50_000
 #: Mean log ratio below which a document is dropped.
-THRESHOLD = -0.12
+THRESHOLD = -0.125
 #: Neutral n-grams added to every text, so that a few rare words in a short text decide nothing.
 LENGTH_PRIOR = 20
 WINDOW = 5
@@ -77,11 +78,10 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
             F.coalesce(F.sum("trusted"), F.lit(0)).alias("trusted_total"),
         )
     )
-    extra = SMOOTHING * BUCKETS
-    shift = F.log((F.col("raw_total") + extra) / (F.col("trusted_total") + extra))
+    share = F.col("trusted_total") / F.col("raw_total")
     return ordered.select(
         F.when(F.col("trusted_total") == 0, F.array_repeat(F.lit(0.0), BUCKETS))
-        .otherwise(F.transform("rows", lambda r: F.log((r.trusted + SMOOTHING) / (r.raw + SMOOTHING)) + shift))
+        .otherwise(F.transform("rows", lambda r: F.log((r.trusted + SMOOTHING) / (r.raw * share + SMOOTHING))))
         .alias("weights")
     )
 
@@ -120,6 +120,16 @@ def _covered(windows: str) -> Column:
     return F.get(F.transform(starts, reach), 0)
 
 
+def _pinned(value: Column) -> Column:
+    """The value, computed once per row whatever is filtered later.
+
+    The optimizer would write a filter on it anew below the steps that prepare
+    it, with the word array spelled out inside every function over words; it
+    does not do so with values it must take for non-deterministic.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """All rows of ``docs`` as ``row`` (a struct) with counts, ``score`` and verdict.
 
@@ -147,10 +157,16 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     )
     counted = hashed.select(
         "row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-        F.when(F.size(F.array_distinct("windows")) < F.size("windows"), _covered("windows"))
-        .otherwise(F.lit(0).cast("long"))
-        .alias("n_repeat_words"),
-        F.when(F.col("n_words") == 0, F.lit(0.0)).otherwise(F.col("total") / (2 * F.col("n_words") - 1 + LENGTH_PRIOR)).alias("score"),
+        _pinned(
+            F.when(F.size(F.array_distinct("windows")) < F.size("windows"), _covered("windows")).otherwise(
+                F.lit(0).cast("long")
+            )
+        ).alias("n_repeat_words"),
+        _pinned(
+            F.when(F.col("n_words") == 0, F.lit(0.0)).otherwise(
+                F.col("total") / (2 * F.col("n_words") - 1 + LENGTH_PRIOR)
+            )
+        ).alias("score"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return counted.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.round("score", 9) >= threshold))

@@ -58,13 +58,36 @@ def test_scores_are_length_normalised_ratios(spark, make_docs):
         np.add.at(raw, b, 1)
         if i % 2 == 1 and i < 40:
             np.add.at(good, b, 1)
-    log = np.log((good + 1) / (good.sum() + qr.BUCKETS)) - np.log((raw + 1) / (raw.sum() + qr.BUCKETS))
+    total, smooth = good.sum(), qr.SMOOTHING
+    target = (good + smooth) / (total + smooth * qr.BUCKETS)
+    corpus = (raw * total / raw.sum() + smooth) / (total + smooth * qr.BUCKETS)
+    assert target.sum() == pytest.approx(1) and corpus.sum() == pytest.approx(1)
+    log = np.log(target) - np.log(corpus)
     for r in rows:
         b = hashed[r.doc_id]
         assert len(b) == 2 * r.n_words - 1
         assert r.score == pytest.approx(log[b].sum() / (len(b) + qr.LENGTH_PRIOR), abs=1e-9)
 
 
+def test_filtering_on_the_verdict_does_not_repeat_the_work(documents):
+    """A filter on the verdict stays above the steps that prepare it."""
+    kept = qr.quality_rules(documents, documents.select("doc_id")).where("kept").select("row.*")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 4  # words and lines of the score, words of the counts
+
+
+def test_clean_documents_stay(spark):
+    """Labelled good and unlabelled clean documents are kept at every size, junk goes."""
+    sf = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in qr.op6_quality_rules(spark, sf).collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    judged = [r for r in rows.values() if not r.base_failed]
+    good = [r.kept for r in judged if labels.get(r.doc_id) == 1]
+    junk = [r.kept for r in judged if labels.get(r.doc_id) == 0]
+    unknown = [r.kept for r in judged if r.doc_id not in labels]
+    assert all(good) and np.mean(junk) < 0.1 and np.mean(unknown) > 0.9
+
+
 def test_no_trusted_documents(documents):
     rows = rows_of(documents, documents.select("doc_id").limit(0))
     assert all(r.score == 0 for r in rows)
