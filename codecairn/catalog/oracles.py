@@ -592,8 +592,19 @@ FROM fns f"""
 UNION ALL SELECT path, 0, 0, 0 FROM (WITH {_PAGES} SELECT path FROM page_path)"""
     sql["describe_prompts"] = f"""WITH RECURSIVE {_PARTS},
 {_PROMPTS}
-SELECT path, length(prompt) AS n_chars, substr(sha256(prompt), 1, 12) AS prompt_hash,
-  CAST(4096 AS INT) AS max_tokens FROM made"""
+SELECT path, prompt, CAST(4096 AS INT) AS max_tokens FROM made"""
+    sql["path_order"] = f"""WITH {_PAGES}
+SELECT page_id, path, CAST(row_number() OVER (PARTITION BY split_part(path, '/', 1)
+  ORDER BY string_split(path, '/'), page_id) AS INT) AS rank FROM page_path"""
+    sql["file_pieces"] = """WITH cut AS (
+  SELECT source || '/' || doc_id AS path, lang, text,
+         greatest(length(text) - 1, 0) // 1000 + 1 AS n,
+         unnest(range(0, greatest(length(text) - 1, 0) // 1000 + 1)) AS piece
+  FROM documents)
+SELECT path, CAST(piece AS INT) AS piece, CAST(n AS INT) AS n_pieces,
+  '### ' || path || CASE WHEN n = 1 THEN '' ELSE ' (part ' || (piece + 1) || ' of ' || n || ')' END
+  || chr(10) || '```' || lang || chr(10) || substr(text, piece * 1000 + 1, 1000) || chr(10) || '```' || chr(10)
+  AS block FROM cut"""
     for name, body in code.items():
         sql[name] = f"WITH {_PARTS}\n{body}"
     return sql

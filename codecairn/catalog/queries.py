@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codecairn.catalog import tables as t
@@ -13,7 +13,7 @@ from codecairn.functions import text as tx
 from codecairn.functions.packing import pack_paragraphs
 from codecairn.functions.vectors import l2_norm
 from codecairn.operators import budgets, chunks, graph, prompts, responses, search, staleness
-from codecairn.session import attach, materialize
+from codecairn.session import attach
 from codecairn.sources.embedders import embed_column, embed_query
 from codecairn.sources.files import excluded, file_columns, hidden, keep_path, supported
 
@@ -504,15 +504,9 @@ def symbol_context(spark, sf_dir):
 
 @query
 def file_list(spark, sf_dir):
-    """Part files and pages as described files, with call-graph totals where known.
-
-    The graph tables are stored first, as a build does, and then joined.
-    """
-    graphs = materialize(_file_graphs(spark, sf_dir))
-    stats = graph.file_stats(
-        graph.function_stats_from_tables(graph.functions(graphs), graph.calls(graphs))
-    )
-    described = graphs.select("path").unionByName(t.page_paths(spark, sf_dir).select("path"))
+    """Part files and pages as described files, with call-graph totals where known."""
+    stats = graph.file_stats(graph.function_stats(_file_graphs(spark, sf_dir)))
+    described = t.part_files(spark, sf_dir).select("path").unionByName(t.page_paths(spark, sf_dir).select("path"))
     return described.join(stats, "path", "left").select(
         "path",
         F.coalesce("functions", F.lit(0)).alias("functions"),
@@ -534,9 +528,24 @@ def describe_prompts(spark, sf_dir):
         graph.parse_files(files), "dir", "language", "source", "n_chars", "facts"
     )
     made = prompts.describe_prompts(work, files, ARCHITECTURE_TEXT, PROJECT)
-    return made.select(
-        "path",
-        F.length("prompt").alias("n_chars"),
-        tx.content_hash(F.col("prompt")).alias("prompt_hash"),
-        "max_tokens",
+    return made.select("path", "prompt", "max_tokens")
+
+
+@query
+def path_order(spark, sf_dir):
+    """Rank of every page's file in its host, folders before what sorts after them as text."""
+    paths = t.page_paths(spark, sf_dir).withColumn("host", F.substring_index("path", "/", 1))
+    order = Window.partitionBy("host").orderBy(tx.path_key(F.col("path")), "page_id")
+    return paths.select("page_id", "path", F.row_number().over(order).alias("rank"))
+
+
+@query
+def file_pieces(spark, sf_dir):
+    """Documents as files of a module's prompt, long ones in pieces."""
+    files = t.read(spark, sf_dir, "documents").select(
+        F.col("source").alias("dir"),
+        F.concat_ws("/", "source", "doc_id").alias("path"),
+        F.col("lang").alias("language"),
+        F.col("text").alias("source"),
     )
+    return prompts.file_pieces(files, 1000).select("path", "piece", "n_pieces", "block")

@@ -20,7 +20,6 @@ from codecairn.functions.text import (
     content_hash,
     normalize_newlines,
     parent_dir,
-    path_key,
     suffix,
 )
 from codecairn.session import materialize, shuffle_width
@@ -232,8 +231,3 @@ def read_graph_yaml(spark: SparkSession, folder: Path) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "source_hash", "functions"])
 
     return _read_texts(spark, folder, ".yaml").mapInPandas(parse, _GRAPH)
-
-
-def in_path_order(df: DataFrame, *more: str) -> DataFrame:
-    """Rows in component-by-component path order."""
-    return df.orderBy(path_key(F.col("path")), *more)
