@@ -5,7 +5,10 @@ from pathlib import Path
 import pytest
 from compare import connect, difference
 
-from __spark_entry__ import entry, oracle_sql, queries
+import __spark_entry__ as driver
+from __spark_entry__ import entry
+from codecairn.catalog.oracles import oracles
+from codecairn.catalog.queries import registered
 
 DATA = "/root/testdata/sf0.001"
 
@@ -18,12 +21,13 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(registered()) == set(oracles())
+    assert set(registered()) <= set(driver.queries()) and set(oracles()) <= set(driver.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(registered()))
 def test_query(spark, con, name):
-    assert difference(spark, con, name, queries()[name], oracle_sql()[name], DATA) is None
+    assert difference(spark, con, name, registered()[name], oracles()[name], DATA) is None
 
 
 def test_entry(spark):
