@@ -139,7 +139,8 @@ class Service:
     def files(self) -> DataFrame:
         """Described files in path order, with their call-graph totals where known."""
         store = self._opened()
-        described = store.read("file_descriptions").select("path")
+        present = store.read("source_facts").select("path")  # what describes deleted files is not listed
+        described = store.read("file_descriptions").select("path").join(present, "path", "left_semi")
         if store.exists("calls"):
             stats = graph.file_stats(
                 graph.function_stats_from_tables(store.read("functions"), store.read("calls"))

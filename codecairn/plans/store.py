@@ -89,10 +89,11 @@ class Store:
         """
         request = F.concat_ws("\x1f", F.lit(model), F.col("max_tokens").cast("string"), "prompt")
         asked = materialize(prompts.withColumn("prompt_hash", F.sha2(request, 256)))
-        wanted = asked
-        if not force:
-            known = self.read("responses").select("prompt_hash")
-            wanted = asked.join(known, "prompt_hash", "left_anti")
+        new = asked.select("prompt_hash").distinct()
+        if not force:  # hashes alone meet the stored answers, prompts do not move for it
+            new = new.join(self.read("responses").select("prompt_hash"), "prompt_hash", "left_anti")
+        # equal requests are sent once
+        wanted = asked.join(new, "prompt_hash", "left_semi").dropDuplicates(["prompt_hash"])
         generate(wanted, model).withColumn("run", F.lit(self.run)).write.mode("append").parquet(
             self.config.table("responses")
         )

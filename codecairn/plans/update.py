@@ -331,19 +331,25 @@ class Build:
         """Articles and descriptions as ``(doc_type, path, text)``.
 
         The frontmatter of an article leaves out its source list, which can
-        name every file; the list is the table ``article_sources``.
+        name every file; the list is the table ``article_sources``.  What
+        describes files or modules that are gone is left out.
         """
+        present = self.store.read("source_facts").select("path", "dir")
+        modules = present.select(F.concat(F.lit("Module: "), "dir").alias("title")).distinct()
+        stored = self.store.read("articles")
+        of_module = F.col("type") == "module-summary"
+        stored = stored.where(~of_module).unionByName(stored.where(of_module).join(modules, "title", "left_semi").select(stored.columns))
         no_sources = F.array().cast("array<struct<path:string,hash:string>>")
         article = responses.article_markdown(
             F.col("title"), F.col("content"), F.col("type"), no_sources, F.col("model"),
             F.col("commit"), F.col("commit_dirty"),
         )
-        articles = self.store.read("articles").select(
+        articles = stored.select(
             F.lit("article").alias("doc_type"),
             F.concat(F.col("name"), F.lit(".md")).alias("path"),
             article.alias("text"),
         )
-        described = self.store.read("file_descriptions").select(
+        described = self.store.read("file_descriptions").join(present, "path", "left_semi").select(
             F.lit("description").alias("doc_type"),
             F.concat(F.col("path"), F.lit(".md")).alias("path"),
             F.col("markdown").alias("text"),
