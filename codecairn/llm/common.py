@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,6 +130,9 @@ class WordEncoder:
         self.cache: dict[str, bytes] = {}
         size = tokenizer(path).get_vocab_size(with_added_tokens=True)
         self.names = [i.to_bytes(width, "little") for i in range(size)]
+        # ids that end a word, in vocabularies that mark the end
+        ends = [(tokenizer(path).id_to_token(i) or "").endswith("</w>") for i in range(size)]
+        self.ends = np.array(ends) if any(ends) and not space_led else None
 
     def _learn(self, words: set[str]) -> None:
         """Encode new words; one that ends in a mark is its stem's ids and the mark's."""
@@ -138,13 +142,31 @@ class WordEncoder:
         stems = {w[:-1] for w in marked} | {w[-1] for w in marked}
         new = list((words.difference(marked) | stems).difference(cache))
         for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+            part = self._learn_together(new[at : at + 4096])
             encoded = tokenizer(self.path).encode_batch_fast(part, add_special_tokens=False)
             for word, code in zip(part, encoded):
                 cache[word] = b"".join(map(name, code.ids))
         for w in marked:
             cache[w] = cache[w[:-1]] + cache[w[-1]]
 
+    def _learn_together(self, words: list[str]) -> list[str]:
+        """Encode words of letters only as one text, and cut it where words end.
+
+        Returns the words that are left to be encoded one by one.
+        """
+        letters = [w for w in words if w.isalpha()] if self.ends is not None else []
+        if not letters:
+            return words
+        ids = np.array(tokenizer(self.path).encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids)
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) * self.width
+        if len(cuts) != len(letters):  # folding made more than letters of one
+            return words
+        raw = ids.astype(f"<u{self.width}").tobytes()
+        cuts = cuts.tolist()
+        for word, a, b in zip(letters, [0, *cuts], cuts):
+            self.cache[word] = raw[a:b]
+        return [w for w in words if w not in self.cache]
+
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), GROUP):
             cut = [self.words(text) for text in texts[at : at + GROUP]]
