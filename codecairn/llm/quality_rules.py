@@ -6,8 +6,9 @@ trusted documents and one from the whole corpus; a document's score is the sum
 of ``log(trusted / corpus)`` over its n-grams, divided by their number plus a
 small prior.  It is
 kept when the base rule holds and the score is at least ``THRESHOLD``: the same
-verdict for the same text and corpus, no sampling.  DataFrame functions only;
-the text itself is never shuffled.
+verdict for the same text and corpus, no sampling.  DataFrame functions only.
+All trusted documents count; they are found by a semi join on their ids, the
+only step that may shuffle text.
 
 Defined results: a null text has no words; a text without words scores 0 and
 fails the base rule; an empty corpus, or one without trusted documents, gives
@@ -27,8 +28,6 @@ BUCKETS = 1 << 16
 #: Added to every bucket of both multinomials, the corpus counts being scaled to the
 #: trusted total first: n-grams that are rare in the corpus stay neutral.
 SMOOTHING = 8.0
-#: Trusted documents read at most, those with the smallest hash of their id; a broadcast of so many ids.
-TRUSTED_ROWS = 50_000
 #: Mean log ratio below which a document is dropped.
 THRESHOLD = -0.125
 #: Neutral n-grams added to every text, so that a few rare words in a short text decide nothing.
@@ -52,20 +51,14 @@ def _ngrams(words: str) -> Column:
 
 def bucket_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """One row: ``weights``, the log ratio by bucket."""
-    ids = (
-        trusted.select(F.col("doc_id").alias("trusted_id"))
-        .where("trusted_id is not null")
-        .distinct()
-        .orderBy(F.xxhash64("trusted_id"), "trusted_id")
-        .limit(TRUSTED_ROWS)
-    )
-    counts = (
-        docs.select("doc_id", words_of(F.col("text")).alias("words"))
-        .join(F.broadcast(ids), F.col("doc_id") == F.col("trusted_id"), "left")
-        .select(F.col("trusted_id").isNotNull().cast("long").alias("t"), F.explode(_ngrams("words")).alias("bucket"))
-        .groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("trusted"))
-    )
+    ids = trusted.select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct()
+    labelled = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("trusted_id"), "left_semi")
+
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        buckets = rows.select(words_of(F.col("text")).alias("words")).select(F.explode(_ngrams("words")).alias("bucket"))
+        return buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
+
+    counts = counted(docs, "raw").join(counted(labelled, "trusted"), "bucket", "left")
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     ordered = (
         every.join(counts, "bucket", "left")

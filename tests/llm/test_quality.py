@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codecairn.llm import quality_classifier as qc
 from codecairn.llm import quality_rules as qr
@@ -144,3 +145,14 @@ def test_edges_are_scored(spark, edge_docs, no_docs):
     rows = qc.quality_scores(edge_docs, forest).collect()
     assert len(rows) == edge_docs.count() and all(0 <= r.score <= 1 for r in rows)
     assert qc.quality_scores(no_docs, qc.train(no_docs, labels)).count() == 0
+
+
+def test_every_trusted_document_counts(spark):
+    """Of 60,000 trusted documents none is left out of the target's counts."""
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 7).alias("text"))
+    docs = docs.unionAll(spark.range(60_000, 60_100).select("id", F.lit("junk")))
+    weights = qr.bucket_weights(docs, docs.where("doc_id < 60000").select("doc_id")).first().weights
+    at = {r.text: r.b[0] for r in docs.select("text").distinct().select("text", qr._ngrams(qr.words_of(F.col("text"))).alias("b")).collect()}
+    # 8,572 texts with the word, all of them trusted; the raw counts are scaled by 60,000 / 60,100
+    n = 8572
+    assert weights[at["w0"]] == pytest.approx(math.log((n + qr.SMOOTHING) / (n * 60_000 / 60_100 + qr.SMOOTHING)), abs=1e-9)
