@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codecairn.llm import (
     exact_dedup,
+    lexical_search,
     line_dedup,
     packing,
     pii,
@@ -32,8 +33,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_simhash": simhash.op9_simhash,
         "op10_pii": pii.op10_pii,
+        "op13_ranked_search": lexical_search.op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+    return {
+        "op1_exact_dedup": exact_dedup.ORACLE,
+        "op8_line_dedup": line_dedup.ORACLE,
+        "op13_ranked_search": lexical_search.ORACLE,
+    }
