@@ -15,6 +15,7 @@ from codecairn.llm import (
     quality_classifier,
     quality_rules,
     simhash,
+    spelling,
     token_counts,
     token_files,
     word_bpe,
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_simhash": simhash.op9_simhash,
         "op10_pii": pii.op10_pii,
+        "op12_spelling_variants": spelling.op12_spelling_variants,
         "op13_ranked_search": lexical_search.op13_ranked_search,
     }
 
@@ -41,5 +43,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,
+        "op12_spelling_variants": spelling.op12_spelling_variants,
         "op13_ranked_search": lexical_search.ORACLE,
     }
