@@ -10,6 +10,7 @@ from codecairn.llm import (
     exact_dedup,
     lexical_search,
     line_dedup,
+    lm_scoring,
     packing,
     pii,
     quality_classifier,
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_simhash": simhash.op9_simhash,
         "op10_pii": pii.op10_pii,
+        "op11_lm_scores": lm_scoring.op11_lm_scores,
         "op12_spelling_variants": spelling.op12_spelling_variants,
         "op13_ranked_search": lexical_search.op13_ranked_search,
     }
@@ -43,6 +45,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,
+        "op11_lm_scores": lm_scoring.op11_lm_scores,
         "op12_spelling_variants": spelling.op12_spelling_variants,
         "op13_ranked_search": lexical_search.ORACLE,
     }
