@@ -186,6 +186,54 @@ fn_stats AS (
       AS callers_count
   FROM fns f)"""
 
+# Files of orders: every definition from its own row, its predecessor and a running count.
+_ORDERS = """placed AS (
+  SELECT o_orderkey AS k, o_orderstatus AS st, o_orderpriority AS pr, year(o_orderdate) AS yr,
+    CASE WHEN o_orderkey % 10 = 0 THEN 'pkg/common.py'
+         ELSE 'pkg/n' || c_nationkey || '/c' || c_custkey || '.py' END AS path,
+    CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE c_nationkey END AS nation,
+    o_orderkey % 10 <> 0 AND c_acctbal < -900 AS broken
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+laid AS (
+  SELECT *, coalesce(lag(k) OVER o, k) AS p, coalesce(lag(st) OVER o, st) AS pst,
+    coalesce(sum(CASE st WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 0 END) OVER b, 0) AS fn0,
+    coalesce(sum(CASE st WHEN 'O' THEN 4 ELSE 1 END) OVER b, 0) AS el0,
+    coalesce(sum(CASE st WHEN 'F' THEN 5 WHEN 'O' THEN 11 ELSE 2 END) OVER b, 0)
+      + CASE WHEN nation % 2 = 0 THEN 7 ELSE 5 END AS l
+  FROM placed WHERE NOT broken
+  WINDOW o AS (PARTITION BY path ORDER BY k),
+         b AS (PARTITION BY path ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+order_fns AS (
+  SELECT *, fn0 AS fn_ord, CASE st WHEN 'F' THEN 'f_' || k ELSE 'K_' || k || '.run' END AS qualified_name, 0 AS which
+  FROM laid WHERE st IN ('F', 'O')
+  UNION ALL SELECT *, fn0 + 1, 'K_' || k || '.step', 1 FROM laid WHERE st = 'O'),
+order_calls AS (
+  SELECT path, CAST(fn_ord AS INT) AS fn_ord, qualified_name AS caller, CAST(c.o AS INT) AS call_ord,
+    CASE c.n WHEN 'before' THEN 'f_' || p WHEN 'missing' THEN 'missing_' || k WHEN 'step' THEN 'K_' || k || '.step'
+      WHEN 'run' THEN 'K_' || k || '.run' WHEN 'class' THEN 'K_' || k WHEN 'go' THEN 'step_' || p || '.go' ELSE c.n END AS name,
+    CASE c.n WHEN 'before' THEN CASE WHEN pst = 'F' THEN 'local' END
+      WHEN 'save' THEN CASE WHEN nation % 2 = 0 THEN '.late' ELSE '.m' || nation END
+      WHEN 'np.abs' THEN 'numpy' WHEN 'os.path.join' THEN 'os.path' WHEN 'class' THEN 'local'
+      WHEN 'step' THEN 'self' WHEN 'run' THEN 'self' END AS resolved,
+    c.n IN ('step', 'run') OR (c.n = 'before' AND pst = 'F') AS wired
+  FROM order_fns f JOIN (VALUES ('F', 0, 0, 'save'), ('F', 0, 1, 'np.abs'), ('F', 0, 2, 'before'), ('F', 0, 3, 'missing'),
+    ('O', 0, 0, 'step'), ('O', 0, 1, 'before'), ('O', 0, 2, 'run'),
+    ('O', 1, 0, 'class'), ('O', 1, 1, 'os.path.join'), ('O', 1, 2, 'go')) c(st, w, o, n) ON f.st = c.st AND f.which = c.w)"""
+
+_ORDER_ELEMENTS = """
+SELECT path, CAST(el0 + e AS INT) AS elem_ord, CAST(CASE WHEN e > 0 THEN el0 ELSE -1 END AS INT) AS parent_ord,
+  CAST(CASE WHEN e > 0 THEN 1 ELSE 0 END AS INT) AS depth, kind, replace(n, '%', CAST(k AS VARCHAR)) AS name,
+  CASE WHEN e > 0 THEN 'K_' || k || ' > ' ELSE '' END || replace(n, '%', CAST(k AS VARCHAR)) AS scope_path,
+  replace(replace(s, '%k', CAST(k AS VARCHAR)), '%y', CAST(yr AS VARCHAR)) AS signature,
+  CASE kind WHEN 'class' THEN '@register("' || pr || '")' ELSE '' END AS decorators,
+  CASE kind WHEN 'function' THEN 'Handles ' || pr || '.' END AS docstring,
+  CAST(l + a AS INT) AS line_start, CAST(l + b AS INT) AS line_end
+FROM laid JOIN (VALUES ('F', 0, 'function', 'f_%', 'def f_%k(a, b=%y)', 0, 3),
+  ('O', 0, 'class', 'K_%', 'class K_%k(Base)', 1, 9), ('O', 1, 'constant', 'YEAR', 'YEAR = %y', 2, 2),
+  ('O', 2, 'method', 'run', 'def run(self)', 4, 5), ('O', 3, 'method', 'step', 'def step(self, n)', 7, 9),
+  ('P', 0, 'constant', 'LIMIT_%', 'LIMIT_%k = %y', 0, 0)) v(st, e, kind, n, s, a, b) ON laid.st = v.st"""
+
+
 def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -607,4 +655,18 @@ SELECT path, CAST(piece AS INT) AS piece, CAST(n AS INT) AS n_pieces,
   AS block FROM cut"""
     for name, body in code.items():
         sql[name] = f"WITH {_PARTS}\n{body}"
+    edges = "resolved IN ('local', 'self')"
+    ordered = {
+        "order_calls": "SELECT path, fn_ord, caller, call_ord, name, resolved, wired FROM order_calls",
+        "order_callers": "SELECT path, name AS callee, caller FROM order_calls WHERE wired",
+        "order_caller_inversion": f"SELECT path, name AS callee, caller, fn_ord, call_ord FROM order_calls WHERE {edges}",
+        "order_function_stats": f"""SELECT path, CAST(f.fn_ord AS INT) AS fn_ord, qualified_name, made.n AS calls_count,
+  coalesce(got.n, 0) AS callers_count FROM order_fns f
+JOIN (SELECT path, fn_ord, count(*) AS n FROM order_calls GROUP BY ALL) made USING (path, fn_ord)
+LEFT JOIN (SELECT path, name AS qualified_name, count(*) AS n FROM order_calls WHERE {edges} GROUP BY ALL) got
+  USING (path, qualified_name)""",
+        "order_elements": _ORDER_ELEMENTS,
+    }
+    for name, body in ordered.items():
+        sql[name] = f"WITH {_ORDERS}\n{body}"
     return sql

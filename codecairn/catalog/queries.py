@@ -13,6 +13,7 @@ from codecairn.functions import text as tx
 from codecairn.functions.packing import pack_paragraphs
 from codecairn.functions.vectors import l2_norm
 from codecairn.operators import budgets, chunks, graph, prompts, responses, search, staleness
+from codecairn.operators.wiring import Wiring, wire
 from codecairn.session import attach
 from codecairn.sources.embedders import embed_column, embed_query
 from codecairn.sources.files import excluded, file_columns, hidden, keep_path, supported
@@ -434,34 +435,72 @@ def _file_graphs(spark, sf_dir):
     return graph.file_graphs(_parsed(spark, sf_dir))
 
 
+def _wired(spark, sf_dir) -> Wiring:
+    return wire(_parsed(spark, sf_dir))
+
+
 @query
 def call_resolution(spark, sf_dir):
-    return graph.calls(_file_graphs(spark, sf_dir))
+    return _wired(spark, sf_dir).calls
 
 
 @query
 def caller_inversion(spark, sf_dir):
-    return graph.caller_edges(graph.calls(_file_graphs(spark, sf_dir)))
+    return _wired(spark, sf_dir).edges()
 
 
 @query
 def edge_count(spark, sf_dir):
-    return graph.edge_count(graph.calls(_file_graphs(spark, sf_dir)))
+    return graph.edge_count(_wired(spark, sf_dir).calls)
 
 
 @query
 def function_stats(spark, sf_dir):
-    return graph.function_stats(_file_graphs(spark, sf_dir))
+    return _wired(spark, sf_dir).stats()
 
 
 @query
 def file_graph_stats(spark, sf_dir):
-    return graph.file_stats(graph.function_stats(_file_graphs(spark, sf_dir)))
+    return graph.file_stats(_wired(spark, sf_dir).stats())
 
 
 @query
 def file_callers(spark, sf_dir):
-    return graph.file_callers(_file_graphs(spark, sf_dir))
+    return _wired(spark, sf_dir).callers()
+
+
+def _order_wiring(spark, sf_dir) -> Wiring:
+    return wire(graph.parse_files(t.order_files(spark, sf_dir)))
+
+
+@query
+def order_calls(spark, sf_dir):
+    """Resolved calls of files of very different sizes."""
+    return _order_wiring(spark, sf_dir).calls
+
+
+@query
+def order_callers(spark, sf_dir):
+    return _order_wiring(spark, sf_dir).callers()
+
+
+@query
+def order_caller_inversion(spark, sf_dir):
+    return _order_wiring(spark, sf_dir).edges()
+
+
+@query
+def order_function_stats(spark, sf_dir):
+    return _order_wiring(spark, sf_dir).stats()
+
+
+@query
+def order_elements(spark, sf_dir):
+    """Elements of files of very different sizes; those that do not parse have none."""
+    return graph.elements(graph.parse_files(t.order_files(spark, sf_dir))).select(
+        "path", "elem_ord", F.coalesce("parent_ord", F.lit(-1)).alias("parent_ord"), "depth", "kind", "name", "scope_path", "signature",
+        F.array_join("decorators", "\n").alias("decorators"), "docstring", "line_start", "line_end",
+    )
 
 
 @query
@@ -492,7 +531,7 @@ def element_list(spark, sf_dir):
 
 @query
 def symbol_context(spark, sf_dir):
-    contexts = graph.symbol_contexts(_file_graphs(spark, sf_dir))
+    contexts = graph.symbol_contexts(graph.file_graphs(_parsed(spark, sf_dir)))
     named = F.transform(
         "calls", lambda c: F.concat(c["name"], F.lit("="), F.coalesce(c.resolved, F.lit("?")))
     )
@@ -505,7 +544,7 @@ def symbol_context(spark, sf_dir):
 @query
 def file_list(spark, sf_dir):
     """Part files and pages as described files, with call-graph totals where known."""
-    stats = graph.file_stats(graph.function_stats(_file_graphs(spark, sf_dir)))
+    stats = graph.file_stats(_wired(spark, sf_dir).stats())
     described = t.part_files(spark, sf_dir).select("path").unionByName(t.page_paths(spark, sf_dir).select("path"))
     return described.join(stats, "path", "left").select(
         "path",

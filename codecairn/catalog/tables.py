@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codecairn.functions.text import content_hash
@@ -37,6 +37,32 @@ class Part%1$s(Base):
 '''
 
 
+# One definition per order, by its status; positions: order, previous order, priority, year.
+ORDER_CODE = {
+    "F": '''def f_%1$s(a, b=%4$s):
+    """Handles %3$s."""
+    x = save(np.abs(a), len(b))
+    return f_%2$s(x) + missing_%1$s(x) + save(b)
+
+''',
+    "O": '''@register("%3$s")
+class K_%1$s(Base):
+    YEAR = %4$s
+
+    def run(self):
+        return self.step(f_%2$s(1)) + self.run()
+
+    async def step(self, n):
+        super().add(n)
+        return K_%1$s(n) or os.path.join(n, step_%2$s.go())
+
+''',
+    "P": "LIMIT_%1$s = %4$s  # %3$s after %2$s\n\n",
+}
+#: Of so many orders one lies in the common file.
+COMMON = 10
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -63,6 +89,46 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select(path.alias("path"), F.encode(source, "UTF-8").alias("content"))
 
 
+def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, content)``: a Python file per customer with a definition per order.
+
+    Files have none to dozens of definitions, one common file has a tenth of
+    all.  Imports differ by nation, calls lead to neighbours in the file where
+    those are functions, and files of customers in debt do not parse.
+    """
+    orders = read(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.year("o_orderdate").alias("year")
+    )
+    customers = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    common = F.col("o_orderkey") % COMMON == 0
+    placed = orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).select(
+        "o_orderkey", "o_orderstatus", "o_orderpriority", "year",
+        F.when(common, "pkg/common.py").otherwise(F.concat_ws("/", F.lit("pkg"), F.concat(F.lit("n"), "c_nationkey"), F.concat(F.lit("c"), "c_custkey", F.lit(".py")))).alias("path"),
+        F.when(common, 0).otherwise(F.col("c_nationkey")).alias("nation"),
+        (~common & (F.col("c_acctbal") < -900)).alias("broken"),
+    )
+    before = F.lag("o_orderkey").over(Window.partitionBy("path").orderBy("o_orderkey"))
+    key, last = F.col("o_orderkey"), F.coalesce(before, "o_orderkey")
+    code = F.coalesce(
+        *(
+            F.when(F.col("o_orderstatus") == status, F.format_string(text, key, last, F.col("o_orderpriority"), F.col("year")))
+            for status, text in ORDER_CODE.items()
+        )
+    )
+    bodies = placed.withColumn("code", code).groupBy("path", "nation", "broken").agg(
+        F.array_sort(F.collect_list(F.struct("o_orderkey", "code"))).alias("parts")
+    )
+    nation = F.col("nation").cast("string")
+    head = F.concat(
+        F.lit("import os.path\nimport numpy as np\nfrom .m"), nation, F.lit(" import load, save\n"),
+        F.when(F.col("nation") % 2 == 0, F.lit("from .late import save\nfrom .star import *\n")).otherwise(F.lit("")), F.lit("\n"),
+    )
+    source = F.concat(
+        head, F.array_join(F.transform("parts", lambda p: p.code), ""), F.when(F.col("broken"), F.lit("def (\n")).otherwise(F.lit(""))
+    )
+    return spread(bodies.select("path", F.encode(source, "UTF-8").alias("content")))
+
+
 def document_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as articles: frontmatter title, one heading, lines as paragraphs."""
     text = F.concat(
