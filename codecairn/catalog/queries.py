@@ -531,7 +531,7 @@ def element_list(spark, sf_dir):
 
 @query
 def symbol_context(spark, sf_dir):
-    contexts = graph.symbol_contexts(graph.file_graphs(_parsed(spark, sf_dir)))
+    contexts = _wired(spark, sf_dir).contexts()
     named = F.transform(
         "calls", lambda c: F.concat(c["name"], F.lit("="), F.coalesce(c.resolved, F.lit("?")))
     )

@@ -1,8 +1,8 @@
 """Structure and call graph of source files.
 
 ``parse_files`` reads every file once; everything else is derived from its
-facts.  Resolution needs only what is in the same file, so it is expressed on
-the row's own arrays and moves no data; only statistics and lookups shuffle.
+facts.  The call graph as tables is made in ``wiring``; ``file_graphs`` gives a
+file's functions in its own row, for prompts and files written per source.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codecairn.functions.lookup import all_positions, last_positions, running_starts
+from codecairn.functions.lookup import last_positions, running_starts
 from codecairn.functions.pyfacts import parse_column
 
 # Names treated as builtins when called bare.
@@ -175,36 +175,6 @@ def file_graphs(parsed: DataFrame, *keep: str) -> DataFrame:
     return found.select("path", *keep, F.transform("_own", function).alias("functions"))
 
 
-def functions(graphs: DataFrame) -> DataFrame:
-    return graphs.select("path", F.inline("functions")).drop("calls")
-
-
-def calls(graphs: DataFrame) -> DataFrame:
-    """One row per call; ``wired`` tells whether it names a function of its file."""
-    names = F.transform("functions", lambda f: f.qualified_name)
-    return (
-        graphs.select("path", names.alias("_names"), F.inline("functions"))
-        .select(
-            "path",
-            "_names",
-            "fn_ord",
-            F.col("qualified_name").alias("caller"),
-            F.posexplode("calls").alias("call_ord", "c"),
-        )
-        .select(
-            "path",
-            "fn_ord",
-            "caller",
-            "call_ord",
-            F.col("c.name").alias("name"),
-            F.col("c.resolved").alias("resolved"),
-            (_same_file(F.col("c.resolved")) & F.array_contains("_names", F.col("c.name"))).alias(
-                "wired"
-            ),
-        )
-    )
-
-
 def _same_file(resolved: Column) -> Column:
     return F.coalesce(resolved.isin("local", "self"), F.lit(False))
 
@@ -223,20 +193,6 @@ def edge_count(call_rows: DataFrame) -> DataFrame:
     return caller_edges(call_rows).agg(F.count("*").alias("edges"))
 
 
-def function_stats(graphs: DataFrame) -> DataFrame:
-    """Per function: number of calls and of callers, same-named functions sharing theirs.
-
-    Edges stay within a file, so the counts come from the file's own row.
-    """
-    return symbol_contexts(graphs).select(
-        "path",
-        "fn_ord",
-        "qualified_name",
-        F.size("calls").cast("long").alias("calls_count"),
-        F.size("callers").cast("long").alias("callers_count"),
-    )
-
-
 def inner_edges(functions: Column) -> Column:
     """``(callee, caller)`` of every call that stays in the file, in order."""
     return F.flatten(
@@ -283,27 +239,6 @@ def file_stats(fn_stats: DataFrame) -> DataFrame:
     )
 
 
-def symbol_contexts(graphs: DataFrame) -> DataFrame:
-    """Callers and calls of every function, from its file's own row.
-
-    The callers of same-named functions are shared; calls keep their order.
-    """
-    edges = inner_edges(F.col("functions"))
-    placed = graphs.withColumn("_edges", edges).withColumn(
-        "_at",
-        all_positions(
-            F.transform("functions", lambda f: f.qualified_name), F.transform("_edges", lambda e: e.callee)
-        ),
-    )
-    return placed.select("path", "_edges", "_at", F.posexplode("functions").alias("_i", "f")).select(
-        "path",
-        "f.fn_ord",
-        "f.qualified_name",
-        F.transform(F.get("_at", F.col("_i")), lambda i: F.get("_edges", i).caller).alias("callers"),
-        "f.calls",
-    )
-
-
 def callers_of(edges: DataFrame, path: str, name: str) -> DataFrame:
     return (
         edges.where((F.col("path") == path) & (F.col("callee") == name))
@@ -318,10 +253,3 @@ def callees_of(fns: DataFrame, call_rows: DataFrame, path: str, name: str) -> Da
     first = named.agg(F.min("fn_ord").alias("fn_ord"))  # one row, so it is broadcast
     mine = call_rows.where((F.col("path") == path) & (F.col("caller") == name))
     return mine.join(F.broadcast(first), "fn_ord").orderBy("call_ord").select("name", "resolved")
-
-
-def file_callers(graphs: DataFrame) -> DataFrame:
-    """Callers of the functions a file defines, one row per (function, caller)."""
-    return calls(graphs).where("wired").select(
-        "path", F.col("name").alias("callee"), "caller"
-    )

@@ -46,6 +46,34 @@ class Wiring:
     def edges(self) -> DataFrame:
         return caller_edges(self.calls)
 
+    def contexts(self) -> DataFrame:
+        """Callers and calls of every function; same-named functions share their callers.
+
+        Both are gathered per function, in order, before they meet it.
+        """
+        received = (
+            self.edges()
+            .groupBy("path", F.col("callee").alias("qualified_name"))
+            .agg(F.array_sort(F.collect_list(F.struct("fn_ord", "call_ord", "caller"))).alias("callers"))
+        )
+        made = self.calls.groupBy("path", "fn_ord").agg(
+            F.array_sort(F.collect_list(F.struct("call_ord", "name", "resolved"))).alias("calls")
+        )
+        callers = F.transform("callers", lambda c: c.caller)
+        calls = F.transform("calls", lambda c: F.struct(c["name"].alias("name"), c.resolved.alias("resolved")))
+        none = F.array().cast("array<struct<name:string,resolved:string>>")
+        return (
+            self.functions.join(made, ["path", "fn_ord"], "left")
+            .join(received, ["path", "qualified_name"], "left")
+            .select(
+                "path",
+                "fn_ord",
+                "qualified_name",
+                F.coalesce(callers, F.array().cast("array<string>")).alias("callers"),
+                F.coalesce(calls, none).alias("calls"),
+            )
+        )
+
 
 def _row(kind: str, **fields: Column) -> Column:
     names = {"fn_ord": "int", "call_ord": "int", "name": "string", "scope": "string", "key": "string", "module": "string"}

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from codecairn.config import Config, EmbeddingConfig, has_uncommitted_changes, head_commit
 from codecairn.functions.text import flow_file_name, module_file_name
 from codecairn.operators import budgets, chunks, graph, prompts, responses, staleness
+from codecairn.operators.wiring import wire
 from codecairn.plans import digest
 from codecairn.plans.store import Store
 from codecairn.session import attach, materialize
@@ -74,11 +75,10 @@ class Build:
 
     def graph(self) -> None:
         facts = self.store.read("source_facts")
-        graphs = graph.file_graphs(facts)
-        calls = graph.calls(graphs)
+        wired = wire(facts)
         self.store.write("graph_imports", graph.graph_imports(facts))
-        self.store.write("functions", graph.functions(graphs), rank=("path", "fn_ord"))
-        self.store.write("calls", calls, rank=("path", "fn_ord", "call_ord"))
+        self.store.write("functions", wired.functions, rank=("path", "fn_ord"))
+        self.store.write("calls", wired.calls, rank=("path", "fn_ord", "call_ord"))
         edges = graph.edge_count(self.store.read("calls")).first()
         self.report["graph"] = edges.asDict()
 

@@ -1,10 +1,15 @@
 """Structure and call graph of Python source."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from codecairn.functions.pyfacts import file_facts
 from codecairn.operators import chunks, graph, responses
+from codecairn.operators.wiring import wire
 
 SHOP = '''import os.path
 import numpy as np
@@ -92,7 +97,7 @@ def test_imports(spark):
 
 
 def resolved(spark, source):
-    rows = graph.calls(graph.file_graphs(parse(spark, f=source))).orderBy("fn_ord", "call_ord").collect()
+    rows = wire(parse(spark, f=source)).calls.orderBy("fn_ord", "call_ord").collect()
     out = {}
     for r in rows:
         out.setdefault(r.caller, []).append((r.name, r.resolved))
@@ -110,28 +115,58 @@ def test_calls(spark):
 
 
 def test_edges_and_statistics(spark):
-    graphs = graph.file_graphs(parse(spark, pkg__shop=SHOP)).cache()
-    calls = graph.calls(graphs)
-    assert {(r.callee, r.caller) for r in graph.caller_edges(calls).collect()} == {
+    wired = wire(parse(spark, pkg__shop=SHOP))
+    assert {(r.callee, r.caller) for r in wired.edges().collect()} == {
         ("Cart.items.sum", "Cart.total"), ("top", "Cart.add"), ("Row.norm", "Row.key")
     }
-    assert graph.edge_count(calls).first().edges == 3
-    stats = graph.function_stats(graphs)
-    by_table = graph.function_stats_from_tables(graph.functions(graphs), calls)
-    assert sorted(map(tuple, stats.collect())) == sorted(map(tuple, by_table.collect()))
-    assert graph.file_stats(stats).first().asDict() == {
+    assert graph.edge_count(wired.calls).first().edges == 3
+    assert graph.file_stats(wired.stats()).first().asDict() == {
         "path": "pkg/shop.py", "functions": 5, "total_callers": 1, "total_calls": 8
     }
-    assert [tuple(r) for r in graph.file_callers(graphs).collect()] == [("pkg/shop.py", "top", "Cart.add")]
-    edges = graph.caller_edges(calls)
-    assert [tuple(r) for r in graph.callers_of(edges, "pkg/shop.py", "top").collect()] == [
+    assert [tuple(r) for r in wired.callers().collect()] == [("pkg/shop.py", "top", "Cart.add")]
+    assert [tuple(r) for r in graph.callers_of(wired.edges(), "pkg/shop.py", "top").collect()] == [
         ("pkg/shop.py", "Cart.add")
     ]
-    assert [tuple(r) for r in graph.callees_of(graph.functions(graphs), calls, "pkg/shop.py", "Cart.add").collect()] == [
+    assert [tuple(r) for r in graph.callees_of(wired.functions, wired.calls, "pkg/shop.py", "Cart.add").collect()] == [
         ("top", "local"), ("check", None)
     ]
 
 
+def test_tables_and_file_rows_agree(spark):
+    parsed = parse(spark, pkg__shop=SHOP, b="def a():\n    self.x(); a(); a.b()\nclass a:\n    def x(self): self.x(a)\n", c="def (")
+    wired = wire(parsed)
+    by_file = graph.file_graphs(parsed).select("path", F.inline("functions"))
+    assert sorted(map(str, wired.functions.collect())) == sorted(map(str, by_file.select(*wired.functions.columns).collect()))
+    want = by_file.select("path", "fn_ord", F.posexplode("calls").alias("call_ord", "c")).select("path", "fn_ord", "call_ord", "c.*")
+    assert sorted(map(str, wired.calls.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    contexts = {(r.path, r.fn_ord): ([c["name"] for c in r.calls], r.callers) for r in wired.contexts().collect()}
+    assert contexts["b.py", 0] == (["self.x", "a", "a.b"], ["a"])
+    assert contexts["b.py", 1] == (["a.x"], ["a.x"])
+
+
+@pytest.mark.parametrize("n", [2_000, 20_000])
+def test_files_of_very_many_functions_need_little_memory(n, tmp_path):
+    """A file of n functions that call each other, in a JVM of 1 GB."""
+    script = tmp_path / "many.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).parent.parent)!r})
+from codecairn.session import get_spark
+from codecairn.operators import graph
+from codecairn.operators.wiring import wire
+spark = get_spark(master="local[2]", **{{"spark.driver.memory": "1g", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4"}})
+source = "".join(f"def f{{i}}(x):\\n    return f{{(i * 7) % {n}}}(x) + f{{i // 2}}(other(x))\\n" for i in range({n}))
+wired = wire(graph.parse_files(spark.createDataFrame([("m.py", bytearray(source.encode()))], "path string, content binary")))
+total = graph.file_stats(wired.stats()).first()
+print("TOTAL", total.functions, total.total_calls, total.total_callers, wired.callers().count())
+""")
+    out = subprocess.run([sys.executable, str(script)], capture_output=True, text=True, timeout=400)
+    i = range(n)
+    calls = sum(1 + len({(k * 7) % n, k // 2}) for k in i)
+    near = sum(len({(k * 7) % n, k // 2}) for k in i)
+    assert out.stdout.split("TOTAL")[1].split() == [str(n), str(calls), str(near), str(near)], out.stderr[-2000:]
+
+
 @pytest.mark.parametrize(
     ("source", "want"),
     [
@@ -163,14 +198,13 @@ def test_call_rules(spark, source, want):
 
 def test_duplicate_names_share_callers(spark):
     source = "def a():\n    pass\ndef a():\n    b()\ndef b():\n    a()\n"
-    graphs = graph.file_graphs(parse(spark, f=source))
-    rows = [tuple(r)[2:] for r in graph.function_stats(graphs).orderBy("fn_ord").collect()]
+    wired = wire(parse(spark, f=source))
+    rows = [tuple(r)[2:] for r in wired.stats().orderBy("fn_ord").collect()]
     assert rows == [("a", 0, 1), ("a", 1, 1), ("b", 1, 1)]
-    fns, calls = graph.functions(graphs), graph.calls(graphs)
     # only the first definition counts, and that one calls nothing
-    assert graph.callees_of(fns, calls, "f.py", "a").collect() == []
-    assert [r.name for r in graph.callees_of(fns, calls, "f.py", "b").collect()] == ["a"]
-    assert graph.file_callers(graphs).count() == 2
+    assert graph.callees_of(wired.functions, wired.calls, "f.py", "a").collect() == []
+    assert [r.name for r in graph.callees_of(wired.functions, wired.calls, "f.py", "b").collect()] == ["a"]
+    assert wired.callers().count() == 2
 
 
 @pytest.mark.parametrize(
