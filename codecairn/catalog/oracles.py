@@ -5,6 +5,7 @@ from __future__ import annotations
 from codecairn.catalog.queries import (
     ARCHITECTURE_TEXT,
     EMBEDDING,
+    MERGE_BUCKETS,
     PROJECT,
     QUERY_TEXT,
     QUERY_VECTOR,
@@ -655,6 +656,22 @@ SELECT path, CAST(piece AS INT) AS piece, CAST(n AS INT) AS n_pieces,
   AS block FROM cut"""
     for name, body in code.items():
         sql[name] = f"WITH {_PARTS}\n{body}"
+    sql["tree_round_trip"] = """WITH placed AS (
+  SELECT page_id, html, CASE WHEN page_id % 13 = 0 OR page_id % 17 = 0 OR page_id % 19 = 0 THEN NULL
+    WHEN page_id % 7 = 0 THEN 'src/hot' ELSE 'src/d' || page_id % 11 || '/e' || page_id % 3 END AS dir FROM pages)
+SELECT dir || '/__page_' || page_id || '.py' AS path, dir, 'python' AS language, CAST(length(html) AS INT) AS n_chars,
+  substr(sha256(html), 1, 12) AS source_hash FROM placed WHERE dir IS NOT NULL"""
+    sql["markdown_round_trip"] = f"""WITH {_DOC_MD}
+SELECT doc_type, path || '.md' AS path, length(text) AS n_chars, substr(sha256(text), 1, 12) AS hash FROM doc_md"""
+    sql["store_merge"] = f"""WITH sized AS (
+  SELECT count(*) AS n, greatest(1, (count(*) + {MERGE_BUCKETS - 1}) // {MERGE_BUCKETS}) AS each FROM documents),
+dealt AS (
+  SELECT CAST(CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT)
+      % greatest(1, (n + each - 1) // each) AS INT) AS bucket,
+    doc_id % 100 = 0 AS hit, length(text) AS chars FROM documents, sized)
+SELECT bucket, bool_or(hit) AS rewritten, count(*) AS listed, count(*) AS n_rows,
+  CAST(sum(CAST(hit AS INT)) AS BIGINT) AS merged,
+  CAST(sum(CASE WHEN hit THEN -chars - 1 ELSE chars END) AS BIGINT) AS chars FROM dealt GROUP BY bucket"""
     edges = "resolved IN ('local', 'self')"
     ordered = {
         "order_calls": "SELECT path, fn_ord, caller, call_ord, name, resolved, wired FROM order_calls",

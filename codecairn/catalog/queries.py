@@ -14,9 +14,11 @@ from codecairn.functions.packing import pack_paragraphs
 from codecairn.functions.vectors import l2_norm
 from codecairn.operators import budgets, chunks, graph, prompts, responses, search, staleness
 from codecairn.operators.wiring import Wiring, wire
-from codecairn.session import attach
+from codecairn.plans.versions import BucketedTable, bucket_of
+from codecairn.session import attach, shared_folder
 from codecairn.sources.embedders import embed_column, embed_query
-from codecairn.sources.files import excluded, file_columns, hidden, keep_path, supported
+from codecairn.sources.export import write_texts
+from codecairn.sources.files import excluded, file_columns, hidden, keep_path, read_markdown, scan_tree, supported
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERY_VECTOR = [((i * 37) % 64 - 31.5) / 64 for i in range(64)]
 QUERY_TEXT = "the thing and the other one"
 TOP_K = 10
+MERGE_BUCKETS = 64
 EMBEDDING = EmbeddingConfig(dimensions=64)
 PAGE_EXCLUDE = ("**/es/**", "*spam*", *DEFAULT_EXCLUDE)
 
@@ -554,6 +557,42 @@ def file_list(spark, sf_dir):
     )
 
 
+@query
+def tree_round_trip(spark, sf_dir):
+    """Pages written as a tree of files, and what a scan of the tree reads."""
+    folder = shared_folder(spark)
+    write_texts(t.page_files(spark, sf_dir), folder)
+    return scan_tree(spark, folder, "src", DEFAULT_EXCLUDE).select("path", "dir", "language", "n_chars", "source_hash")
+
+
+@query
+def markdown_round_trip(spark, sf_dir):
+    """Documents written as markdown files, and the articles read back from them."""
+    folder = shared_folder(spark)
+    files = t.document_markdown(spark, sf_dir).select(F.concat("path", F.lit(".md")).alias("path"), "text")
+    write_texts(files, folder)
+    read = read_markdown(spark, folder, "article")
+    return read.select("doc_type", "path", F.length("text").cast("long").alias("n_chars"), tx.content_hash(F.col("text")).alias("hash"))
+
+
+@query
+def store_merge(spark, sf_dir):
+    """Buckets of a table before and after one row in a hundred is merged into it."""
+    docs = t.read(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").cast("long").alias("chars"))
+    rows = docs.count()
+    table = BucketedTable(spark, shared_folder(spark), ("doc_id",), bucket_rows=max(1, -(-rows // MERGE_BUCKETS)))
+    table.merge(docs)
+    before = table.manifest()
+    table.merge(docs.where("doc_id % 100 = 0").withColumn("chars", -F.col("chars") - 1))
+    after = table.manifest()
+    written = [(int(b), p != before["parts"].get(b), p["rows"]) for b, p in after["parts"].items()]
+    parts = spark.createDataFrame(written, "bucket int, rewritten boolean, listed bigint")
+    held = table.read().withColumn("bucket", bucket_of(["doc_id"], after["buckets"])).groupBy("bucket").agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("chars") < 0).alias("merged"), F.sum("chars").alias("chars")
+    )
+    return parts.join(held, "bucket").select("bucket", "rewritten", "listed", "n_rows", "merged", "chars")
+
+
 # Parameters of the prompt query.
 ARCHITECTURE_TEXT = "Parts import their kind and price themselves."
 PROJECT = "parts"

@@ -179,6 +179,22 @@ def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, text)``: a Python file per page, a seventh of all in one folder,
+    some in folders or under names that a scan leaves out."""
+    key = F.col("page_id")
+    folder = (
+        F.when(key % 13 == 0, F.concat(F.lit("d"), key % 11, F.lit("/tests")))
+        .when(key % 17 == 0, F.lit(".hidden"))
+        .when(key % 7 == 0, F.lit("hot"))
+        .otherwise(F.concat(F.lit("d"), key % 11, F.lit("/e"), key % 3))
+    )
+    ending = F.when(key % 19 == 0, F.lit(".txt")).otherwise(F.lit(".py"))
+    return read(spark, sf_dir, "pages").select(
+        F.concat(folder, F.lit("/__page_"), key, ending).alias("path"), F.col("html").alias("text")
+    )
+
+
 def document_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("path"), content_hash(F.col("text")).alias("source_hash")

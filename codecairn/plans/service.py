@@ -123,15 +123,14 @@ class Service:
         body = frontmatter_body(F.col("markdown"))
         text = extract_section(body, F.lit(symbol)) if symbol else body
         row = (
-            store.read("file_descriptions").where(F.col("path") == file_path).select(text.alias("t")).first()
+            store.lookup("file_descriptions", file_path).select(text.alias("t")).first()
         )
         if row is None:
             return "No description available; run the describe step first."
         return row.t if row.t is not None else f"Symbol '{symbol}' not found in description."
 
     def get_architecture(self) -> dict:
-        rows = self._opened().read("articles").where(F.col("name") == "architecture-overview")
-        row = rows.select("title", "content").first()
+        row = self._opened().lookup("articles", "architecture-overview").select("title", "content").first()
         if row is None:
             return {"error": "no architecture overview; run the synthesize step first"}
         return {"content": f"# {row.title}\n\n{row.content}".strip()}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecairn.config import Config
+from codecairn.plans.versions import BucketedTable
 from codecairn.session import materialize
 from codecairn.sources.generators import generate
 
@@ -26,6 +27,14 @@ SCHEMAS = {
 }
 
 
+# Tables that grow by merges: what a merge replaces, and what tells rows of it apart.
+KEYS = {
+    "articles": (("name",), ()),
+    "article_sources": (("name",), ("path",)),
+    "file_descriptions": (("path",), ()),
+    "symbol_descriptions": (("path",), ()),
+}
+
 # Keys a reader looks single rows up by.
 _POINT_KEYS = ("path", "chunk_ord")
 
@@ -43,15 +52,26 @@ class Store:
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         return fs.exists(path)
 
+    def bucketed(self, name: str) -> BucketedTable:
+        key, within = KEYS[name]
+        return BucketedTable(self.spark, self.config.table(name), key, within)
+
     def read(self, name: str) -> DataFrame:
         """The table; one that was never written is empty, or an error without a schema."""
-        if not self.exists(name):
+        if name in KEYS and self.bucketed(name).exists():
+            return self.bucketed(name).read()
+        if name in KEYS or not self.exists(name):
             schema = SCHEMAS.get(name)
             if schema is None:
                 raise FileNotFoundError(f"table {name} was not built yet")
             return self.spark.createDataFrame([], schema)
         return self.spark.read.parquet(self.config.table(name))
 
+    def lookup(self, name: str, value: str) -> DataFrame:
+        """Rows of one key of a merged table; one bucket is read."""
+        table = self.bucketed(name)
+        return table.lookup(value) if table.exists() else self.read(name)
+
     def write(self, name: str, df: DataFrame, by: str | None = None, rank: tuple[str, ...] = ()) -> None:
         """Replace the table.
 
@@ -67,15 +87,9 @@ class Store:
         writer = df.write.mode("overwrite")
         (writer.partitionBy(by) if by else writer).parquet(self.config.table(name))
 
-    def merge(self, name: str, fresh: DataFrame, key: str, *more: str) -> None:
-        """Replace the rows of the keys in ``fresh`` and keep the others.
-
-        The result is checkpointed first, because it reads the table it
-        replaces.  Rows are laid out by ``key`` and ``more``; name more columns
-        where one key may have very many rows.
-        """
-        kept = self.read(name).join(fresh.select(key).distinct(), key, "left_anti")
-        self.write(name, materialize(kept.unionByName(fresh)), rank=(key, *more))
+    def merge(self, name: str, fresh: DataFrame) -> None:
+        """Replace the rows of the keys in ``fresh`` and keep the others (``KEYS``)."""
+        self.bucketed(name).merge(fresh)
 
     # -- generated text ---------------------------------------------------------
 

@@ -111,13 +111,11 @@ class Build:
             "content",
         )
         # sources last: an article without them is stale, so a lost run repeats it
-        self.store.merge("articles", rows, "name")
-        self.store.merge(
-            "article_sources", sources.join(fresh.select("name"), "name", "left_semi"), "name", "path"
-        )
+        self.store.merge("articles", rows)
+        self.store.merge("article_sources", sources.join(fresh.select("name"), "name", "left_semi"))
 
     def _article(self, name: str) -> str | None:
-        row = self.store.read("articles").where(F.col("name") == name).select("content").first()
+        row = self.store.lookup("articles", name).select("content").first()
         return row.content if row else None
 
     def _ask(self, prompt: str, tokens: int) -> str:
@@ -322,8 +320,8 @@ class Build:
         )
         # symbols first: the file row marks the work as done
         columns = [c.split()[0] for c in _SYMBOL_COLUMNS.split(", ")]
-        self.store.merge("symbol_descriptions", matched.select(*columns), "path", "sym_ord")
-        self.store.merge("file_descriptions", materialize(described), "path")
+        self.store.merge("symbol_descriptions", matched.select(*columns))
+        self.store.merge("file_descriptions", described)
 
     # -- index --------------------------------------------------------------
 

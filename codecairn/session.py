@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -65,6 +66,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors see, below ``spark.checkpoint.dir``.
+
+    A local master without that setting gets a scratch folder, any other master
+    without it is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = "file://" + tempfile.mkdtemp(prefix="codecairn-shared-")
+    return f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Number of range blocks to cut an ordered fold into."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
