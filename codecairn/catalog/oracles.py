@@ -5,6 +5,7 @@ from __future__ import annotations
 from codecairn.catalog.queries import (
     ARCHITECTURE_TEXT,
     EMBEDDING,
+    FAIL_EVERY,
     MERGE_BUCKETS,
     PROJECT,
     QUERY_TEXT,
@@ -656,6 +657,17 @@ SELECT path, CAST(piece AS INT) AS piece, CAST(n AS INT) AS n_pieces,
   AS block FROM cut"""
     for name, body in code.items():
         sql[name] = f"WITH {_PARTS}\n{body}"
+    # the marks are lines that only one version has, and all other lines are common
+    sql["source_changes"] = """WITH sized AS (
+  SELECT doc_id, len(string_split(text, chr(10))) AS n, doc_id % 50 AS r FROM documents)
+SELECT 'docs/' || doc_id AS path, CASE r WHEN 1 THEN 'added' WHEN 2 THEN 'removed' ELSE 'changed' END AS status,
+  CASE r WHEN 2 THEN 0 WHEN 1 THEN n + n // 5 ELSE n // 5 END AS added,
+  CASE r WHEN 1 THEN 0 WHEN 2 THEN n + n // 3 ELSE n // 3 END AS removed
+FROM sized WHERE r IN (1, 2) OR n >= 3"""
+    sql["answer_loop"] = f"""SELECT doc_id, CASE WHEN doc_id % {FAIL_EVERY} = 0 THEN 'failed' ELSE 'answered' END AS state,
+  CAST(CASE WHEN doc_id % {FAIL_EVERY} = 0 THEN 3 ELSE 1 END AS INT) AS attempts,
+  CASE WHEN doc_id % {FAIL_EVERY} <> 0 THEN 'Generated text ' || substr(sha256(text), 1, 8) || '.' || chr(10) END AS response,
+  CASE WHEN doc_id % {FAIL_EVERY} = 0 THEN 'TimeoutError: no answer to ' || doc_id END AS error FROM documents"""
     sql["tree_round_trip"] = """WITH placed AS (
   SELECT page_id, html, CASE WHEN page_id % 13 = 0 OR page_id % 17 = 0 OR page_id % 19 = 0 THEN NULL
     WHEN page_id % 7 = 0 THEN 'src/hot' ELSE 'src/d' || page_id % 11 || '/e' || page_id % 3 END AS dir FROM pages)

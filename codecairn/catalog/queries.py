@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecairn.catalog import tables as t
@@ -14,10 +14,14 @@ from codecairn.functions.packing import pack_paragraphs
 from codecairn.functions.vectors import l2_norm
 from codecairn.operators import budgets, chunks, graph, prompts, responses, search, staleness
 from codecairn.operators.wiring import Wiring, wire
+from codecairn.operators.changes import file_changes
+from codecairn.operators.ranking import rank_within
+from codecairn.plans.answers import Answers
 from codecairn.plans.versions import BucketedTable, bucket_of
-from codecairn.session import attach, shared_folder
+from codecairn.session import attach, shared_folder, spread
 from codecairn.sources.embedders import embed_column, embed_query
 from codecairn.sources.export import write_texts
+from codecairn.sources.generators import TemplateGenerator
 from codecairn.sources.files import excluded, file_columns, hidden, keep_path, read_markdown, scan_tree, supported
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +30,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERY_VECTOR = [((i * 37) % 64 - 31.5) / 64 for i in range(64)]
 QUERY_TEXT = "the thing and the other one"
 TOP_K = 10
+FAIL_EVERY = 20
 MERGE_BUCKETS = 64
 EMBEDDING = EmbeddingConfig(dimensions=64)
 PAGE_EXCLUDE = ("**/es/**", "*spam*", *DEFAULT_EXCLUDE)
@@ -575,6 +580,27 @@ def markdown_round_trip(spark, sf_dir):
     return read.select("doc_type", "path", F.length("text").cast("long").alias("n_chars"), tx.content_hash(F.col("text")).alias("hash"))
 
 
+@query
+def source_changes(spark, sf_dir):
+    """Lines that came to and went from documents, each between two versions of its text.
+
+    The old version has a line of its own behind every third line, the new one
+    behind every fifth; some documents have no old or no new version.
+    """
+    def marked(every, mark):
+        lines = F.transform(F.split("text", "\n"), lambda x, i: F.when((i + 1) % every == 0, F.concat(x, F.lit("\n#" + mark), i)).otherwise(x))
+        return F.array_join(lines, "\n")
+
+    docs = t.read_spread(spark, sf_dir, "documents", "doc_id", "text")
+    path = F.concat(F.lit("docs/"), "doc_id").alias("path")
+
+    def version(every, mark, but):
+        made = docs.where(F.col("doc_id") % 50 != but).select(path, marked(every, mark).alias("source"))
+        return made.withColumn("source_hash", tx.content_hash(F.col("source")))
+
+    return file_changes(version(3, "old", 1), version(5, "new", 2)).select("path", "status", "added", "removed")
+
+
 @query
 def store_merge(spark, sf_dir):
     """Buckets of a table before and after one row in a hundred is merged into it."""
@@ -613,8 +639,25 @@ def describe_prompts(spark, sf_dir):
 def path_order(spark, sf_dir):
     """Rank of every page's file in its host, folders before what sorts after them as text."""
     paths = t.page_paths(spark, sf_dir).withColumn("host", F.substring_index("path", "/", 1))
-    order = Window.partitionBy("host").orderBy(tx.path_key(F.col("path")), "page_id")
-    return paths.select("page_id", "path", F.row_number().over(order).alias("rank"))
+    paths = paths.withColumn("_key", tx.path_key(F.col("path")))
+    return rank_within(paths, "host", ["_key", "page_id"]).select("page_id", "path", F.col("rank").cast("int").alias("rank"))
+
+
+class _Failing(TemplateGenerator):
+    """The offline provider; it fails for every twentieth request."""
+
+    def __call__(self, prompt: str, max_tokens: int) -> str:
+        if max_tokens % FAIL_EVERY == 0:
+            raise TimeoutError(f"no answer to {max_tokens}")
+        return super().__call__(prompt, max_tokens)
+
+
+@query
+def answer_loop(spark, sf_dir):
+    """Documents asked about by a provider that fails for some: each with its state, attempts, answer."""
+    docs = t.read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"), F.col("doc_id").cast("int").alias("max_tokens"))
+    asked = Answers(spark, shared_folder(spark), "template", "1", _Failing).ask(spread(docs), ["doc_id"])
+    return asked.select("doc_id", "state", "attempts", "response", "error")
 
 
 @query

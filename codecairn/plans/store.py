@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecairn.config import Config
+from codecairn.plans.answers import FAILED, Answers, GenerationFailed
 from codecairn.plans.versions import BucketedTable
-from codecairn.session import materialize
-from codecairn.sources.generators import generate
 
 # Columns of the stored tables.
 SCHEMAS = {
@@ -22,7 +21,7 @@ SCHEMAS = {
     "model string, markdown string",
     "symbol_descriptions": "path string, sym_ord int, scope_path string, kind string, "
     "signature string, description string, line_start int, line_end int",
-    "responses": "prompt_hash string, response string, run string",
+    "sources": "path string, source_hash string, source string",
     "meta": "index string, key string, value string",
 }
 
@@ -32,6 +31,7 @@ KEYS = {
     "articles": (("name",), ()),
     "article_sources": (("name",), ("path",)),
     "file_descriptions": (("path",), ()),
+    "sources": (("path",), ()),
     "symbol_descriptions": (("path",), ()),
 }
 
@@ -87,34 +87,20 @@ class Store:
         writer = df.write.mode("overwrite")
         (writer.partitionBy(by) if by else writer).parquet(self.config.table(name))
 
-    def merge(self, name: str, fresh: DataFrame) -> None:
-        """Replace the rows of the keys in ``fresh`` and keep the others (``KEYS``)."""
-        self.bucketed(name).merge(fresh)
+    def merge(self, name: str, fresh: DataFrame, gone: DataFrame | None = None) -> None:
+        """Replace the rows of the keys in ``fresh``, drop those in ``gone``, keep the others (``KEYS``)."""
+        self.bucketed(name).merge(fresh, gone)
 
     # -- generated text ---------------------------------------------------------
 
-    def answer(self, prompts: DataFrame, keys: list[str], model: str, force: bool = False) -> DataFrame:
-        """``(keys…, prompt, max_tokens)`` to ``(keys…, response)``.
+    def ask(self, prompts: DataFrame, keys: list[str], model: str, force: bool = False) -> DataFrame:
+        """``(keys…, prompt, max_tokens)`` to ``(keys…, state, attempts, response, error)``."""
+        return Answers(self.spark, self.config.table("attempts"), model, self.run).ask(prompts, keys, force)
 
-        Answers are stored under a hash of their request.  A request answered
-        before is not sent again, so a failed run resumes where it stopped;
-        ``force`` asks anew.  New answers are written before they are used,
-        so no later step can ask twice.
-        """
-        request = F.concat_ws("\x1f", F.lit(model), F.col("max_tokens").cast("string"), "prompt")
-        asked = materialize(prompts.withColumn("prompt_hash", F.sha2(request, 256)))
-        new = asked.select("prompt_hash").distinct()
-        if not force:  # hashes alone meet the stored answers, prompts do not move for it
-            new = new.join(self.read("responses").select("prompt_hash"), "prompt_hash", "left_anti")
-        # equal requests are sent once
-        wanted = asked.join(new, "prompt_hash", "left_semi").dropDuplicates(["prompt_hash"])
-        generate(wanted, model).withColumn("run", F.lit(self.run)).write.mode("append").parquet(
-            self.config.table("responses")
-        )
-        latest = (
-            self.read("responses")
-            .join(asked.select("prompt_hash").distinct(), "prompt_hash", "left_semi")
-            .groupBy("prompt_hash")
-            .agg(F.max_by("response", "run").alias("response"))
-        )
-        return asked.select(*keys, "prompt_hash").join(latest, "prompt_hash").drop("prompt_hash")
+    def answer(self, prompts: DataFrame, keys: list[str], model: str, force: bool = False) -> DataFrame:
+        """``(keys…, prompt, max_tokens)`` to ``(keys…, response)``, an error if one is missing."""
+        asked = self.ask(prompts, keys, model, force)
+        failed = asked.where(F.col("state") == FAILED).select("error").limit(1).collect()
+        if failed:
+            raise GenerationFailed(failed[0].error)
+        return asked.select(*keys, "response")

@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from codecairn.config import Config, EmbeddingConfig, has_uncommitted_changes, head_commit
 from codecairn.functions.text import flow_file_name, module_file_name
 from codecairn.operators import budgets, chunks, graph, prompts, responses, staleness
+from codecairn.operators.changes import file_changes
 from codecairn.operators.wiring import wire
 from codecairn.plans import digest
+from codecairn.plans.answers import ANSWERED
 from codecairn.plans.store import Store
 from codecairn.session import attach, materialize
 from codecairn.sources.embedders import embed_column
@@ -33,6 +35,7 @@ STEPS = ("extract", "graph", "synthesize", "describe", "index")
 SUMMARY_TOKENS = 4096
 ARTICLE_TOKENS = 8192
 FLOW_TOKENS = 2048
+VERDICT_TOKENS = 256
 
 ARCHITECTURE = "architecture-overview"
 
@@ -192,6 +195,11 @@ class Build:
 
         stale = self._project_articles_stale([ARCHITECTURE])
         new_overview = bool(stale) or generated > 0
+        changes = materialize(file_changes(self.store.read("sources"), files))
+        if new_overview and not self._significant(ARCHITECTURE, "Architecture Overview", changes):
+            # the article stands, and covers the sources as they are now
+            self.store.merge("article_sources", self._hashes([ARCHITECTURE]))
+            new_overview = False
         if new_overview:
             if batched:
                 text = prompts.summaries_overview_prompt(skeleton, summary_text, project)
@@ -208,8 +216,22 @@ class Build:
 
         if not skip_flows:
             generated += self._flows(new_overview, files, context)
+        changed = files.join(changes.where("status <> 'removed'").select("path"), "path", "left_semi")
+        self.store.merge(
+            "sources", changed.select("path", "source_hash", "source"), changes.where("status = 'removed'").select("path")
+        )
         self.report["synthesize"] = {"generated": generated, "batched": batched}
 
+    def _significant(self, name: str, title: str, changes: DataFrame) -> bool:
+        """Whether the changes since an article was written call for a new one."""
+        content = self._article(name)
+        if self.force or content is None or changes.isEmpty():
+            return True
+        parts = changes.select("path", F.concat(F.lit("--- "), "path", F.lit("\n"), "hunks").alias("text"))
+        answer = self._ask(prompts.significance_prompt(title, content, self._digest(parts, "the changes")), VERDICT_TOKENS)
+        row = self.spark.createDataFrame([(answer,)], "response string")
+        return row.select(responses.verdict(F.col("response")).alias("v")).first().v
+
     def _flows(self, new_overview: bool, files: DataFrame, context: str | None) -> int:
         """Identify and write flows, only when any stored one may be out of date."""
         known = [
@@ -274,9 +296,16 @@ class Build:
         self.report["describe"] = {"generated": count, "cached": total - count}
         if not count:
             return
-        answers = materialize(
-            self.store.answer(self.describe_prompts(file_filter), ["path"], self.model, self.force)
+        asked = materialize(
+            self.store.ask(self.describe_prompts(file_filter), ["path"], self.model, self.force)
         )
+        # files without an answer stay undescribed, so the next run asks for them again
+        self.store.write("failed_descriptions", asked.where(F.col("state") != ANSWERED).select("path", "attempts", "error"))
+        answers = asked.where(F.col("state") == ANSWERED).select("path", "response")
+        done = answers.count()
+        self.report["describe"] |= {"generated": done, "failed": count - done}
+        if not done:
+            return
         files = facts.join(answers.select("path"), "path", "left_semi")
         elements = graph.elements(files).drop("body")
         summary = answers.select("path", responses.response_summary(F.col("response")).alias("summary"))
@@ -291,7 +320,7 @@ class Build:
             more = prompts.continuation_prompts(
                 missing, files.select("path", "language", "source"), self.config.project_name
             )
-            followed = self.store.answer(more, ["path"], self.model, self.force)
+            followed = self.store.ask(more, ["path"], self.model, self.force).where(F.col("state") == ANSWERED)
             fresh = responses.response_symbols(followed).withColumn("round", F.lit(turn))
             symbols = materialize(symbols.unionByName(fresh))
         self.store.write("missing_descriptions", missing)

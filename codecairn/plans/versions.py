@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codecairn.session import materialize
+
 #: Rows a bucket is meant to hold; a table that outgrows four times that is dealt anew.
 BUCKET_ROWS = 1_000_000
 #: Versions whose files are kept for readers.
@@ -143,10 +145,11 @@ class BucketedTable:
         version, buckets = (known[-1] if known else 0) + 1, max(1, -(-whole.count() // self.bucket_rows))
         self._finish(version, buckets, rows.schema, self._put(whole, version, buckets), staged)
 
-    def merge(self, fresh: DataFrame) -> None:
-        """Replace the rows of the keys in ``fresh``; only buckets that hold one are written.
+    def merge(self, fresh: DataFrame, gone: DataFrame | None = None) -> None:
+        """Replace the rows of the keys in ``fresh``, drop those of the keys in ``gone``.
 
-        ``fresh`` is stored first, so it is computed once.
+        Only buckets that hold such a key are written.  ``fresh`` is stored
+        first, so it is computed once.
         """
         if not self.exists():
             self.replace(fresh)
@@ -155,10 +158,15 @@ class BucketedTable:
         staged, version, buckets = f"{self.folder}/staged/{uuid.uuid4().hex}", manifest["version"] + 1, manifest["buckets"]
         fresh.select(*T.StructType.fromJson(manifest["schema"]).names).write.parquet(staged)
         new = self.spark.read.schema(T.StructType.fromJson(manifest["schema"])).parquet(staged)
-        keys = new.select(*(F.col(k).alias(f"_{k}") for k in self.key)).distinct()
+        keys = new.select(*self.key)
+        if gone is not None:
+            keys = keys.unionAll(gone.select(*self.key))
+        keys = materialize(keys.distinct().withColumnsRenamed({k: f"_{k}" for k in self.key}))
         same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in self.key]
         dealt = bucket_of(self.key + self.within, buckets).alias("bucket")
         touched = new.select(dealt)
+        if gone is not None and not self.within:
+            touched = touched.unionAll(gone.select(*self.key).select(dealt))
         if self.within:  # a key's old rows may lie in buckets that its new rows miss
             touched = touched.unionAll(self._read(manifest).join(keys, same, "left_semi").select(dealt))
         hit = {r.bucket for r in touched.distinct().collect()}

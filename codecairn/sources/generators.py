@@ -82,17 +82,26 @@ def make_generator(model: str) -> Generator:
 def generate(
     prompts: DataFrame, model: str, factory: Callable[[str], Generator] = make_generator
 ) -> DataFrame:
-    """``(prompt_hash, prompt, max_tokens)`` to ``(prompt_hash, response)``.
+    """``(prompt_hash, prompt, max_tokens)`` to ``(prompt_hash, response, error)``.
 
-    The provider is built once per task.  Tasks are the unit of concurrency:
+    A request that raises has no response but its error; the others go on.  The
+    provider is built once per task.  Tasks are the unit of concurrency:
     coalesce the prompts to what the endpoint allows.
     """
 
+    def attempt(provider: Generator, prompt: str, tokens: int) -> tuple[str | None, str | None]:
+        try:
+            return provider(prompt, tokens), None
+        except Exception as exc:  # noqa: BLE001
+            return None, f"{type(exc).__name__}: {exc}"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = factory(model)
         for batch in batches:
-            texts = [provider(p, int(n)) for p, n in zip(batch["prompt"], batch["max_tokens"])]
-            yield pd.DataFrame({"prompt_hash": batch["prompt_hash"], "response": texts})
+            done = [attempt(provider, p, int(n)) for p, n in zip(batch["prompt"], batch["max_tokens"])]
+            yield pd.DataFrame(
+                {"prompt_hash": batch["prompt_hash"], "response": [r for r, _ in done], "error": [e for _, e in done]}
+            )
 
     wanted = prompts.select("prompt_hash", "prompt", "max_tokens")
-    return wanted.mapInPandas(run, "prompt_hash string, response string")
+    return wanted.mapInPandas(run, "prompt_hash string, response string, error string")
