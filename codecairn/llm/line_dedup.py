@@ -52,7 +52,8 @@ def _hash(line: Column) -> Column:
 
 def _lines(text: Column) -> Column:
     """Trimmed lines that may be boilerplate."""
-    enough = rf"[^\x20\x09-\x0D](.*?{BLANK}[^\x20\x09-\x0D]){{{MIN_WORDS - 1}}}"
+    # possessive, and from the start only: linear in the line
+    enough = rf"^{BLANK}*+(?:[^\x20\x09-\x0D]++{BLANK}++){{{MIN_WORDS - 1}}}[^\x20\x09-\x0D]"
     return F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: s.rlike(enough))
 
 

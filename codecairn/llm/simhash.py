@@ -147,7 +147,12 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(node, root)`` for every node that has an edge; equal roots are connected."""
+    """``(node, root)`` for every node that has an edge; equal roots are connected.
+
+    Every node but the smallest of its neighbourhood hooks to its smallest
+    neighbour, and pointers jump, twice as far each time, to the ends of their
+    chains before edges are drawn between those ends.
+    """
     edges = shared_table(edges, "simhash-edges")
     ends = edges.select(F.col("a").alias("node")).unionAll(edges.select("b")).distinct()
     roots = shared_table(ends.select("node", F.col("node").alias("root")), "simhash-roots")
@@ -158,11 +163,15 @@ def components(edges: DataFrame) -> DataFrame:
             .agg(F.min("new").alias("new")),
             "simhash-hooks",
         )
-        for _ in range(2):
+        while True:  # until every pointer is at its root
             upper = hooks.select(F.col("old").alias("new"), F.col("new").alias("upper"))
-            hooks = shared_table(
-                hooks.join(upper, "new", "left").select("old", F.coalesce("upper", "new").alias("new")), "simhash-jump"
+            jumped = hooks.join(upper, "new", "left").select(
+                "old", F.coalesce("upper", "new").alias("new"), F.col("upper").isNotNull().alias("moved")
             )
+            jumped = shared_table(jumped, "simhash-jump")
+            hooks = jumped.select("old", "new")
+            if jumped.where("moved").isEmpty():
+                break
         moved = hooks.select(F.col("old").alias("root"), "new")
         roots = shared_table(
             roots.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root")), "simhash-roots"

@@ -110,6 +110,33 @@ def test_dense_and_chained_prints(spark, seed):
     assert sorted(map(sorted, got.values())) == sorted(sorted(m) for m in members.values() if len(m) > 1)
 
 
+@pytest.mark.parametrize("order", ["ascending", "random", "star"])
+def test_long_chains_take_few_rounds(spark, monkeypatch, order):
+    names = list(range(5000))
+    if order == "random":
+        random.Random(8).shuffle(names)
+    edges = [(4999, i) for i in range(4999)] if order == "star" else list(zip(names, names[1:]))
+    rounds, write = [], simhash.shared_table
+
+    def counted(df, name):
+        rounds.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "shared_table", counted)
+    got = simhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert {r.node for r in got} == set(names) and {r.root for r in got} == {0}
+    assert rounds.count("simhash-hooks") <= 15 and rounds.count("simhash-jump") <= 60
+
+
+def test_a_line_without_blanks_takes_no_time(make_docs):
+    import time
+
+    docs = make_docs(["x" * 3_000_000, "x" * 2_000_000 + " y" * 500_000, " \t".join("z" * 400_000)])
+    start = time.time()
+    assert line_dedup.line_dedup(docs).count() == 3
+    assert time.time() - start < 60
+
+
 def test_grid_distance_is_a_lower_bound():
     rnd = np.random.default_rng(0)
     a, b = (rnd.integers(-(2**63), 2**63 - 1, 500) for _ in range(2))

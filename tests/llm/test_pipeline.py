@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from codecairn.llm import line_dedup, pii, quality_rules
 
-from test_near_and_lines import brute_components, brute_fingerprint, brute_lines
+from test_near_and_lines import brute_lines
+from test_near_text import brute
 from test_tokens import check_packing, library
 
 SF = "/root/testdata/sf0.01"
@@ -16,12 +17,8 @@ def test_run(spark):
     trusted = quality_rules.trusted_documents(spark.read.parquet(f"{SF}/labels.parquet"))
     kept = [r.row for r in quality_rules.quality_rules(docs, trusted).where("kept").collect()]
     lines = brute_lines([(r.doc_id, r.text, r.source) for r in kept], line_dedup.MIN_SITES)
-    prints = {i: brute_fingerprint(t or "") for i, t, _ in lines}
-    roots, seen, texts = brute_components(set(prints.values())), set(), {}
-    for i, t, _ in sorted(lines):
-        if roots[prints[i]] not in seen:
-            seen.add(roots[prints[i]])
-            texts[i] = pii.mask(t or "", pii.all_spans(t or "")[1])
+    first = {c for _, c in brute([(i, t or "") for i, t, _ in lines])}
+    texts = {i: pii.mask(t or "", pii.all_spans(t or "")[1]) for i, t, _ in lines if i in first}
     ids = {i: [*e.ids, 2] for i, e in zip(texts, library("byte_bpe_50k.json").encode_batch(list(texts.values()), add_special_tokens=False))}
     check_packing(corpus_pipeline.run(spark, SF).collect(), ids, 1024)
     assert 0.6 * docs.count() < len(texts) < docs.count()
