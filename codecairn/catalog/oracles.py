@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from codecairn.catalog.queries import (
     ARCHITECTURE_TEXT,
+    COMMON_FILE,
     EMBEDDING,
     FAIL_EVERY,
+    LOOKED_UP,
     MERGE_BUCKETS,
     PROJECT,
     QUERY_TEXT,
@@ -657,6 +659,8 @@ SELECT path, CAST(piece AS INT) AS piece, CAST(n AS INT) AS n_pieces,
   AS block FROM cut"""
     for name, body in code.items():
         sql[name] = f"WITH {_PARTS}\n{body}"
+    sql["stored_search"] = f"""SELECT document, doc_type, title, heading, content, score
+FROM ({sql['flagship_search']})"""
     # the marks are lines that only one version has, and all other lines are common
     sql["source_changes"] = """WITH sized AS (
   SELECT doc_id, len(string_split(text, chr(10))) AS n, doc_id % 50 AS r FROM documents)
@@ -695,6 +699,11 @@ JOIN (SELECT path, fn_ord, count(*) AS n FROM order_calls GROUP BY ALL) made USI
 LEFT JOIN (SELECT path, name AS qualified_name, count(*) AS n FROM order_calls WHERE {edges} GROUP BY ALL) got
   USING (path, qualified_name)""",
         "order_elements": _ORDER_ELEMENTS,
+        "stored_symbols": f"""SELECT qualified_name AS symbol, kind, name, resolved FROM (
+  SELECT f.qualified_name, 'caller' AS kind, c.caller AS name, NULL AS resolved FROM order_fns f
+  JOIN order_calls c ON c.path = f.path AND c.name = f.qualified_name AND c.{edges} WHERE f.path = '{COMMON_FILE}' AND f.fn_ord < {LOOKED_UP}
+  UNION ALL SELECT f.qualified_name, 'call', c.name, c.resolved FROM order_fns f
+  JOIN order_calls c ON c.path = f.path AND c.fn_ord = f.fn_ord WHERE f.path = '{COMMON_FILE}' AND f.fn_ord < {LOOKED_UP})""",
     }
     for name, body in ordered.items():
         sql[name] = f"WITH {_ORDERS}\n{body}"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codecairn.catalog import tables as t
-from codecairn.config import DEFAULT_EXCLUDE, EmbeddingConfig
+from codecairn.config import DEFAULT_EXCLUDE, Config, EmbeddingConfig
 from codecairn.functions import text as tx
 from codecairn.functions.packing import pack_paragraphs
 from codecairn.functions.vectors import l2_norm
@@ -17,6 +17,8 @@ from codecairn.operators.wiring import Wiring, wire
 from codecairn.operators.changes import file_changes
 from codecairn.operators.ranking import rank_within
 from codecairn.plans.answers import Answers
+from codecairn.plans.service import search_index, symbol_links
+from codecairn.plans.store import Store
 from codecairn.plans.versions import BucketedTable, bucket_of
 from codecairn.session import attach, shared_folder, spread
 from codecairn.sources.embedders import embed_column, embed_query
@@ -30,6 +32,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERY_VECTOR = [((i * 37) % 64 - 31.5) / 64 for i in range(64)]
 QUERY_TEXT = "the thing and the other one"
 TOP_K = 10
+COMMON_FILE, LOOKED_UP = "pkg/common.py", 5
 FAIL_EVERY = 20
 MERGE_BUCKETS = 64
 EMBEDDING = EmbeddingConfig(dimensions=64)
@@ -580,6 +583,34 @@ def markdown_round_trip(spark, sf_dir):
     return read.select("doc_type", "path", F.length("text").cast("long").alias("n_chars"), tx.content_hash(F.col("text")).alias("hash"))
 
 
+def _store(spark) -> Store:
+    """A store of its own for a query, in the shared folder."""
+    return Store(spark, Config(tables=shared_folder(spark), embedding=EMBEDDING, code_embedding=EMBEDDING))
+
+
+@query
+def stored_search(spark, sf_dir):
+    """The flagship search over a written index, texts fetched by key."""
+    store = _store(spark)
+    vectors = _document_chunks(spark, sf_dir).withColumn("embedding", embed_column(F.col("embed_text"), EMBEDDING))
+    store.write("docs_chunks", vectors.drop("embed_text"), by="doc_type")
+    return search.shown(search_index(store, QUERY_TEXT, TOP_K, "docs"))
+
+
+@query
+def stored_symbols(spark, sf_dir):
+    """Callers and calls of the first functions of the common file, looked up in stored tables."""
+    store, wired = _store(spark), _order_wiring(spark, sf_dir)
+    store.write("functions", wired.functions)
+    store.write("calls", wired.calls)
+    names = store.lookup("functions", COMMON_FILE).where(F.col("fn_ord") < LOOKED_UP).select("qualified_name").collect()
+    rows = []
+    for r in names:
+        for kind, links in zip(("caller", "call"), symbol_links(store, COMMON_FILE, r.qualified_name)):
+            rows += [(r.qualified_name, kind, x.get("function", x.get("name")), x.get("resolved")) for x in links]
+    return spark.createDataFrame(rows, "symbol string, kind string, name string, resolved string")
+
+
 @query
 def source_changes(spark, sf_dir):
     """Lines that came to and went from documents, each between two versions of its text.

@@ -61,6 +61,18 @@ def search_index(store: Store, query: str, k: int = 10, source: str = "all") ->
     )
 
 
+def symbol_links(store: Store, file_path: str, symbol: str) -> tuple[list[dict], list[dict]]:
+    """Callers and calls of a symbol; of each table one bucket is read.
+
+    Both spellings name the same symbol: the graph writes A.b, descriptions A > b.
+    """
+    name = ".".join(symbol.split(" > ")[-2:])
+    functions, calls = store.lookup("functions", file_path), store.lookup("calls", file_path)
+    callers = graph.callers_of(graph.caller_edges(calls), file_path, name).collect()
+    callees = graph.callees_of(functions, calls, file_path, name).collect()
+    return [r.asDict() for r in callers], [r.asDict() for r in callees]
+
+
 class Service:
     """Session over one opened project at a time."""
 
@@ -98,19 +110,14 @@ class Service:
         out: dict = {"file": file_path, "description": self._description(store, file_path, symbol)}
         if not store.exists("calls"):
             return out
-        functions, calls = store.read("functions"), store.read("calls")
         if symbol:
-            # both spellings name the same symbol: the graph writes A.b, descriptions A > b
-            name = ".".join(symbol.split(" > ")[-2:])
-            callers = graph.callers_of(graph.caller_edges(calls), file_path, name).collect()
-            callees = graph.callees_of(functions, calls, file_path, name).collect()
+            callers, callees = symbol_links(store, file_path, symbol)
             if callers:
-                out["callers"] = [r.asDict() for r in callers]
+                out["callers"] = callers
             if callees:
-                out["calls"] = [r.asDict() for r in callees]
+                out["calls"] = callees
             return out
-        here = F.col("path") == file_path
-        stats = graph.function_stats_from_tables(functions.where(here), calls.where(here))
+        stats = graph.function_stats_from_tables(store.lookup("functions", file_path), store.lookup("calls", file_path))
         rows = stats.orderBy("fn_ord").select(
             F.col("qualified_name").alias("name"), "calls_count", "callers_count"
         )

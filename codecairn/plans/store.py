@@ -26,12 +26,14 @@ SCHEMAS = {
 }
 
 
-# Tables that grow by merges: what a merge replaces, and what tells rows of it apart.
+# Tables in buckets: the key of a merge or a look-up, and what tells its rows apart.
 KEYS = {
     "articles": (("name",), ()),
     "article_sources": (("name",), ("path",)),
     "file_descriptions": (("path",), ()),
     "sources": (("path",), ()),
+    "functions": (("path",), ()),
+    "calls": (("path",), ()),
     "symbol_descriptions": (("path",), ()),
 }
 
@@ -60,7 +62,7 @@ class Store:
         """The table; one that was never written is empty, or an error without a schema."""
         if name in KEYS and self.bucketed(name).exists():
             return self.bucketed(name).read()
-        if name in KEYS or not self.exists(name):
+        if not self.exists(name):
             schema = SCHEMAS.get(name)
             if schema is None:
                 raise FileNotFoundError(f"table {name} was not built yet")
@@ -73,13 +75,16 @@ class Store:
         return table.lookup(value) if table.exists() else self.read(name)
 
     def write(self, name: str, df: DataFrame, by: str | None = None, rank: tuple[str, ...] = ()) -> None:
-        """Replace the table.
+        """Replace the table, in buckets if it is one of ``KEYS``.
 
         With ``rank`` rows are range-partitioned in that order, so that a
         filter on its first column skips most row groups; used for narrow
         rows.  With ``by`` the table is partitioned by that column and sorted
         inside each task, without a shuffle.
         """
+        if name in KEYS:
+            self.bucketed(name).replace(df)
+            return
         if rank:
             df = df.repartitionByRange(*rank).sortWithinPartitions(*rank)
         elif by:

@@ -80,8 +80,8 @@ class Build:
         facts = self.store.read("source_facts")
         wired = wire(facts)
         self.store.write("graph_imports", graph.graph_imports(facts))
-        self.store.write("functions", wired.functions, rank=("path", "fn_ord"))
-        self.store.write("calls", wired.calls, rank=("path", "fn_ord", "call_ord"))
+        self.store.write("functions", wired.functions)
+        self.store.write("calls", wired.calls)
         edges = graph.edge_count(self.store.read("calls")).first()
         self.report["graph"] = edges.asDict()
 

@@ -75,11 +75,11 @@ def test_prompts_hold_what_they_should(spark, built):
 
 def test_second_build_generates_nothing(spark, built):
     config, _ = built
-    before = Store(spark, config).read("responses").count()
+    before = Store(spark, config).read("attempts").count()
     report = Build(spark, config).update()
     assert report["synthesize"]["generated"] == 0
     assert (report["describe"]["generated"], report["describe"]["cached"]) == (0, 5)
-    assert Store(spark, config).read("responses").count() == before
+    assert Store(spark, config).read("attempts").count() == before
 
 
 def test_service(spark, built):

@@ -106,3 +106,22 @@ def test_empty_merges(spark, tmp_path):
     table.merge(frame(spark, [("a", 0, "x")]))
     table.merge(frame(spark, []))
     assert rows(table.read()) == [("a", 0, "x")]
+
+
+def test_symbol_look_ups_read_one_bucket(spark, tmp_path, monkeypatch):
+    from codecairn.config import Config
+    from codecairn.plans import versions
+    from codecairn.plans.service import symbol_links
+    from codecairn.plans.store import Store
+
+    monkeypatch.setattr(versions.BucketedTable.__init__, "__defaults__", ((), 10))
+    store = Store(spark, Config(tables=f"file://{tmp_path}"))
+    fns = [(f"f{i % 40}.py", i // 40, f"fn{i // 40}") for i in range(200)]
+    store.write("functions", spark.createDataFrame(fns, "path string, fn_ord int, qualified_name string"))
+    calls = [(p, o, n, 0, "fn0", "local", True) for p, o, n in fns]
+    store.write("calls", spark.createDataFrame(calls, "path string, fn_ord int, caller string, call_ord int, name string, resolved string, wired boolean"))
+    assert store.bucketed("calls").manifest()["buckets"] == 20
+    callers, callees = symbol_links(store, "f7.py", "fn0")
+    assert callers == [{"file": "f7.py", "function": f"fn{i}"} for i in range(5)]
+    assert callees == [{"name": "fn0", "resolved": "local"}]
+    assert len({f.split("bucket=")[1].split("/")[0] for f in store.lookup("calls", "f7.py").inputFiles()}) == 1
