@@ -45,7 +45,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,
-        "op11_lm_scores": lm_scoring.op11_lm_scores,
-        "op12_spelling_variants": spelling.op12_spelling_variants,
         "op13_ranked_search": lexical_search.ORACLE,
     }
