@@ -7,8 +7,9 @@ of ``log(trusted / corpus)`` over its n-grams, divided by their number plus a
 small prior.  It is
 kept when the base rule holds and the score is at least ``THRESHOLD``: the same
 verdict for the same text and corpus, no sampling.  DataFrame functions only.
-All trusted documents count; they are found by a semi join on their ids, the
-only step that may shuffle text.
+All trusted documents count; they are found by a semi join on their ids, before
+which a Bloom filter of those ids is tested while the texts are scanned: only
+labelled texts, and few others, are shuffled.
 
 Defined results: a null text has no words; a text without words scores 0 and
 fails the base rule; an empty corpus, or one without trusted documents, gives
@@ -33,6 +34,11 @@ THRESHOLD = -0.125
 #: Neutral n-grams added to every text, so that a few rare words in a short text decide nothing.
 LENGTH_PRIOR = 20
 WINDOW = 5
+#: Trusted ids to a word of 64 filter bits.
+IDS_PER_BLOCK = 6
+#: The filter is broadcast and has at most so many words (64 MB); with more ids than they
+#: can tell apart, more texts than needed are shuffled.
+MOST_BLOCKS = 1 << 22
 
 
 def words_of(text: Column) -> Column:
@@ -49,10 +55,35 @@ def _ngrams(words: str) -> Column:
     return F.concat(one, two)
 
 
+def _place(id_: Column, blocks: int) -> tuple[Column, Column]:
+    """Block of an id in the filter, and its three bits there."""
+    h = F.xxhash64(id_.cast("string"))
+    one = F.lit(1).cast("long")
+    bits = [
+        F.call_function("shiftleft", one, F.shiftrightunsigned(h, step).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+        for step in (0, 6, 12)
+    ]
+    return F.pmod(F.shiftrightunsigned(h, 18), F.lit(blocks).cast("long")), bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
+
+
+def trusted_rows(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` of the trusted documents."""
+    same = docs.schema["doc_id"].dataType
+    ids = trusted.select(F.col("doc_id").cast(same).alias("trusted_id")).where("trusted_id is not null")
+    blocks = min(MOST_BLOCKS, max(1, -(-ids.count() // IDS_PER_BLOCK)))
+    block, bits = _place(F.col("trusted_id"), blocks)
+    words = ids.select(block.alias("block"), bits.alias("bits")).groupBy("block").agg(F.bit_or("bits").alias("bits"))
+    block, bits = _place(F.col("doc_id"), blocks)
+    maybe = docs.select("doc_id", "text").join(
+        F.broadcast(words), (F.col("block") == block) & (F.col("bits").bitwiseAND(bits) == bits), "left_semi"
+    )
+    # merge: the same plan at every size
+    return maybe.join(ids.distinct().hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left_semi")
+
+
 def bucket_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """One row: ``weights``, the log ratio by bucket."""
-    ids = trusted.select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct()
-    labelled = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("trusted_id"), "left_semi")
+    labelled = trusted_rows(docs, trusted)
 
     def counted(rows: DataFrame, name: str) -> DataFrame:
         buckets = rows.select(words_of(F.col("text")).alias("words")).select(F.explode(_ngrams("words")).alias("bucket"))

@@ -156,3 +156,11 @@ def test_every_trusted_document_counts(spark):
     # 8,572 texts with the word, all of them trusted; the raw counts are scaled by 60,000 / 60,100
     n = 8572
     assert weights[at["w0"]] == pytest.approx(math.log((n + qr.SMOOTHING) / (n * 60_000 / 60_100 + qr.SMOOTHING)), abs=1e-9)
+
+
+def test_trusted_rows_are_those_of_the_ids(spark, documents):
+    ids = [r.doc_id for r in documents.select("doc_id").collect()]
+    for given in (ids[::3], ids[:1], [], [None, ids[0], ids[0], -5]):
+        trusted = spark.createDataFrame([(i,) for i in given], "doc_id long")
+        got = [r.doc_id for r in qr.trusted_rows(documents, trusted).collect()]
+        assert sorted(got) == sorted(i for i in ids if i in set(given))
