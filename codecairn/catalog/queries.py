@@ -20,7 +20,7 @@ from codecairn.plans.answers import Answers
 from codecairn.plans.service import search_index, symbol_links
 from codecairn.plans.store import Store
 from codecairn.plans.versions import BucketedTable, bucket_of
-from codecairn.session import attach, shared_folder, spread
+from codecairn.session import attach, keyed, shared_folder, spread
 from codecairn.sources.embedders import embed_column, embed_query
 from codecairn.sources.export import write_texts
 from codecairn.sources.generators import TemplateGenerator
@@ -557,7 +557,7 @@ def file_list(spark, sf_dir):
     """Part files and pages as described files, with call-graph totals where known."""
     stats = graph.file_stats(_wired(spark, sf_dir).stats())
     described = t.part_files(spark, sf_dir).select("path").unionByName(t.page_paths(spark, sf_dir).select("path"))
-    return described.join(stats, "path", "left").select(
+    return described.join(keyed(stats), "path", "left").select(
         "path",
         F.coalesce("functions", F.lit(0)).alias("functions"),
         F.coalesce("total_callers", F.lit(0)).alias("total_callers"),

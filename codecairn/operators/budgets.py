@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codecairn.functions.text import path_key
-from codecairn.session import materialize, shuffle_width
+from codecairn.session import keyed, materialize, shuffle_width
 
 # Characters of sibling files shown with a file, of source in
 # one module batch, of source in a single-pass synthesis.
@@ -162,8 +162,8 @@ def join_neighbor_sets(
     empty = empty_files.groupBy("dir").agg(F.count("*").alias("_empty"))
     itself = F.when(F.col("n_chars") == 0, 1).otherwise(0)
     return (
-        files.join(own, ["dir", "path"], "left")
-        .join(shared.join(empty, "dir", "full_outer"), "dir", "left")
+        files.join(keyed(own), ["dir", "path"], "left")
+        .join(keyed(shared.join(empty, "dir", "full_outer")), "dir", "left")
         .withColumn("neighbor_set", F.coalesce("_own", "_shared"))
         .withColumn("empty_neighbors", F.coalesce("_empty", F.lit(0)) - itself)
         .drop("_own", "_shared", "_empty")

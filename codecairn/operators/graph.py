@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from codecairn.functions.lookup import last_positions, running_starts
 from codecairn.functions.pyfacts import parse_column
+from codecairn.session import keyed
 
 # Names treated as builtins when called bare.
 BUILTINS = (
@@ -219,8 +220,8 @@ def function_stats_from_tables(fns: DataFrame, call_rows: DataFrame) -> DataFram
         .agg(F.count("*").alias("callers_count"))
     )
     return (
-        fns.join(made, ["path", "fn_ord"], "left")
-        .join(received, ["path", "qualified_name"], "left")
+        fns.join(keyed(made), ["path", "fn_ord"], "left")
+        .join(keyed(received), ["path", "qualified_name"], "left")
         .select(
             "path",
             "fn_ord",

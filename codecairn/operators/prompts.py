@@ -15,6 +15,7 @@ from codecairn.functions.text import path_key
 from codecairn.operators.budgets import join_neighbor_sets, neighbor_sets
 from codecairn.operators.graph import inner_edges
 from codecairn.operators.responses import element_bullet, max_tokens, skeleton_block
+from codecairn.session import keyed
 
 ANSWER_FORMAT = """
 ## Answer format
@@ -114,16 +115,16 @@ def neighbor_texts(files: DataFrame, work: DataFrame) -> DataFrame:
     lengths are compared by directory; source is fetched by path.
     """
     slim = files.select("dir", "path", "n_chars")
-    sets = neighbor_sets(slim.join(work.select("dir").distinct(), "dir", "left_semi"))
+    sets = neighbor_sets(slim.join(keyed(work.select("dir").distinct()), "dir", "left_semi"))
     wanted = work.select(F.col("path").alias("for_path"), F.lit(True).alias("_wanted"))
     members = (
-        sets.join(wanted, "for_path", "left")
+        sets.join(keyed(wanted), "for_path", "left")
         .where(F.col("for_path").isNull() | F.col("_wanted"))
         .select("dir", "for_path", F.posexplode_outer("neighbors").alias("pos", "path"))
     )
     blocks = files.select("path", file_block(F.col("path"), F.lit(""), F.col("source")).alias("block"))
     return (
-        members.join(blocks, "path", "left")
+        members.join(keyed(blocks), "path", "left")
         .groupBy("dir", "for_path")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "block"))).alias("blocks"))
         .select(

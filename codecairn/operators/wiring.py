@@ -24,7 +24,7 @@ from codecairn.operators.graph import (
     import_names,
     qualified,
 )
-from codecairn.session import materialize
+from codecairn.session import keyed, materialize
 
 
 @dataclass
@@ -63,8 +63,8 @@ class Wiring:
         calls = F.transform("calls", lambda c: F.struct(c["name"].alias("name"), c.resolved.alias("resolved")))
         none = F.array().cast("array<struct<name:string,resolved:string>>")
         return (
-            self.functions.join(made, ["path", "fn_ord"], "left")
-            .join(received, ["path", "qualified_name"], "left")
+            self.functions.join(keyed(made), ["path", "fn_ord"], "left")
+            .join(keyed(received), ["path", "qualified_name"], "left")
             .select(
                 "path",
                 "fn_ord",
@@ -150,7 +150,7 @@ def wire(parsed: DataFrame) -> Wiring:
     calls = facts.where(F.col("kind") == "call").select(
         "path", "fn_ord", F.col("module").alias("caller"), "call_ord", F.col("name").alias("raw"), "scope", "key"
     )
-    known = names.withColumnsRenamed({"path": "_path", "key": "_key"})
+    known = keyed(names.withColumnsRenamed({"path": "_path", "key": "_key"}))
     found = calls.where(F.col("key").isNotNull()).join(
         known, (F.col("path") == F.col("_path")) & (F.col("key") == F.col("_key")), "left"
     )
@@ -168,7 +168,7 @@ def wire(parsed: DataFrame) -> Wiring:
     resolved = found.unionAll(mine)
     inside = F.coalesce(F.col("resolved").isin("local", "self"), F.lit(False))
     # a call that leaves the file cannot name a function of it, and is not looked up
-    own = names.where("is_function").select(F.col("path").alias("_path"), F.col("key").alias("_key"))
+    own = keyed(names.where("is_function").select(F.col("path").alias("_path"), F.col("key").alias("_key")))
     near = resolved.where(inside).join(
         own, (F.col("path") == F.col("_path")) & (F.col("name") == F.col("_key")), "left"
     )

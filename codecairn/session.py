@@ -85,6 +85,16 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input and meets the other by key.
+
+    Rows made out of a scan or a checkpoint are counted by the planner with the
+    compressed bytes of the file they came from, a hundredth of their size, so
+    that a whole table would pass through the driver as a broadcast.
+    """
+    return df.hint("merge")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a small scan at least one partition per core before costly row work.
 
