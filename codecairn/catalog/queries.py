@@ -481,7 +481,7 @@ def file_callers(spark, sf_dir):
 
 
 def _order_wiring(spark, sf_dir) -> Wiring:
-    return wire(graph.parse_files(t.order_files(spark, sf_dir)))
+    return wire(graph.parse_long_files(t.order_files(spark, sf_dir), text=False))
 
 
 @query
@@ -508,7 +508,7 @@ def order_function_stats(spark, sf_dir):
 @query
 def order_elements(spark, sf_dir):
     """Elements of files of very different sizes; those that do not parse have none."""
-    return graph.elements(graph.parse_files(t.order_files(spark, sf_dir))).select(
+    return graph.elements(graph.parse_long_files(t.order_files(spark, sf_dir))).select(
         "path", "elem_ord", F.coalesce("parent_ord", F.lit(-1)).alias("parent_ord"), "depth", "kind", "name", "scope_path", "signature",
         F.array_join("decorators", "\n").alias("decorators"), "docstring", "line_start", "line_end",
     )

@@ -61,6 +61,8 @@ class K_%1$s(Base):
 }
 #: Of so many orders one lies in the common file.
 COMMON = 10
+#: The common file lies in sections of so many order keys.
+SECTION = 20_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -90,10 +92,10 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(path, content)``: a Python file per customer with a definition per order.
+    """``(path, section, content)``: a Python file per customer with a definition per order.
 
     Files have none to dozens of definitions, one common file has a tenth of
-    all.  Imports differ by nation, calls lead to neighbours in the file where
+    all and lies in sections.  Imports differ by nation, calls lead to neighbours in the file where
     those are functions, and files of customers in debt do not parse.
     """
     orders = read(spark, sf_dir, "orders").select(
@@ -106,6 +108,7 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(common, "pkg/common.py").otherwise(F.concat_ws("/", F.lit("pkg"), F.concat(F.lit("n"), "c_nationkey"), F.concat(F.lit("c"), "c_custkey", F.lit(".py")))).alias("path"),
         F.when(common, 0).otherwise(F.col("c_nationkey")).alias("nation"),
         (~common & (F.col("c_acctbal") < -900)).alias("broken"),
+        F.when(common, F.floor(F.col("o_orderkey") / SECTION)).alias("section"),
     )
     before = F.lag("o_orderkey").over(Window.partitionBy("path").orderBy("o_orderkey"))
     key, last = F.col("o_orderkey"), F.coalesce(before, "o_orderkey")
@@ -115,8 +118,9 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             for status, text in ORDER_CODE.items()
         )
     )
-    bodies = placed.withColumn("code", code).groupBy("path", "nation", "broken").agg(
-        F.array_sort(F.collect_list(F.struct("o_orderkey", "code"))).alias("parts")
+    coded = placed.select("path", "nation", "broken", "section", "o_orderkey", before.isNull().alias("first"), code.alias("code"))
+    bodies = coded.groupBy("path", "nation", "broken", "section").agg(
+        F.max("first").alias("first"), F.array_sort(F.collect_list(F.struct("o_orderkey", "code"))).alias("parts")
     )
     nation = F.col("nation").cast("string")
     head = F.concat(
@@ -124,9 +128,11 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("nation") % 2 == 0, F.lit("from .late import save\nfrom .star import *\n")).otherwise(F.lit("")), F.lit("\n"),
     )
     source = F.concat(
-        head, F.array_join(F.transform("parts", lambda p: p.code), ""), F.when(F.col("broken"), F.lit("def (\n")).otherwise(F.lit(""))
+        F.when(F.col("first"), head).otherwise(F.lit("")),
+        F.array_join(F.transform("parts", lambda p: p.code), ""),
+        F.when(F.col("broken"), F.lit("def (\n")).otherwise(F.lit("")),
     )
-    return spread(bodies.select("path", F.encode(source, "UTF-8").alias("content")))
+    return spread(bodies.select("path", "section", F.encode(source, "UTF-8").alias("content")))
 
 
 def document_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,12 @@ file's functions in its own row, for prompts and files written per source.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecairn.functions.lookup import last_positions, running_starts
-from codecairn.functions.pyfacts import parse_column
-from codecairn.session import keyed
+from codecairn.functions.pyfacts import COUNTS, PIECES, parse_column, parse_pieces
+from codecairn.session import keyed, materialize
 
 # Names treated as builtins when called bare.
 BUILTINS = (
@@ -38,6 +38,41 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.withColumn("facts", parse_column(F.col("content")))
 
 
+def parse_long_files(files: DataFrame, text: bool = True) -> DataFrame:
+    """``(path, content, facts, before)``: a row per piece of a file, with the piece as its content.
+
+    ``files`` has ``path, section, content``: a file lies in one row, ``section``
+    null, or in sections, in that order, of whole top-level statements.  A long
+    row is read in pieces as well.  ``before`` counts the lines, elements,
+    functions and bound names of the pieces before, which ``elements`` and
+    ``wire`` number theirs on from.  A file does not parse if a section of it
+    does not, and then has no rows.  Without ``text`` the content, which ``wire``
+    does not read, is left out.
+
+    Only pieces of files in several are counted, so the counts, one row per
+    section or ``PIECE`` bytes, are few beside the files and may be broadcast.
+    """
+    pieces = materialize(files.select("path", "section", "content").mapInArrow(parse_pieces(text), PIECES))
+    parts = pieces.where(F.col("counts").isNotNull()).select(
+        "path", "section", "piece", "counts", F.col("facts.error").isNotNull().alias("error")
+    )
+    whole = Window.partitionBy("path")
+    earlier = whole.orderBy("section", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.struct(*(F.coalesce(F.sum(f"counts.{c}").over(earlier), F.lit(0)).cast("int").alias(c) for c in COUNTS))
+    numbered = parts.select(
+        F.col("path").alias("_path"), F.col("section").alias("_section"), F.col("piece").alias("_piece"),
+        before.alias("before"), F.max("error").over(whole).alias("broken"),
+    )
+    same = (F.col("path") == F.col("_path")) & F.col("section").eqNullSafe(F.col("_section")) & (F.col("piece") == F.col("_piece"))
+    known = pieces.join(numbered, same, "left").where(~F.coalesce("broken", F.lit(False)))
+    return known.select("path", *(["content"] if text else []), "facts", "before")
+
+
+def before(parsed: DataFrame, count: str) -> Column:
+    """How many of ``COUNTS`` a file has before the piece of this row."""
+    return F.coalesce(F.col(f"before.{count}"), F.lit(0)) if "before" in parsed.columns else F.lit(0)
+
+
 def _slice_text(content: Column, start: Column, length: Column) -> Column:
     return F.substring(content, start + 1, length).cast("string")
 
@@ -50,10 +85,11 @@ def parse_errors(parsed: DataFrame) -> DataFrame:
 
 def elements(parsed: DataFrame) -> DataFrame:
     """Flattened structural elements, pre-order, with their source text."""
-    return parsed.select("path", "content", F.inline("facts.elements")).select(
+    lines, numbers = before(parsed, "lines").alias("_lines"), before(parsed, "elements").alias("_elements")
+    return parsed.select("path", "content", lines, numbers, F.inline("facts.elements")).select(
         "path",
-        "elem_ord",
-        "parent_ord",
+        (F.col("elem_ord") + F.col("_elements")).alias("elem_ord"),
+        (F.col("parent_ord") + F.col("_elements")).alias("parent_ord"),
         "depth",
         "kind",
         "name",
@@ -62,8 +98,8 @@ def elements(parsed: DataFrame) -> DataFrame:
         "decorators",
         "docstring",
         _slice_text(F.col("content"), F.col("start"), F.col("length")).alias("body"),
-        "line_start",
-        "line_end",
+        (F.col("line_start") + F.col("_lines")).alias("line_start"),
+        (F.col("line_end") + F.col("_lines")).alias("line_end"),
     )
 
 

@@ -19,6 +19,7 @@ from codecairn.operators.graph import (
     BUILTINS,
     DEFINITION_KINDS,
     FUNCTION_KINDS,
+    before,
     caller_edges,
     function_stats_from_tables,
     import_names,
@@ -88,12 +89,15 @@ def cut(parsed: DataFrame) -> DataFrame:
     ``key`` its first part (null below ``self``), ``module`` the caller; calls of
     a function are distinct, in order, builtins dropped.  ``binding``: ``key``
     and its ``module``, in order of ``fn_ord``.  ``definition``: ``key``.
+    Functions and bindings are numbered through all pieces of a file.
     """
     own = F.filter("facts.elements", lambda e: e.kind.isin(*FUNCTION_KINDS))
     defined = F.filter("facts.elements", lambda e: e.kind.isin(*DEFINITION_KINDS))
 
+    first, first_bound = before(parsed, "functions"), before(parsed, "bindings")
+
     def function(e: Column, i: Column) -> Column:
-        return _row("function", fn_ord=i, name=e["name"], scope=e.class_name, key=qualified(e.class_name, e["name"]))
+        return _row("function", fn_ord=first + i, name=e["name"], scope=e.class_name, key=qualified(e.class_name, e["name"]))
 
     def called(e: Column, i: Column) -> Column:
         kept = F.filter(F.array_distinct(e.raw_calls), lambda raw: ~raw.isin(*BUILTINS))
@@ -101,7 +105,7 @@ def cut(parsed: DataFrame) -> DataFrame:
             kept,
             lambda raw, j: _row(
                 "call",
-                fn_ord=i,
+                fn_ord=first + i,
                 call_ord=j,
                 name=raw,
                 scope=e.class_name,
@@ -113,7 +117,7 @@ def cut(parsed: DataFrame) -> DataFrame:
     rows = F.concat(
         F.transform(own, function),
         F.flatten(F.transform(own, called)),
-        F.transform(import_names(F.col("facts.graph_imports")), lambda b, i: _row("binding", fn_ord=i, key=b["name"], module=b.module)),
+        F.transform(import_names(F.col("facts.graph_imports")), lambda b, i: _row("binding", fn_ord=first_bound + i, key=b["name"], module=b.module)),
         F.transform(defined, lambda e: _row("definition", key=e["name"])),
     )
     return parsed.select("path", F.inline(rows))
@@ -135,7 +139,7 @@ def _names(facts: DataFrame) -> DataFrame:
 
 
 def wire(parsed: DataFrame) -> Wiring:
-    """Functions and resolved calls of parsed files, one row of ``parsed`` per path.
+    """Functions and resolved calls of parsed files, a row of ``parsed`` per file or piece of one.
 
     A call is resolved, first match wins: ``self.x`` to the enclosing class; a
     dotted name to the import of its first part or to nothing; a bare name to a

@@ -5,6 +5,9 @@ from pathlib import Path
 import pytest
 
 from codecairn.catalog.queries import registered
+from codecairn.functions.pyfacts import file_facts, piece_facts
+from codecairn.operators import graph
+from codecairn.operators.wiring import wire
 
 DATA = "/root/testdata/sf0.001"
 
@@ -19,3 +22,41 @@ def test_no_table_of_calls_or_texts_is_broadcast(spark, name):
     plan = registered()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
     assert "Broadcast" not in plan
+
+
+HEAD = "import os.path\nfrom .m import load, save as store\n\n"
+DEFS = [
+    f'@register("""\nclass {i}""")\nclass K{i}(Base):\n    def run(self):\n        return self.step(f{i - 1}(1)) + load(K{i})\n\n    def step(self): return step()\n'
+    f"if x:\n    pass\nelse:\n    y = '''\ndef no(): pass\n'''\ndef f{i}(a):\n    return f{i // 2}(a) + os.path.join(a)\nL{i} = {i}\n"
+    for i in range(40)
+]
+
+
+def _rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_sections_and_pieces_of_a_file_are_the_file(spark):
+    whole = HEAD + "".join(DEFS)
+    cuts = [HEAD + "".join(DEFS[:15]), "".join(DEFS[15:22]), "from .n import store, load\n" + "".join(DEFS[22:])]
+    parsed = graph.parse_files(
+        spark.createDataFrame([("a.py", bytearray("".join(cuts).encode())), ("b.py", bytearray(whole.encode())), ("c.py", bytearray(b"def ("))], "path string, content binary")
+    )
+    sections = [("a.py", i, bytearray(c.encode())) for i, c in enumerate(cuts)] + [
+        ("b.py", None, bytearray(whole.encode())), ("c.py", None, bytearray(b"def (")),
+        ("d.py", 0, bytearray(b"def f(): g()\n")), ("d.py", 1, bytearray(b"def (\n")),
+    ]
+    long = graph.parse_long_files(spark.createDataFrame(sections, "path string, section bigint, content binary"))
+    assert _rows(graph.elements(long)) == _rows(graph.elements(parsed))
+    want, got = wire(parsed), wire(long)
+    assert _rows(got.calls) == _rows(want.calls)
+    assert _rows(got.functions) == _rows(want.functions)
+
+
+def test_a_long_file_is_read_in_pieces_of_whole_statements():
+    whole = (HEAD + "".join(DEFS)).encode()
+    pieces = list(piece_facts(whole, 500))
+    assert len(pieces) > 10 and max(len(p) for p, _ in pieces) < len(whole) / 4
+    assert b"".join(p for p, _ in pieces) == whole
+    assert [e["scope_path"] for _, f in pieces for e in f["elements"]] == [e["scope_path"] for e in file_facts(whole)["elements"]]
+    assert [f["error"] for _, f in piece_facts(whole + b"def (\n", 500)] == ["SyntaxError"]
