@@ -34,13 +34,14 @@ def embed_text(title: Column, heading: Column, content: Column) -> Column:
     return F.concat_ws("\n", F.nullif(title, F.lit("")), F.nullif(heading, F.lit("")), content)
 
 
-def with_sections(docs: DataFrame) -> DataFrame:
-    """Add title, body and the heading sections of each document.
+def with_sections(docs: DataFrame, packed: bool = False) -> DataFrame:
+    """Add title, body and the heading sections of each document; ``_packs`` of long ones if ``packed``.
 
     ``lead`` is the text before the first heading.  ``sections`` holds, per
     heading, its breadcrumb, start, content start, section end and the start of
     its stripped content (0-based offsets in ``body``), and that content.
-    Everything stays inside the row: no text is shuffled.
+    Everything stays inside the row: no text is shuffled.  What Python makes of a
+    row needs nothing else that Python made of it, so one worker a task does all.
     """
     raw = frontmatter_raw(F.col("text"))
     split = (
@@ -51,6 +52,10 @@ def with_sections(docs: DataFrame) -> DataFrame:
         .withColumn("_rest", F.split("body", HEADING, -1))
         .withColumn("lead", F.get("_rest", F.lit(0)))
     )
+
+    def under(whole: Column, newline: Column) -> Column:
+        return F.when(newline > 0, F.substring(whole, newline + 1, F.length(whole))).otherwise("")
+
     facts = F.transform(
         F.arrays_zip(
             F.col("_heads").alias("head"),
@@ -65,20 +70,22 @@ def with_sections(docs: DataFrame) -> DataFrame:
                     strip(F.ltrim(z["head"], F.lit("#"))).alias("label"),
                     F.length(whole).alias("width"),
                     F.when(newline > 0, newline).otherwise(F.length(whole) + 1).alias("skip"),
-                    F.when(newline > 0, F.substring(whole, newline + 1, F.length(whole)))
-                    .otherwise("")
-                    .alias("under"),
+                    (F.length(under(whole, newline)) - F.length(F.ltrim(under(whole, newline), F.lit(WHITESPACE)))).alias("indent"),
+                    strip(under(whole, newline)).alias("content"),
                 ),
             ),
         ),
     )
+    made = {
+        "_paths": breadcrumbs(F.transform("_facts", lambda f: f.level), F.transform("_facts", lambda f: f.label)),
+        "_starts": section_starts(F.length("lead"), F.transform("_facts", lambda f: f.width)),
+    }
+    if packed:
+        long = F.transform("_facts", lambda f: F.when(F.length(f.content) > CHUNK_MAX, f.content))
+        made["_packs"] = pack_each(long, CHUNK_TARGET)
     return (
         split.withColumn("_facts", facts)
-        .withColumn(
-            "_paths",
-            breadcrumbs(F.transform("_facts", lambda f: f.level), F.transform("_facts", lambda f: f.label)),
-        )
-        .withColumn("_starts", section_starts(F.length("lead"), F.transform("_facts", lambda f: f.width)))
+        .withColumns(made)
         .withColumn(
             "sections",
             F.transform(
@@ -91,11 +98,8 @@ def with_sections(docs: DataFrame) -> DataFrame:
                     z["s"].alias("pos"),
                     (z["s"] + z["f"].skip).alias("content_start"),
                     (z["s"] + z["f"].width).alias("section_end"),
-                    (
-                        z["s"] + z["f"].skip + F.length(z["f"].under)
-                        - F.length(F.ltrim(z["f"].under, F.lit(WHITESPACE)))
-                    ).alias("text_start"),
-                    strip(z["f"].under).alias("content"),
+                    (z["s"] + z["f"].skip + z["f"].indent).alias("text_start"),
+                    z["f"].content.alias("content"),
                 ),
             ),
         )
@@ -191,13 +195,7 @@ def chunk_markdown(docs: DataFrame) -> DataFrame:
         )
     )
     return (
-        with_sections(docs)
-        .withColumn(
-            "_packs",
-            pack_each(
-                F.transform("sections", lambda s: F.when(F.length(s.content) > CHUNK_MAX, s.content)), CHUNK_TARGET
-            ),
-        )
+        with_sections(docs, packed=True)
         .select("doc_type", "path", "title", F.posexplode(pieces).alias("chunk_ord", "c"))
         .select(
             "doc_type",

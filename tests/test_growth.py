@@ -60,3 +60,11 @@ def test_a_long_file_is_read_in_pieces_of_whole_statements():
     assert b"".join(p for p, _ in pieces) == whole
     assert [e["scope_path"] for _, f in pieces for e in f["elements"]] == [e["scope_path"] for e in file_facts(whole)["elements"]]
     assert [f["error"] for _, f in piece_facts(whole + b"def (\n", 500)] == ["SyntaxError"]
+
+
+@pytest.mark.skipif(not Path(DATA).is_dir(), reason="test data not present")
+@pytest.mark.parametrize(("name", "steps"), [("index_stats", 2), ("flagship_search", 3)])
+def test_chunking_takes_one_python_worker_a_task(spark, name, steps):
+    """``index_stats`` chunks two tables; ``flagship_search`` chunks one, embeds the chunks and scores them."""
+    plan = registered()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == steps
