@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codecairn.functions.text import content_hash
-from codecairn.session import spread
+from codecairn.session import keyed, shuffle_width, spread
 
 # One small Python file per part; positions: key, size, name, lower-case type.
 PART_FILE = '''import os.path
@@ -103,14 +103,20 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     customers = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     common = F.col("o_orderkey") % COMMON == 0
-    placed = orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).select(
+    placed = orders.join(keyed(customers), orders["o_custkey"] == customers["c_custkey"]).select(
         "o_orderkey", "o_orderstatus", "o_orderpriority", "year",
         F.when(common, "pkg/common.py").otherwise(F.concat_ws("/", F.lit("pkg"), F.concat(F.lit("n"), "c_nationkey"), F.concat(F.lit("c"), "c_custkey", F.lit(".py")))).alias("path"),
         F.when(common, 0).otherwise(F.col("c_nationkey")).alias("nation"),
         (~common & (F.col("c_acctbal") < -900)).alias("broken"),
         F.when(common, F.floor(F.col("o_orderkey") / SECTION)).alias("section"),
     )
-    before = F.lag("o_orderkey").over(Window.partitionBy("path").orderBy("o_orderkey"))
+    # a section is dealt out by itself, so that no task has the common file whole
+    dealt = placed.repartition(max(shuffle_width(spark), spark.sparkContext.defaultParallelism), "path", "section")
+    inside = F.lag("o_orderkey").over(Window.partitionBy("path", "section").orderBy("o_orderkey"))
+    ends = placed.where(F.col("section").isNotNull()).groupBy("path", "section").agg(F.max("o_orderkey").alias("end"))
+    earlier = F.lag("end").over(Window.partitionBy("path").orderBy("section"))
+    linked = dealt.withColumn("inside", inside).join(keyed(ends.select("path", "section", earlier.alias("earlier"))), ["path", "section"], "left")
+    before = F.coalesce("inside", "earlier")
     key, last = F.col("o_orderkey"), F.coalesce(before, "o_orderkey")
     code = F.coalesce(
         *(
@@ -118,7 +124,7 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             for status, text in ORDER_CODE.items()
         )
     )
-    coded = placed.select("path", "nation", "broken", "section", "o_orderkey", before.isNull().alias("first"), code.alias("code"))
+    coded = linked.select("path", "nation", "broken", "section", "o_orderkey", before.isNull().alias("first"), code.alias("code"))
     bodies = coded.groupBy("path", "nation", "broken", "section").agg(
         F.max("first").alias("first"), F.array_sort(F.collect_list(F.struct("o_orderkey", "code"))).alias("parts")
     )
@@ -132,7 +138,7 @@ def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform("parts", lambda p: p.code), ""),
         F.when(F.col("broken"), F.lit("def (\n")).otherwise(F.lit("")),
     )
-    return spread(bodies.select("path", "section", F.encode(source, "UTF-8").alias("content")))
+    return bodies.select("path", "section", F.encode(source, "UTF-8").alias("content"))
 
 
 def document_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,13 @@
 """What must hold so that queries grow with their tables."""
 
+import re
+from datetime import date
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
+from codecairn.catalog import tables
 from codecairn.catalog.queries import registered
 from codecairn.functions.pyfacts import file_facts, piece_facts
 from codecairn.operators import graph
@@ -68,3 +72,19 @@ def test_chunking_takes_one_python_worker_a_task(spark, name, steps):
     """``index_stats`` chunks two tables; ``flagship_search`` chunks one, embeds the chunks and scores them."""
     plan = registered()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == steps
+
+
+def test_the_common_file_is_dealt_out_by_section(spark, tmp_path):
+    """No task has all of it, links cross its sections, and neither table passes through the driver."""
+    keys = range(0, 8 * tables.SECTION, 500)
+    orders = [(k, k % 7, "F", "1-URGENT", date(1995, 1, 1)) for k in keys]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate date").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(c, c, 0.0) for c in range(7)], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    files = tables.order_files(spark, str(tmp_path))
+    assert "Broadcast" not in files._jdf.queryExecution().executedPlan().toString()
+    placed = files.withColumn("task", F.spark_partition_id()).orderBy("section").collect()
+    assert [r.section for r in placed] == list(range(8))
+    assert len({r.task for r in placed}) > 1
+    text = b"".join(r.content for r in placed).decode()
+    assert text.count("import os.path") == 1
+    assert [int(n) for n in re.findall(r"return f_(\d+)", text)] == [max(k - 500, 0) for k in keys]
