@@ -110,11 +110,11 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     )
 
 
-def _window_hashes(words: str) -> Column:
-    """One hash per window of five words."""
+def _window_hashes(hashes: str) -> Column:
+    """One hash per window of five words, from the hashes of the words."""
     return F.transform(
-        F.slice(words, 1, F.greatest(F.size(words) - (WINDOW - 1), F.lit(0))),
-        lambda w, i: F.xxhash64(w, *(F.get(words, i + k) for k in range(1, WINDOW))),
+        F.slice(hashes, 1, F.greatest(F.size(hashes) - (WINDOW - 1), F.lit(0))),
+        lambda h, i: F.xxhash64(h, *(F.get(hashes, i + k) for k in range(1, WINDOW))),
     )
 
 
@@ -167,16 +167,21 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
         "row",
         "doc_id",
         words_of(text).alias("words"),
-        F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.size(F.split(text, r"[#*$%&|<>]")) - 1).cast("long").alias("n_symbols"),
         lines.alias("lines"),
         weights.alias("weights"),
     )
-    hashed = read.select(
+    worded = read.withColumns(
+        {
+            "word_chars": F.length(F.array_join("words", "")).cast("long"),
+            "hashes": F.transform("words", lambda w: F.xxhash64(w)),
+        }
+    )
+    hashed = worded.select(
         "row", "doc_id", "word_chars", "n_symbols",
         F.size("words").cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _window_hashes("words").alias("windows"),
+        _window_hashes("hashes").alias("windows"),
         F.aggregate(_ngrams("words"), F.lit(0.0), lambda acc, b: acc + F.get("weights", b)).alias("total"),
     )
     counted = hashed.select(

@@ -164,3 +164,14 @@ def test_trusted_rows_are_those_of_the_ids(spark, documents):
         trusted = spark.createDataFrame([(i,) for i in given], "doc_id long")
         got = [r.doc_id for r in qr.trusted_rows(documents, trusted).collect()]
         assert sorted(got) == sorted(i for i in ids if i in set(given))
+
+
+def test_characters_are_counted_without_a_look_up_each(spark):
+    """And windows are hashed from the hashes of their words, so that no word is read five times."""
+    texts = ["a#b *  c d\x0b|\r\n", "#*$%&|<>", " \t\n", "", "one two three four five " * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rules = qr.quality_rules(docs, docs.where("doc_id = 4").select("doc_id"))
+    plan = rules._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan and "hashes" in plan
+    got = {r.doc_id: (r.word_chars, r.n_symbols, r.n_repeat_words) for r in rules.collect()}
+    assert got == {0: (8, 3, 0), 1: (8, 8, 0), 2: (0, 0, 0), 3: (0, 0, 0), 4: (57, 0, 15)}
