@@ -130,9 +130,13 @@ class WordEncoder:
         self.cache: dict[str, bytes] = {}
         size = tokenizer(path).get_vocab_size(with_added_tokens=True)
         self.names = [i.to_bytes(width, "little") for i in range(size)]
+        tokens = [tokenizer(path).id_to_token(i) or "" for i in range(size)]
         # ids that end a word, in vocabularies that mark the end
-        ends = [(tokenizer(path).id_to_token(i) or "").endswith("</w>") for i in range(size)]
+        ends = [t.endswith("</w>") for t in tokens]
         self.ends = np.array(ends) if any(ends) and not space_led else None
+        # ids that begin with a space, in byte-level vocabularies
+        starts = [t.startswith("\u0120") for t in tokens]
+        self.starts = np.array(starts) if any(starts) and space_led else None
 
     def _learn(self, words: set[str]) -> None:
         """Encode new words; one that ends in a mark is its stem's ids and the mark's."""
@@ -150,10 +154,12 @@ class WordEncoder:
             cache[w] = cache[w[:-1]] + cache[w[-1]]
 
     def _learn_together(self, words: list[str]) -> list[str]:
-        """Encode words of letters only as one text, and cut it where words end.
+        """Encode words of letters only, or words with one space, as one text and cut it where they end.
 
         Returns the words that are left to be encoded one by one.
         """
+        if self.starts is not None:
+            return self._learn_space_led(words)
         letters = [w for w in words if w.isalpha()] if self.ends is not None else []
         if not letters:
             return words
@@ -167,6 +173,21 @@ class WordEncoder:
             self.cache[word] = raw[a:b]
         return [w for w in words if w not in self.cache]
 
+    def _learn_space_led(self, words: list[str]) -> list[str]:
+        """Words with a space in front and no other: joined they are cut as texts are, before each space."""
+        joined = [w for w in words if len(w) > 1 and w[0] == " " and w.count(" ") == 1 and not w[1].isspace() and not w[-1].isspace()]
+        if not joined:
+            return words
+        ids = np.array(tokenizer(self.path).encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids)
+        cuts = np.flatnonzero(self.starts[ids]) * self.width
+        if len(cuts) != len(joined) or cuts[0] != 0:
+            return words
+        raw = ids.astype(f"<u{self.width}").tobytes()
+        cuts = cuts.tolist()
+        for word, a, b in zip(joined, cuts, [*cuts[1:], len(raw)]):
+            self.cache[word] = raw[a:b]
+        return [w for w in words if w not in self.cache]
+
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), GROUP):
             cut = [self.words(text) for text in texts[at : at + GROUP]]

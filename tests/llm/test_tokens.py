@@ -202,3 +202,14 @@ def test_bin_completion_is_optimal_on_small_cases():
 def test_bin_completion_beats_best_fit():
     counts = {6: 10, 5: 10, 4: 10, 3: 20, 7: 10, 2: 5}  # 18 a bin
     assert sum(t for _, t in bin_completion(counts, 18)) == lower_bound(counts, 18)
+
+
+def test_words_with_a_space_in_front_are_encoded_together():
+    from codecairn.llm.common import WordEncoder, tokenizer, vocabulary
+
+    words = WordEncoder(vocabulary("byte_bpe_50k.json"), space_led=True)
+    new = [" the", " Zürich", " it%%%", " als.\nEnt", " 中文", ".", "first", " a\u00a0b"]
+    assert words._learn_together(new) == [".", "first"]
+    for w in new[:5] + new[7:]:
+        ids = tokenizer(words.path).encode(w, add_special_tokens=False).ids
+        assert words.cache[w] == b"".join(i.to_bytes(4, "little") for i in ids)
