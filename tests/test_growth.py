@@ -1,15 +1,17 @@
 """What must hold so that queries grow with their tables."""
 
 import re
+import sys
 from datetime import date
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from codecairn.catalog import tables
 from codecairn.catalog.queries import registered
-from codecairn.functions.pyfacts import file_facts, piece_facts
+from codecairn.functions.pyfacts import apart, file_facts, parse_pieces, piece_facts
 from codecairn.operators import graph
 from codecairn.operators.wiring import wire
 
@@ -88,3 +90,26 @@ def test_the_common_file_is_dealt_out_by_section(spark, tmp_path):
     text = b"".join(r.content for r in placed).decode()
     assert text.count("import os.path") == 1
     assert [int(n) for n in re.findall(r"return f_(\d+)", text)] == [max(k - 500, 0) for k in keys]
+
+
+def test_a_worker_does_not_keep_the_names_it_has_read():
+    """The parser keeps names until its process ends, so none is read in the worker itself."""
+    files = [(f"{k}.py", None, "".join(f"def f_{k}_{i}(a): return only_{k}_{i}(a)\n" for i in range(100)).encode()) for k in range(100)]
+    schema = pa.schema([("path", pa.string()), ("section", pa.int64()), ("content", pa.binary())])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*files), schema)], schema=schema)
+    before = sys.getunicodeinternedsize()
+    made = [r for _ in range(2) for b in parse_pieces(True)(iter([batch])) for r in b.to_pylist()]
+    assert sys.getunicodeinternedsize() < before + 1000
+    assert [r["path"] for r in made] == [f[0] for f in files] * 2
+    assert all([e["name"] for e in r["facts"]["elements"]] == [f"f_{r['path'][:-3]}_{i}" for i in range(100)] for r in made)
+
+
+def test_a_reader_that_dies_is_an_error():
+    schema = pa.schema([("n", pa.int64())])
+
+    def broken(n):
+        yield pa.RecordBatch.from_arrays([pa.array([n])], schema=schema)
+        raise SystemExit(3)
+
+    with pytest.raises(RuntimeError, match="exit code 3"):
+        list(apart(broken, 1, schema))
