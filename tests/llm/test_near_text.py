@@ -6,7 +6,7 @@ from collections import defaultdict
 import corpus_pipeline
 import pytest
 
-from codecairn.llm import near_text
+from codecairn.llm import near_text, simhash
 
 from test_near_and_lines import WORD
 
@@ -84,3 +84,31 @@ def test_stage_keeps_one_of_texts_that_differ_in_many_fingerprint_bits(spark, ma
     want = {c for _, c in brute([(r.doc_id, r.text) for r in docs.collect()])}
     assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()} == want
     assert len(want) < 60
+
+
+def test_fingerprint_links_are_compared_first(spark, make_docs, monkeypatch):
+    """The pairs connect exactly the texts within two fingerprint bits, and the stage takes them."""
+    words = " ".join(f"w{k}" for k in range(400))
+    texts = [f"{words} end{k}" for k in range(30)] + varied(6, 10, 3) + ["", "one", "two"]
+    given = spark.createDataFrame(list(enumerate(texts)), "node long, plain string")
+    prints = [simhash.fingerprint(t) for t in texts]
+    near = [[b for b, y in enumerate(prints) if (x ^ y).bit_count() <= 2] for x in prints]
+    pairs = [(r.a, r.b) for r in near_text.fingerprint_pairs(given).collect()]
+    assert len(pairs) > 10 and all(b in near[a] and a != b for a, b in pairs)
+
+    def reached(neighbours):
+        groups = []
+        for k in range(len(texts)):
+            seen, todo = {k}, [k]
+            while todo:
+                new = set(neighbours(todo.pop())) - seen
+                seen |= new
+                todo += new
+            groups.append(min(seen))
+        return groups
+
+    assert reached(lambda k: [b for a, b in pairs if a == k] + [a for a, b in pairs if b == k]) == reached(near.__getitem__)
+    taken, whole = [], near_text.fingerprint_pairs
+    monkeypatch.setattr(near_text, "fingerprint_pairs", lambda t: taken.append(t.count()) or whole(t))
+    check(make_docs(texts))
+    assert taken == [len(set(texts))]
