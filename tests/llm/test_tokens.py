@@ -213,3 +213,18 @@ def test_words_with_a_space_in_front_are_encoded_together():
     for w in new[:5] + new[7:]:
         ids = tokenizer(words.path).encode(w, add_special_tokens=False).ids
         assert words.cache[w] == b"".join(i.to_bytes(4, "little") for i in ids)
+
+
+@pytest.mark.parametrize(("name", "led"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_stems_marks_and_lines_are_kept_apart(name, led, monkeypatch):
+    """No new word is encoded for each stem with marks and, in byte-level vocabularies, for each pair at a line's end."""
+    from codecairn.llm import common
+
+    texts = [" the stem### Stem.\nEnt Ent%%% a\nb", "x$$$\n\ny the*** a\tz ", "", "\x00 a###\nB", "don't İ## ǰ## J̌## é!!  a## 5## a_b## <|endoftext|>##", " the\n"]
+    want = [le(e.ids) for e in library(name).encode_batch(texts, add_special_tokens=False)]
+    words = WordEncoder(P.path(name), led)
+    monkeypatch.setattr(common, "SLICE", 40, raising=False)
+    assert list(words.ids(texts)) == want
+    front = " " if led else ""
+    assert {front + "stem", "###", front + "the", "***"} <= set(words.cache)
+    assert not any("\nEnt" in w for w in words.cache)
