@@ -114,7 +114,7 @@ def tokenizer(path: str):
 
 
 #: Characters of the texts whose words are looked up together.
-SLICE = 4_000_000
+SLICE = 1_000_000
 #: Marks that are a pre-token of their own when they end a word after a letter.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 # White space and controls, a little more than any regular expression counts as white space.

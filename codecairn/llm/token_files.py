@@ -164,8 +164,12 @@ def _unpack(batch: pa.RecordBatch, dictionary: bytes, digest: str, id_bytes: int
             yield k, j, doc_id, np.frombuffer(code, dtype=f"<u{id_bytes}").astype("<u4")
 
 
-def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per document: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit)."""
+def read_token_files(spark: SparkSession, folder: str, checksums: bool = False) -> DataFrame:
+    """One row per document: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit).
+
+    With ``checksums`` their crc32, ``ids_crc32``, comes instead of the ids, computed
+    where they are unpacked: no ids leave the Python worker, and no second one is held.
+    """
     ship(spark)
     dictionary, digest, id_bytes = _read_dictionary(spark, folder)
     blocks = spark.read.schema(_BLOCKS).parquet(f"{folder}/blocks")
@@ -173,6 +177,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     sizes = blocks.groupBy("part").agg(F.max(F.col("start_in_part") + F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, n: a + n)).alias("n"))
     parts = sorted((r.part, r.n) for r in sizes.collect())
     bases = dict(zip((p for p, _ in parts), accumulate((n for _, n in parts), initial=0)))
+    last = "ids_crc32" if checksums else "ids"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,13 +186,13 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 start = bases[one.column("part")[0].as_py()] + one.column("start_in_part")[0].as_py()
                 rows = []
                 for _, _, doc_id, ids in _unpack(one, dictionary, digest, id_bytes):
-                    rows.append((doc_id, start, len(ids), ids.tobytes()))
+                    rows.append((doc_id, start, len(ids), zlib.crc32(ids) if checksums else ids.tobytes()))
                     start += len(ids)
                 columns = zip(*rows)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds)], names=["doc_id", "start", "n_tokens", "ids"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64() if checksums else pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds)], names=["doc_id", "start", "n_tokens", last])
 
-    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.mapInArrow(run, f"doc_id long, start long, n_tokens long, {last} {'long' if checksums else 'binary'}")
 
 
 def fetch_documents(spark: SparkSession, folder: str, doc_ids: list[int]) -> DataFrame:
@@ -215,16 +220,7 @@ def fetch_documents(spark: SparkSession, folder: str, doc_ids: list[int]) -> Dat
     return blocks.where(reach).mapInArrow(run, "doc_id long, ids binary")
 
 
-def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sums = [zlib.crc32(b.as_buffer()) for b in batch.column("ids")]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(sums, type=pa.int64())],
-            names=["doc_id", "start", "n_tokens", "ids_crc32"],
-        )
-
-
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), folder)
-    return read_token_files(spark, folder).mapInArrow(_checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_token_files(spark, folder, checksums=True)

@@ -228,3 +228,13 @@ def test_stems_marks_and_lines_are_kept_apart(name, led, monkeypatch):
     front = " " if led else ""
     assert {front + "stem", "###", front + "the", "***"} <= set(words.cache)
     assert not any("\nEnt" in w for w in words.cache)
+
+
+def test_checksums_are_computed_where_ids_are_unpacked(spark, edge_docs):
+    folder = shared_path(spark, "test-token-files")
+    token_files.write_token_files(edge_docs, folder)
+    sums = token_files.read_token_files(spark, folder, checksums=True)
+    want = [(r.doc_id, r.start, r.n_tokens, zlib.crc32(bytes(r.ids))) for r in token_files.read_token_files(spark, folder).orderBy("start").collect()]
+    assert [tuple(r) for r in sums.orderBy("start").collect()] == want
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
